@@ -135,39 +135,49 @@ def timing_kind(timed: Column) -> Column:
     return F.when(timed.isNotNull(), "word").otherwise("segment")
 
 
-def aligned_units(text: Column | str, words: Column | str, start_ms: Column | str, end_ms: Column | str) -> Column:
-    """Units of a row: its words placed on the row text with the text between them kept, or the row.
+UNIT = "struct<text:string,start_utc_ms:bigint,end_utc_ms:bigint,kind:string>"
 
-    Each unit's text runs from the end of the previous unit to the end of its own token; the last
-    one takes the rest. One misplaced token, or text left over, falls back to one segment unit.
+
+def aligned_units(rows: DataFrame, text: str = "text", words: str = "words", start_ms: str = "start_utc_ms",
+                  end_ms: str = "end_utc_ms") -> DataFrame:
+    """Add `units`: a row's words placed on its text with the text between them kept, or the row.
+
+    `words` is what `word_timing` gives (NULL without valid timing). Each unit's text runs from the
+    end of the previous unit to the end of its own token; the last one takes the rest. One misplaced
+    token, or text left over, falls back to one segment unit.
     """
-    text, words = col(text), col(words)
-    unit = "struct<text:string,start_utc_ms:bigint,end_utc_ms:bigint,kind:string>"
-    start = F.struct(F.lit(True).alias("ok"), F.lit(0).alias("off"), col(start_ms).alias("prev"),
-                     F.array().cast(f"array<{unit}>").alias("units"))
+    body = F.col(text)
+    # One state struct per word: offset -1 marks a failed row and skips the rest cheaply.
+    start = F.struct(F.lit(0).alias("off"), F.array().cast("array<struct<lo:int,hi:int>>").alias("cuts"))
 
     def step(acc: Column, w: Column) -> Column:
-        token = strip(w["text"])
-        at = F.call_function("locate", token, text, acc["off"] + 1)
+        return F.when(acc["off"] < 0, acc).otherwise(_place(acc, w))
+
+    def _place(acc: Column, w: Column) -> Column:
+        token = w["token"]
+        at = F.call_function("locate", token, body, acc["off"] + 1)
+        lead = F.call_function("substr", body, acc["off"] + 1, at - 1 - acc["off"])
+        fine = (F.length(token) > 0) & (at > 0) & (F.length(strip(lead)) == 0)
         stop = at - 1 + F.length(token)
-        lead = F.call_function("substr", text, acc["off"] + 1, at - 1 - acc["off"])
-        fine = (acc["ok"] & (F.length(token) > 0) & (at > 0) & (F.length(strip(lead)) == 0)
-                & (w["start_utc_ms"] >= acc["prev"]) & (w["end_utc_ms"] >= w["start_utc_ms"])
-                & (w["end_utc_ms"] <= col(end_ms)))
-        piece = F.call_function("substr", text, acc["off"] + 1, stop - acc["off"])
-        made = F.struct(piece.alias("text"), w["start_utc_ms"].alias("start_utc_ms"),
-                        w["end_utc_ms"].alias("end_utc_ms"), F.lit("word").alias("kind")).cast(unit)
-        return F.struct(F.coalesce(fine, F.lit(False)).alias("ok"), F.when(fine, stop).otherwise(acc["off"]).alias("off"),
-                        w["start_utc_ms"].alias("prev"),
-                        F.when(fine, F.array_append(acc["units"], made)).otherwise(acc["units"]).alias("units"))
-
-    done = F.aggregate(words, start, step)
-    rest = F.call_function("substr", text, done["off"] + 1)
-    last = F.size(done["units"])
-    closed = F.transform(done["units"], lambda u, i: F.struct(
-        F.when(i == last - 1, F.concat(u["text"], rest)).otherwise(u["text"]).alias("text"),
-        u["start_utc_ms"].alias("start_utc_ms"), u["end_utc_ms"].alias("end_utc_ms"), u["kind"].alias("kind")).cast(unit))
-    whole = F.array(F.struct(text.alias("text"), col(start_ms).alias("start_utc_ms"), col(end_ms).alias("end_utc_ms"),
-                             F.lit("segment").alias("kind")).cast(unit))
-    fine = (F.size(words) > 0) & done["ok"] & (F.length(strip(rest)) == 0)
-    return F.when(F.coalesce(fine, F.lit(False)), closed).otherwise(whole)
+        made = F.struct(acc["off"].alias("lo"), stop.alias("hi")).cast("struct<lo:int,hi:int>")
+        return F.when(fine, F.struct(stop.alias("off"), F.array_append(acc["cuts"], made).alias("cuts"))).otherwise(
+            F.struct(F.lit(-1).alias("off"), acc["cuts"].alias("cuts")))
+
+    spaced = F.transform(words, lambda w: F.struct(strip(w["text"]).alias("token")))
+    placed = rows.withColumn("_done", F.aggregate(spaced, start, step))
+    off = F.col("_done.off")
+    rest = F.call_function("substr", body, off + 1)
+    fine = (off >= 0) & (F.size(words) > 0) & (F.length(strip(rest)) == 0)
+    placed = placed.withColumn("_fine", F.coalesce(fine, F.lit(False))).withColumn("_n", F.size("_done.cuts"))
+
+    def unit(w: Column, i: Column) -> Column:
+        cut = F.get(F.col("_done.cuts"), i)
+        span = F.when(i == F.col("_n") - 1, F.call_function("substr", body, cut["lo"] + 1)).otherwise(
+            F.call_function("substr", body, cut["lo"] + 1, cut["hi"] - cut["lo"]))
+        return F.struct(span.alias("text"), w["start_utc_ms"].alias("start_utc_ms"), w["end_utc_ms"].alias("end_utc_ms"),
+                        F.lit("word").alias("kind"))
+
+    whole = F.array(F.struct(body.alias("text"), F.col(start_ms).alias("start_utc_ms"), F.col(end_ms).alias("end_utc_ms"),
+                             F.lit("segment").alias("kind")).cast(UNIT))
+    units = F.when(F.col("_fine"), F.transform(words, unit).cast(f"array<{UNIT}>")).otherwise(whole)
+    return placed.withColumn("units", units).drop("_done", "_fine", "_n")

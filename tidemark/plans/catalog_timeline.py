@@ -208,17 +208,21 @@ def retention_anti(spark, d):
     return A.purgeable_raw(V.raw_segments(spark, d), chunks, AS_OF, 10).select("id", "device_id", "start_utc_ms")
 
 
-@query("pack_windows", """
-WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY start_utc_ms, id) AS rn,
+QUERIES_SQL_PACK = """
+po AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY start_utc_ms, id) AS rn,
     start_utc_ms - lag(end_utc_ms) OVER (PARTITION BY device_id ORDER BY start_utc_ms, id) AS pause FROM v_dense),
-w AS (SELECT device_id, id, rn, id AS window_id, 0::BIGINT AS offset_ms, duration_ms AS used, 0 AS ord FROM o WHERE rn = 1
+pk AS (SELECT device_id, id, rn, id AS window_id, 0::BIGINT AS offset_ms, duration_ms AS used, 0 AS ord, start_utc_ms, duration_ms FROM po WHERE rn = 1
   UNION ALL SELECT o.device_id, o.id, o.rn,
     CASE WHEN o.pause <= 300000 AND w.used + 300 + o.duration_ms <= 30000 THEN w.window_id ELSE o.id END,
     CASE WHEN o.pause <= 300000 AND w.used + 300 + o.duration_ms <= 30000 THEN w.used + 300 ELSE 0 END,
     CASE WHEN o.pause <= 300000 AND w.used + 300 + o.duration_ms <= 30000 THEN w.used + 300 + o.duration_ms ELSE o.duration_ms END,
-    CASE WHEN o.pause <= 300000 AND w.used + 300 + o.duration_ms <= 30000 THEN w.ord + 1 ELSE 0 END
-  FROM w JOIN o ON o.device_id = w.device_id AND o.rn = w.rn + 1)
-SELECT device_id, id, window_id, ord, offset_ms FROM w""")
+    CASE WHEN o.pause <= 300000 AND w.used + 300 + o.duration_ms <= 30000 THEN w.ord + 1 ELSE 0 END, o.start_utc_ms, o.duration_ms
+  FROM pk w JOIN po o ON o.device_id = w.device_id AND o.rn = w.rn + 1)"""
+
+
+@query("pack_windows", f"""
+WITH RECURSIVE {QUERIES_SQL_PACK}
+SELECT device_id, id, window_id, ord, offset_ms FROM pk""")
 def pack_windows(spark, d):
     return L.pack_windows(_dense(spark, d)).select("device_id", "id", "window_id", "ord", "offset_ms")
 
