@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..functions.text import BLOCKLIST, is_boilerplate, join_tokens, strip
 from ..functions.times import col
@@ -147,37 +149,39 @@ def aligned_units(rows: DataFrame, text: str = "text", words: str = "words", sta
     token, or text left over, falls back to one segment unit.
     """
     body = F.col(text)
-    # One state struct per word: offset -1 marks a failed row and skips the rest cheaply.
-    start = F.struct(F.lit(0).alias("off"), F.array().cast("array<struct<lo:int,hi:int>>").alias("cuts"))
-
-    def step(acc: Column, w: Column) -> Column:
-        return F.when(acc["off"] < 0, acc).otherwise(_place(acc, w))
-
-    def _place(acc: Column, w: Column) -> Column:
-        token = w["token"]
-        at = F.call_function("locate", token, body, acc["off"] + 1)
-        lead = F.call_function("substr", body, acc["off"] + 1, at - 1 - acc["off"])
-        fine = (F.length(token) > 0) & (at > 0) & (F.length(strip(lead)) == 0)
-        stop = at - 1 + F.length(token)
-        made = F.struct(acc["off"].alias("lo"), stop.alias("hi")).cast("struct<lo:int,hi:int>")
-        return F.when(fine, F.struct(stop.alias("off"), F.array_append(acc["cuts"], made).alias("cuts"))).otherwise(
-            F.struct(F.lit(-1).alias("off"), acc["cuts"].alias("cuts")))
-
-    spaced = F.transform(words, lambda w: F.struct(strip(w["text"]).alias("token")))
-    placed = rows.withColumn("_done", F.aggregate(spaced, start, step))
-    off = F.col("_done.off")
-    rest = F.call_function("substr", body, off + 1)
-    fine = (off >= 0) & (F.size(words) > 0) & (F.length(strip(rest)) == 0)
-    placed = placed.withColumn("_fine", F.coalesce(fine, F.lit(False))).withColumn("_n", F.size("_done.cuts"))
+    placed = rows.withColumn("_cuts", _place_words(body, F.transform(words, lambda w: strip(w["text"]))))
 
     def unit(w: Column, i: Column) -> Column:
-        cut = F.get(F.col("_done.cuts"), i)
-        span = F.when(i == F.col("_n") - 1, F.call_function("substr", body, cut["lo"] + 1)).otherwise(
-            F.call_function("substr", body, cut["lo"] + 1, cut["hi"] - cut["lo"]))
-        return F.struct(span.alias("text"), w["start_utc_ms"].alias("start_utc_ms"), w["end_utc_ms"].alias("end_utc_ms"),
+        cut = F.get(F.col("_cuts"), i)
+        piece = F.call_function("substr", body, cut["lo"] + 1, cut["hi"] - cut["lo"])
+        return F.struct(piece.alias("text"), w["start_utc_ms"].alias("start_utc_ms"), w["end_utc_ms"].alias("end_utc_ms"),
                         F.lit("word").alias("kind"))
 
     whole = F.array(F.struct(body.alias("text"), F.col(start_ms).alias("start_utc_ms"), F.col(end_ms).alias("end_utc_ms"),
                              F.lit("segment").alias("kind")).cast(UNIT))
-    units = F.when(F.col("_fine"), F.transform(words, unit).cast(f"array<{UNIT}>")).otherwise(whole)
-    return placed.withColumn("units", units).drop("_done", "_fine", "_n")
+    units = F.when(F.col("_cuts").isNotNull(), F.transform(words, unit).cast(f"array<{UNIT}>")).otherwise(whole)
+    return placed.withColumn("units", units).drop("_cuts")
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("lo", IntegerType()), StructField("hi", IntegerType())])))
+def _place_words(text: pd.Series, tokens: pd.Series) -> pd.Series:
+    """Character ranges of tokens that follow each other with nothing but white space between, the
+    last range running to the end of the text; NULL when they do not."""
+    def one(body, toks):
+        if toks is None or len(toks) == 0:
+            return None
+        out, at = [], 0
+        for tok in toks:
+            here = at
+            while here < len(body) and body[here].isspace():
+                here += 1
+            if not tok or not body.startswith(tok, here):
+                return None
+            out.append({"lo": at, "hi": here + len(tok)})
+            at = here + len(tok)
+        if body[at:].strip():
+            return None
+        out[-1]["hi"] = len(body)
+        return out
+
+    return pd.Series([one(b, t) for b, t in zip(text, tokens)])
