@@ -55,14 +55,11 @@ def tag_lists(tags: DataFrame) -> DataFrame:
     return tag_flags(tags).groupBy("segment_id").agg(listed.alias("tags"))
 
 
-def span_tag_pairs(spans: DataFrame, facts: Column) -> DataFrame:
-    """Long-form tags a span carries: channel, mode, target facts, cancelled.
-
-    `facts` is a map of whitelisted target facts.
-    """
+def span_tag_pairs(spans: DataFrame) -> DataFrame:
+    """Long-form tags a span carries: channel, mode, target facts (map column `facts`), cancelled."""
     fixed = F.array(F.struct(F.lit("channel").alias("key"), F.lit(CHANNEL_DICTATION).alias("value")),
                     F.struct(F.lit("mode").alias("key"), F.col("mode").alias("value")))
-    target = F.transform(F.map_entries(facts), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+    target = F.transform(F.map_entries("facts"), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
     gone = F.when(F.col("cancelled"), F.array(F.struct(F.lit("cancelled").alias("key"), F.lit("true").alias("value"))))
     empty = F.array().cast("array<struct<key:string,value:string>>")
     return spans.select("id", "device_id", "start_utc_ms", "end_utc_ms", "origin",

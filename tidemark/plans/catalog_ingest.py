@@ -62,10 +62,10 @@ WITH {_SIDE} SELECT event_id, CASE fault WHEN 0 THEN 'missing required field ''e
   WHEN 2 THEN 'start_utc is not a valid calendar time' WHEN 3 THEN 'duration_s must be a number in (0, 31]' WHEN 4 THEN 'epoch must be a non-negative integer' END AS error
 FROM (SELECT * FROM side UNION ALL SELECT * FROM side WHERE event_id % 11 = 0)""")
 def sidecar_validate(spark, d):
-    return SC.validated(_sidecars(spark, d)).select("event_id", "error")
+    return SC.checked(_sidecars(spark, d)).select("event_id", "error")
 
 def _parsed(spark, d):
-    return SC.parsed(SC.validated(_sidecars(spark, d)).where("error is null").drop("error"))
+    return SC.valid(SC.checked(_sidecars(spark, d)))
 
 @query("dedupe_ingest", f"""
 WITH {_SIDE} SELECT sha AS sha256, event_id, event_id * 1000 AS received_utc_ms FROM good WHERE event_id % 13 <> 0""")
@@ -130,21 +130,20 @@ CASE WHEN event_id % 50 = 7 AND event_id % 80 * 60000 < 10000000 THEN 'end_utc b
 
 @query("span_validate", f"SELECT event_id, {_SPAN_ERR} AS error FROM v_events")
 def span_validate(spark, d):
-    return SC.validated_spans(_bodies(spark, d)).select("event_id", "error")
+    return SC.checked_spans(_bodies(spark, d)).select("event_id", "error")
 
 @query("span_normalise", f"""
 SELECT event_id, 'no' AS lang, event_id % 10 = 0 OR event_id % 6 = 0 AS cancelled, start_utc_ms + CASE WHEN event_id % 10 = 0 OR event_id % 6 = 0
   THEN least(600000, event_id % 80 * 60000) ELSE event_id % 80 * 60000 END AS end_utc_ms, CASE WHEN event_id % 4 <> 0 THEN 'editor' END AS app, 'notes' AS win
 FROM v_events WHERE ({_SPAN_ERR}) IS NULL""")
 def span_normalise(spark, d):
-    good = SC.validated_spans(_bodies(spark, d)).where("error is null")
-    return SC.span_rows_of(good).select("event_id", "lang", "cancelled", "end_utc_ms", "app", F.col("window").alias("win"))
+    return SC.valid(SC.checked_spans(_bodies(spark, d))).select("event_id", "lang", "cancelled", "end_utc_ms", "app", F.col("window").alias("win"))
 
 @query("span_ingest", f"""
 SELECT device_id, start_utc_ms, event_id FROM v_events WHERE ({_SPAN_ERR}) IS NULL AND event_id % 9 <> 0
 QUALIFY row_number() OVER (PARTITION BY device_id, start_utc_ms ORDER BY event_id) = 1""")
 def span_ingest(spark, d):
-    good = SC.span_rows_of(SC.validated_spans(_bodies(spark, d)).where("error is null")).drop("facts")
+    good = SC.valid(SC.checked_spans(_bodies(spark, d))).drop("facts")
     stored = V._events(spark, d).where("event_id % 9 = 0").select("device_id", "start_utc_ms")
     return SC.new_rows(good, stored, ["device_id", "start_utc_ms"]).select("device_id", "start_utc_ms", "event_id")
 
@@ -153,9 +152,9 @@ SELECT event_id, 'app=a' || (props->>'$.k') || ',pane=p' AS facts FROM events"""
 def target_facts(spark, d):
     k = F.get_json_object("props", "$.k")
     raw = F.concat(F.lit('{"target":{"pane":"p","app":"a'), k, F.lit('","program":"","other":"x","window":'), k, F.lit("}}"))
-    facts = C.target_facts(raw)
-    text = F.array_join(F.transform(F.map_entries(facts), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
-    return V.table(spark, d, "events").select("event_id", text.alias("facts"))
+    rows = C.with_target_facts(V.table(spark, d, "events").select("event_id", raw.alias("raw")), "raw")
+    text = F.array_join(F.transform(F.map_entries("facts"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return rows.select("event_id", text.alias("facts"))
 
 # ------------------------------------------------------------- audit
 

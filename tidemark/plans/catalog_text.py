@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import times as T
-from ..functions.checks import target_facts
+from ..functions.checks import with_target_facts
 from ..operators import folds as L
 from ..operators import intervals as I
 from ..operators import paging as P
@@ -252,8 +252,7 @@ UNION ALL SELECT id, 'cancelled', 'true' FROM v_spans WHERE cancelled"""
 
 def _span_pairs(spark, d):
     # `window` is a number in these bodies, so only text facts are taken.
-    spans = V.dictation_spans(spark, d)
-    return G.span_tag_pairs(spans, target_facts("body_json"))
+    return G.span_tag_pairs(with_target_facts(V.dictation_spans(spark, d)))
 
 
 @query("span_tag_pairs", _PAIRS)

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.checks import TARGET_LIMITS, target_field
+from ..functions.checks import TARGET_LIMITS, with_target_facts
 from ..functions.text import transcript_line
 from ..functions.times import ms_to_iso
 from ..operators import search as Q
@@ -201,9 +201,13 @@ def recall_spans(spans: DataFrame, span_tags: DataFrame, from_ms: int, to_ms: in
         out = out.where(F.col("lang") == lang)
     if cancelled is not None:
         out = out.where(F.col("cancelled") == cancelled)
+    out = with_target_facts(out)
     for key in TARGET_LIMITS:
-        stored = F.col(key) if key in ("app", "window") else None
-        out = out.withColumn(f"target_{key}", target_field(stored, "body_json", key))
+        value = F.col("facts")[key]
+        if key in ("app", "window"):
+            value = F.coalesce(F.nullif(F.col(key), F.lit("")), value)
+        out = out.withColumn(f"target_{key}", value)
+    out = out.drop("facts")
     for key, value in (recipients or {}).items():
         out = out.where(F.col(f"target_{key}") == value)
     if limit is not None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.checks import (MAX_CANCELLED_MS, Body, sidecar_error, span_error, target_facts)
+from ..functions.checks import MAX_CANCELLED_MS, SIDECAR_PATHS, SPAN_PATHS, Body, facts_of, sidecar_error, span_error
 from ..functions.text import strip
 from ..functions.times import archive_path, iso_to_ms
 
@@ -34,21 +34,39 @@ def hash_audio(spark: SparkSession, path: str) -> DataFrame:
                         F.unix_millis("modificationTime").alias("modified_ms"))
 
 
-def validated(sidecars: DataFrame) -> DataFrame:
-    """Add `error`, NULL for valid rows."""
-    return sidecars.withColumn("error", sidecar_error("raw"))
+CORE = ("kind", "device_id", "sha256", "start_utc_ms", "duration_s", "run_id", "epoch", "n_start", "n_samples",
+        "discontinuity", "clock_synced", "cut_reason", "edge_version")
 
 
-def parsed(valid: DataFrame) -> DataFrame:
-    """Core fields of valid sidecars; `raw` stays beside them, unknown fields included."""
-    b = Body("raw")
-    return valid.select(
-        "*", F.coalesce(b.text("kind"), F.lit("speech")).alias("kind"), b.text("device_id").alias("device_id"),
-        b.text("sha256").alias("sha256"), iso_to_ms(b.text("start_utc")).alias("start_utc_ms"),
-        b.number("duration_s").alias("duration_s"), b.text("run_id").alias("run_id"), b.long("epoch").alias("epoch"),
-        b.long("n_start").alias("n_start"), b.long("n_samples").alias("n_samples"),
-        b.flag("discontinuity").alias("discontinuity"), b.flag("clock_synced").alias("clock_synced"),
-        b.text("cut_reason").alias("cut_reason"), b.text("edge_version").alias("edge_version"))
+def checked(sidecars: DataFrame) -> DataFrame:
+    """Add `error` (NULL for valid rows) and the core fields; `raw` stays, unknown fields included.
+
+    One parse serves both, and valid and quarantined rows are two filters over the same result.
+    """
+    b = Body(SIDECAR_PATHS)
+    start = iso_to_ms(b.text("start_utc"))
+    fields = [F.coalesce(b.text("kind"), F.lit("speech")), b.text("device_id"), b.text("sha256"), start,
+              b.number("duration_s"), b.text("run_id"), b.long("epoch"), b.long("n_start"), b.long("n_samples"),
+              b.flag("discontinuity"), b.flag("clock_synced"), b.text("cut_reason"), b.text("edge_version")]
+    return _settled(b.attach(sidecars), sidecars.columns,
+                    [sidecar_error(b).alias("error"), *[f.alias(n) for f, n in zip(fields, CORE)]])
+
+
+def _settled(df: DataFrame, keep: list[str], computed: list[Column]) -> DataFrame:
+    """Computed columns behind a one-row generator.
+
+    A filter on `error` then stays a filter on a plain column: pushed below, the whole rule chain
+    would be copied into the predicate and the constraints inferred from it.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*computed))))
+
+
+def valid(rows: DataFrame) -> DataFrame:
+    return rows.where("error is null").drop("error")
+
+
+def quarantined(rows: DataFrame) -> DataFrame:
+    return rows.where("error is not null").drop(*CORE)
 
 
 def first_per(rows: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -104,7 +122,7 @@ def orphan_rows(files: DataFrame, known: DataFrame) -> DataFrame:
     `files`: path (relative), raw, file_sha256, received_utc_ms. `known`: path, sha256 of both tables.
     """
     unknown = files.join(known.select("path").distinct(), "path", "left_anti")
-    usable = parsed(validated(unknown).where("error is null").drop("error"))
+    usable = valid(checked(unknown))
     agree = (F.col("sha256") == F.col("file_sha256")) & (F.col("path") == path_of())
     fresh = usable.where(agree).drop("file_sha256")
     return fresh.join(known.select("sha256").distinct(), "sha256", "left_anti")
@@ -113,22 +131,19 @@ def orphan_rows(files: DataFrame, known: DataFrame) -> DataFrame:
 # ------------------------------------------------------------- dictation spans
 
 
-def span_rows_of(bodies: DataFrame) -> DataFrame:
-    """Normalised spans of valid bodies (`raw`, `received_utc_ms`, ...): language code lower-cased, an
-    empty text is a cancelled one, a cancelled one is clamped to ten minutes."""
-    b = Body("raw")
-    start, end = iso_to_ms(b.text("start_utc")), iso_to_ms(b.text("end_utc"))
+def checked_spans(bodies: DataFrame) -> DataFrame:
+    """Bodies (`raw`, ...) with `error` and normalised span fields: language code lower-cased, an empty
+    text is a cancelled one, a cancelled one is clamped to ten minutes."""
+    b = Body(SPAN_PATHS)
+    timed = (b.attach(bodies).withColumn("_start", iso_to_ms(b.text("start_utc")))
+             .withColumn("_end", iso_to_ms(b.text("end_utc"))).withColumn("facts", facts_of(b)))
+    start, end = F.col("_start"), F.col("_end")
     text = F.coalesce(b.text("text"), F.lit(""))
     gone = F.coalesce(b.flag("cancelled"), F.lit(False)) | (F.length(strip(text)) == 0)
-    facts = target_facts("raw")
     clamped = F.when(gone, F.least(end, start + MAX_CANCELLED_MS)).otherwise(end)
-    return bodies.withColumn("facts", facts).select(
-        *[c for c in bodies.columns if c not in ("raw", "error")], b.text("device_id").alias("device_id"),
-        start.alias("start_utc_ms"), clamped.alias("end_utc_ms"), text.alias("text"),
-        F.lower(F.btrim(b.text("lang"))).alias("lang"), b.text("engine").alias("engine"), b.text("mode").alias("mode"),
-        F.col("facts")["app"].alias("app"), F.col("facts")["window"].alias("window"), gone.alias("cancelled"),
-        b.text("origin").alias("origin"), F.col("raw").alias("body_json"), "facts")
-
-
-def validated_spans(bodies: DataFrame) -> DataFrame:
-    return bodies.withColumn("error", span_error("raw"))
+    return _settled(timed.withColumn("body_json", F.col("raw")), [*[c for c in bodies.columns if c != "raw"], "body_json"], [
+        span_error(b, start, end).alias("error"), b.text("device_id").alias("device_id"), start.alias("start_utc_ms"),
+        clamped.alias("end_utc_ms"), text.alias("text"), F.lower(F.btrim(b.text("lang"))).alias("lang"),
+        b.text("engine").alias("engine"), b.text("mode").alias("mode"), F.col("facts")["app"].alias("app"),
+        F.col("facts")["window"].alias("window"), gone.alias("cancelled"), b.text("origin").alias("origin"),
+        F.col("facts").alias("facts")])
