@@ -11,6 +11,7 @@ from pyspark.sql.types import BinaryType
 
 from ..functions.speech import HOLD, SILENT, SPEECH, Burst, Rules, advance, close
 from ..functions.times import floor_div, samples_to_ms
+from .folds import map_groups
 from .intervals import as_of, first_overlap, interval_join, subtract
 from .sliced import SLICE, Carry, scan, with_slice
 
@@ -132,7 +133,6 @@ def speech_chunks(windows: DataFrame, keys: Sequence[str], rules: Rules | None =
     key_ddl = ", ".join(f"{k} {windows.schema[k].dataType.simpleString()}" for k in keys)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("first_idx")
         b = Burst(floor=origin if pdf["_burst"].iloc[0] == 0 else -(1 << 62))
         out: list = []
         for first, n, kind in zip(pdf["first_idx"], pdf["n"], pdf["kind"]):
@@ -143,8 +143,8 @@ def speech_chunks(windows: DataFrame, keys: Sequence[str], rules: Rules | None =
             got[k] = pdf[k].iloc[0]
         return got[[*keys, "n_start", "n_end", "cut_reason"]]
 
-    return bursts.groupBy(*keys, "_burst").applyInPandas(
-        fold, f"{key_ddl}, n_start bigint, n_end bigint, cut_reason string")
+    return map_groups(bursts, [*keys, "_burst"], "first_idx", fold,
+                      f"{key_ddl}, n_start bigint, n_end bigint, cut_reason string")
 
 
 # ------------------------------------------------------------- raw segments under chunks

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.times import floor_div, ns_to_iso
-from .folds import number_blocks
+from .folds import map_groups, number_blocks
 from .intervals import as_of
 from .sliced import Carry, drop_slice, scan, with_slice
 
@@ -171,30 +171,28 @@ def probe_offsets(probes: DataFrame, max_rtt_ns: int = 5 * NS, valid_ns: int = 6
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
         lo = hi = None
-        for a, b in pdf.sort_values("_rn")[["_lo", "_hi"]].itertuples(index=False):
+        for a, b in pdf[["_lo", "_hi"]].itertuples(index=False):
             lo, hi = (a, b) if lo is None else (min(max(lo, a), b), min(max(hi, a), b))
         return pd.DataFrame({"device_id": [pdf["device_id"].iloc[0]], "_block": [pdf["_block"].iloc[0]],
                              "_blo": [lo], "_bhi": [hi]})
 
     def enter(pdf: pd.DataFrame) -> pd.DataFrame:
         x, entry = 0, []
-        pdf = pdf.sort_values("_block")
         for lo, hi in pdf[["_blo", "_bhi"]].itertuples(index=False):
             entry.append(x)
             x = min(max(x, lo), hi)
         return pdf.assign(_x=entry)[["device_id", "_block", "_x"]]
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rn")
         x, kept = pdf["_x"].iloc[0], []
         for lo, hi in pdf[["_lo", "_hi"]].itertuples(index=False):
             x = min(max(x, lo), hi)
             kept.append(x)
         return pdf.assign(offset_ns=kept)[["device_id", "seq", "t_send", "t_recv", "server_ns", "offset_ns"]]
 
-    bounds = rows.groupBy("device_id", "_block").applyInPandas(
-        compose, "device_id string, _block bigint, _blo bigint, _bhi bigint")
-    entry = bounds.groupBy("device_id").applyInPandas(enter, "device_id string, _block bigint, _x bigint")
-    done = rows.join(entry, ["device_id", "_block"]).groupBy("device_id", "_block").applyInPandas(
-        replay, "device_id string, seq bigint, t_send bigint, t_recv bigint, server_ns bigint, offset_ns bigint")
+    block = ["device_id", "_block"]
+    bounds = map_groups(rows, block, "_rn", compose, "device_id string, _block bigint, _blo bigint, _bhi bigint")
+    entry = map_groups(bounds, ["device_id"], "_block", enter, "device_id string, _block bigint, _x bigint")
+    done = map_groups(rows.join(entry, block), block, "_rn", replay,
+                      "device_id string, seq bigint, t_send bigint, t_recv bigint, server_ns bigint, offset_ns bigint")
     return done.withColumn("rtt_ns", rtt).withColumn("synced_until_ns", F.col("t_recv") + valid_ns)

@@ -10,7 +10,7 @@ holds a key's rows, and the result equals the sequential one.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +36,48 @@ class Links:
     shift: int
 
 
+def map_groups(df: DataFrame, keys: Sequence[str], order: str, fn: Callable[[pd.DataFrame], pd.DataFrame],
+               schema: str) -> DataFrame:
+    """Run `fn` on each group of `keys`, rows sorted by `order`.
+
+    Rows stream through sorted partitions and a task holds one group at a time; against one pandas
+    call per shuffle group this keeps many small groups cheap.
+    """
+    keys = list(keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        last = None
+
+        def done() -> pd.DataFrame:
+            group = held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+            held.clear()
+            return fn(group)
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            change = np.zeros(len(pdf), bool)
+            for k in keys:
+                v = pdf[k].to_numpy()
+                change[1:] |= v[1:] != v[:-1]
+            cuts = [0, *np.flatnonzero(change), len(pdf)]
+            out = []
+            for a, b in zip(cuts, cuts[1:]):
+                part = pdf.iloc[a:b]
+                ident = tuple(part[k].iat[0] for k in keys)
+                if held and ident != last:
+                    out.append(done())
+                held.append(part.reset_index(drop=True))
+                last = ident
+            if out:
+                yield pd.concat(out, ignore_index=True)
+        if held:
+            yield done()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
+
+
 def number_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], position: str, width: int,
                   carries: Sequence[Carry] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add `_rn` (0-based), `_block` and the given running values, by one sliced scan."""
@@ -54,7 +96,6 @@ def chain(df: DataFrame, keys: Sequence[str], links: Callable[[pd.DataFrame], Li
     key_schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
 
     def steps(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rn")
         ln, rn = links(pdf), pdf["_rn"].to_numpy()
         n = len(pdf)
         out = np.empty(n, np.int64)
@@ -92,7 +133,6 @@ def chain(df: DataFrame, keys: Sequence[str], links: Callable[[pd.DataFrame], Li
         return out[[*keys, "_block", "_x", "_in_owner"]]
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rn")
         ln, rn = links(pdf), pdf["_rn"].to_numpy()
         n = len(pdf)
         picked = np.full(n, -1, np.int64)
@@ -103,13 +143,11 @@ def chain(df: DataFrame, keys: Sequence[str], links: Callable[[pd.DataFrame], Li
         owner = np.maximum.accumulate(np.maximum(picked, pdf["_in_owner"].to_numpy()))
         return pdf.assign(_owner=owner)[[*columns, "_owner"]]
 
-    table = df.groupBy(*keys, "_block").applyInPandas(
-        steps, f"{key_schema}, _block bigint, _hi bigint, _out bigint, _last bigint, _pass boolean")
-    entries = table.groupBy(*keys).applyInPandas(
-        resolve, f"{key_schema}, _block bigint, _x bigint, _in_owner bigint")
+    table = map_groups(df, [*keys, "_block"], "_rn", steps,
+                       f"{key_schema}, _block bigint, _hi bigint, _out bigint, _last bigint, _pass boolean")
+    entries = map_groups(table, keys, "_block", resolve, f"{key_schema}, _block bigint, _x bigint, _in_owner bigint")
     cols = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
-    return (df.join(entries, [*keys, "_block"]).groupBy(*keys, "_block")
-            .applyInPandas(replay, f"{cols}, _owner bigint"))
+    return map_groups(df.join(entries, [*keys, "_block"]), [*keys, "_block"], "_rn", replay, f"{cols}, _owner bigint")
 
 
 # ------------------------------------------------------------- overlap removal

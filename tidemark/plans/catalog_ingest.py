@@ -13,6 +13,7 @@ from ..operators import clock as K
 from ..operators import reports as R
 from ..operators.sliced import Carry, drop_slice, scan, with_slice
 from ..operators.transcribe import energy_recogniser, transcribe
+from ..session import materialise
 from ..sources import sidecars as SC
 from . import views as V
 from .check_views import iso
@@ -316,13 +317,13 @@ def block_timeline(spark, d):
 
 @query("sample_times")
 def sample_times(spark, d):
-    tl = K.block_timeline(_blocks(spark, d), reref_ns=5 * K.NS)
+    tl = materialise(K.block_timeline(_blocks(spark, d), reref_ns=5 * K.NS))
     samples = tl.select("run_id", "epoch", F.col("n_start").alias("n"), "seq").where("n >= 0")
     return K.sample_times(samples, K.anchors_of(tl), K.epoch_offsets(tl)).select("run_id", "epoch", "n", "start_utc")
 
 @query("restamp_held")
 def restamp_held(spark, d):
-    tl = K.block_timeline(_blocks(spark, d), reref_ns=5 * K.NS)
+    tl = materialise(K.block_timeline(_blocks(spark, d), reref_ns=5 * K.NS))
     steps = tl.groupBy("run_id").agg(F.count_if(F.col("step_ns") != 0).alias("step_count"))
     held = V._events(spark, d).select(
         F.col("event_id").alias("id"), F.col("device_id").alias("run_id"), F.lit(0).cast("bigint").alias("epoch"),

@@ -403,14 +403,14 @@ def covered_chunks(spark, d):
 
 def _timed_words(spark, d):
     """STT rows with one word per token, evenly spread, relative to the chunk start (the row's own)."""
-    s = V.stt_rows(spark, d)
-    tok = F.split("text", " ")
-    n, length = F.size(tok), F.col("end_utc_ms") - F.col("start_utc_ms")
-    made = F.transform(tok, lambda t, i: F.struct(
-        F.concat(F.lit(" "), t).alias("w"), F.call_function("div", length * i, n.cast("bigint")).alias("s"),
-        F.call_function("div", length * (i + 1), n.cast("bigint")).alias("e"), F.lit(0.9).alias("p")))
+    # Counted once per row, outside the lambda, which would count them again for every word.
+    s = V.stt_rows(spark, d).withColumn("tokens", F.split("text", " ")).withColumn("n_tokens", F.size("tokens").cast("bigint"))
+    length = F.col("end_utc_ms") - F.col("start_utc_ms")
+    made = F.transform("tokens", lambda t, i: F.struct(
+        F.concat(F.lit(" "), t).alias("w"), F.call_function("div", length * i, F.col("n_tokens")).alias("s"),
+        F.call_function("div", length * (i + 1), F.col("n_tokens")).alias("e"), F.lit(0.9).alias("p")))
     return s.withColumn("chunk_start_utc_ms", F.col("start_utc_ms")).withColumn(
-        "words", F.when(F.col("id") % 6 != 0, made))
+        "words", F.when(F.col("id") % 6 != 0, made)).drop("tokens", "n_tokens")
 
 
 _WORDS = """
@@ -567,13 +567,11 @@ def boilerplate(spark, d):
 def _unit_words(spark, d):
     """Conversation rows with their tokens as absolute timed words; every ninth row has one token that
     does not occur in the text, every tenth a word out of order."""
-    s = V.segments(spark, d)
-    tok = F.filter(F.split("text", r"\s+"), lambda t: t != "")
-    n, length = F.size(tok), F.col("end_utc_ms") - F.col("start_utc_ms")
-    made = F.transform(tok, lambda t, i: F.struct(
+    s = V.words(spark, d)
+    made = F.transform("tokens", lambda t, i: F.struct(
         F.when((F.col("id") % 9 == 0) & (i == 2), "@@").otherwise(t).alias("w"),
-        (F.call_function("div", length * i, n.cast("bigint")) - F.when((F.col("id") % 10 == 0) & (i == 1), 5).otherwise(0)).alias("s"),
-        F.call_function("div", length * (i + 1), n.cast("bigint")).alias("e"), F.lit(0.9).alias("p")))
+        (F.call_function("div", F.col("n_ms") * i, F.col("n_tokens")) - F.when((F.col("id") % 10 == 0) & (i == 1), 5).otherwise(0)).alias("s"),
+        F.call_function("div", F.col("n_ms") * (i + 1), F.col("n_tokens")).alias("e"), F.lit(0.9).alias("p")))
     return s.withColumn("words", made)
 
 

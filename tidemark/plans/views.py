@@ -13,13 +13,18 @@ from ..session import configure
 BASE_MS = 1_704_067_200_000  # 2024-01-01T00:00:00Z, where the event table starts
 AS_OF_MS = 1_706_659_200_000  # 2024-01-31T00:00:00Z
 GAP_S = 14_400.0
-VAD_WINDOW = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Columns behind a one-row generator, as if stored: lambdas over them read values and do not
+    evaluate the view's expressions once per element."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     start = ntz_to_ms("ts")
@@ -159,10 +164,11 @@ def segment_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`segments` with timed words: token i starts at start + i*(end-start)/n."""
-    s = segments(spark, sf_dir)
+    """`segments` with their white-space tokens, the token count and the length in ms."""
+    s = settled(segments(spark, sf_dir))
     tokens = F.filter(F.split("text", r"\s+"), lambda t: t != "")
-    return s.withColumn("tokens", tokens)
+    return settled(s.withColumn("tokens", tokens).withColumn("n_tokens", F.size("tokens").cast("bigint"))
+            .withColumn("n_ms", F.col("end_utc_ms") - F.col("start_utc_ms")))
 
 
 def search_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,15 +189,3 @@ def mapped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("quality") - 1.5).alias("avg_logprob"), (F.col("toxic") * 0.9).alias("no_speech_prob"),
         F.when(F.col("doc_id") % 10 == 0, F.lit(2.5)).when(F.col("doc_id") % 10 < 5, F.lit(1.2))
         .alias("compression_ratio"))
-
-
-def vad_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Voice-activity windows per device: each event gives 1 + floor(value) windows, placed at
-    their own index so that the pauses between events stay silent."""
-    e = _events(spark, sf_dir)
-    return e.select(
-        F.col("device_id").alias("stream"),
-        F.call_function("div", F.col("start_utc_ms") - BASE_MS, F.lit(32_000).cast("bigint")).alias("first_idx"),
-        (F.floor("value") + 1).alias("n_windows"), "event_id",
-        F.when(F.col("event_type").isin("view", "click"), 0.9).when(F.col("event_type") == "signup", 0.42)
-        .otherwise(0.1).alias("prob"))
