@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.times import floor_div, ns_to_iso
 from .folds import map_groups, number_blocks
@@ -16,6 +16,13 @@ NS = 1_000_000_000
 BLOCK_SLICE = 1 << 20
 
 
+def samples_to_ns(n: Column, rate: int) -> Column:
+    """Sample count to ns, half to even, without passing through a double."""
+    if NS % rate == 0:
+        return n * (NS // rate)
+    return F.bround(n.cast("decimal(20,0)") * NS / rate).cast("bigint")
+
+
 # ------------------------------------------------------------- block timeline
 
 
@@ -52,7 +59,8 @@ def block_timeline(blocks: DataFrame, rate: int = 16_000, late_ns: int = 200_000
                 n, t, off = r.n_start, r.mono_ns - r.adc_latency_ns, r.real_ns - r.mono_ns
                 opened, lateness, step, at, moved = False, 0, 0, (n, t), None
                 if (r.run_id, r[2]) != key:
-                    key, opened, epoch = (r.run_id, r[2]), True, -1
+                    # The head of a stretch is measured against the previous one's anchor below.
+                    key, opened, epoch, lateness = (r.run_id, r[2]), True, -1, t
                 else:
                     lateness = t - (anchor_t + round((n - anchor_n) * NS / rate))
                     if lateness > late_ns:
@@ -83,19 +91,24 @@ def block_timeline(blocks: DataFrame, rate: int = 16_000, late_ns: int = 200_000
             yield frame.astype({"anchor_n": "Int64", "anchor_mono_ns": "Int64"})
 
     local = ordered.mapInPandas(follow, schema)
-    # One row per stretch: how many epochs it holds and the offset it ends with.
+    # One row per stretch: how many epochs it holds, the offset and the anchor it ends with.
     parts = local.groupBy("run_id", "_part").agg(
         (F.max("_epoch") + 1).alias("_n"), F.max_by("offset_ns", "seq").alias("_last"),
-        F.max_by("lateness_ns", "seq").alias("_l"))
+        F.max_by("anchor_n", F.when(F.col("anchor_n").isNotNull(), F.col("seq"))).alias("_an"),
+        F.max_by("anchor_mono_ns", F.when(F.col("anchor_n").isNotNull(), F.col("seq"))).alias("_at"))
     carried = drop_slice(scan(with_slice(parts, "_part", BLOCK_SLICE), ["run_id"], ["_part"],
-                              [Carry("_upto", "sum", F.col("_n")), Carry("_before", "lag", F.col("_last"))]))
-    carried = carried.select("run_id", "_part", (F.col("_upto") - F.col("_n")).alias("_base"), "_before")
+                              [Carry("_upto", "sum", F.col("_n")), Carry("_before", "lag", F.col("_last")),
+                               Carry("_pn", "lag", F.col("_an")), Carry("_pt", "lag", F.col("_at"))]))
+    carried = carried.select("run_id", "_part", (F.col("_upto") - F.col("_n")).alias("_base"), "_before", "_pn", "_pt")
     joined = local.join(carried, ["run_id", "_part"])
     jump = F.col("offset_ns") - F.col("_before")
-    head = F.col("new_epoch") & (F.col("_epoch") == 0) & F.col("_before").isNotNull()
+    opens_part = F.col("new_epoch") & (F.col("_epoch") == 0)
+    head = opens_part & F.col("_before").isNotNull()
+    since = F.col("lateness_ns") - (F.col("_pt") + samples_to_ns(F.col("n_start") - F.col("_pn"), rate))
     return joined.select(
         "run_id", "seq", "n_start", "n_end", (F.col("_base") + F.col("_epoch")).alias("epoch"), "new_epoch",
-        "epoch_start_n", "lateness_ns",
+        "epoch_start_n",
+        F.when(opens_part, F.coalesce(since, F.lit(0))).otherwise(F.col("lateness_ns")).alias("lateness_ns"),
         F.when(head, F.when(F.abs(jump) > step_ns, jump).otherwise(0)).otherwise(F.col("step_ns")).alias("step_ns"),
         "offset_ns", "anchor_n", "anchor_mono_ns")
 
@@ -129,7 +142,7 @@ def sample_times(samples: DataFrame, anchors: DataFrame, offsets: DataFrame, rat
         F.min(F.struct("n_ref", "mono_ref_ns")).alias("_first"))
     got = as_of(samples, anchors, ["run_id", "epoch"], "n", "n_ref", ["n_ref", "mono_ref_ns"], width=rate * 3600)
     ref = F.coalesce("hit", "_first")
-    mono = ref["mono_ref_ns"] + F.bround((F.col("n") - ref["n_ref"]) * NS / rate).cast("bigint")
+    mono = ref["mono_ref_ns"] + samples_to_ns(F.col("n") - ref["n_ref"], rate)
     out = got.join(first, ["run_id", "epoch"]).join(offsets, ["run_id", "epoch"]).withColumn("mono_ns", mono)
     return (out.withColumn("utc_ns", F.col("mono_ns") + F.col("offset_ns"))
             .withColumn("start_utc", ns_to_iso("utc_ns")).drop("hit", "_first", "offset_ns"))

@@ -106,16 +106,28 @@ def postings(rows: DataFrame, text: str = "text") -> DataFrame:
             .withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(INDEX_BUCKETS)).cast("int")))
 
 
-def write_index(rows: DataFrame, path: str, text: str = "text") -> None:
-    """Write postings by term bucket, document lengths beside them.
+def write_index(rows: DataFrame, path: str, text: str = "text", part: int = 0) -> None:
+    """Write postings by part and term bucket, document lengths beside them.
 
     Files are split by a hash of the document inside a bucket, so a very common term is many files
-    and not one task. Rewriting some documents means rewriting the buckets of their terms.
+    and not one task. A part is overwritten as a whole, so a repeated write changes nothing;
+    changed documents are handled by rewriting their part.
     """
     spread = F.pmod(F.xxhash64("id"), F.lit(16))
-    (postings(rows, text).repartition("bucket", spread).sortWithinPartitions("bucket", "term")
-     .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
-    rows.select("id", F.size(tokens(text)).alias("dl")).write.mode("overwrite").parquet(f"{path}/lengths")
+    target = F.lit(part).cast("bigint")
+
+    def save(df: DataFrame, name: str, *by: str) -> None:
+        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", *by)
+         .parquet(f"{path}/{name}"))
+
+    save(postings(rows, text).withColumn("part", target).repartition("bucket", spread)
+         .sortWithinPartitions("bucket", "term"), "postings", "bucket")
+    save(rows.select("id", F.size(tokens(text)).alias("dl"), target.alias("part")), "lengths")
+
+
+def append_index(rows: DataFrame, path: str, batch_id: int, text: str = "text") -> None:
+    """A micro-batch as its own part: index upkeep for a stream, safe to replay."""
+    write_index(rows, path, text, batch_id)
 
 
 def search_index(spark: SparkSession, path: str, query: str) -> DataFrame:
