@@ -41,9 +41,8 @@ def test_incremental_and_out_of_order_equal_one_shot():
         state, got = {}, []
         todo = [head, *rest]
         while todo:
-            take, todo = todo[:rnd.randrange(1, 3)], todo[rnd.randrange(1, 3):] if False else todo
-            n = len(take)
-            todo = todo[n:]
+            n = rnd.randrange(1, 3)
+            take, todo = todo[:n], todo[n:]
             state, out = step(json.loads(json.dumps(state)), take, Rules(), False)
             got += out
         assert sorted(got) == sorted(("chunk", *c) for c in window_loop(probs, Rules(), "shutdown")), seed
@@ -114,7 +113,7 @@ def test_session_stream_equals_batch(spark, tmp):
     chunks.coalesce(1).write.parquet(f"{tmp}/in")
     stream = spark.readStream.schema(chunks.schema).parquet(f"{tmp}/in")
     q = (session_windows(stream, 14_400.0, "1 hour").writeStream.format("memory").queryName("preview")
-         .outputMode("complete" if False else "append").trigger(availableNow=True).start())
+         .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination(120)
     done = {tuple(r) for r in spark.table("preview").collect()}
     batch = {tuple(r) for r in session_windows(chunks, 14_400.0).collect()}
@@ -124,10 +123,10 @@ def test_session_stream_equals_batch(spark, tmp):
 def test_index_gives_the_scores_of_a_scan(spark, tmp):
     from tidemark.plans import views
     corpus = views.search_corpus(spark, "/root/testdata/sf0.001")
-    search.write_index(corpus.where("id % 2 = 0"), f"{tmp}/ix", part=0)
-    search.append_index(corpus.where("id % 2 = 1"), f"{tmp}/ix", 1)
-    search.append_index(corpus.where("id % 2 = 1"), f"{tmp}/ix", 1)  # replay
-    got = {r.id: round(r.score, 9) for r in search.search_index(spark, f"{tmp}/ix", "the only").collect()}
+    search.write_index(corpus.where("id % 2 = 0"), f"{tmp}/ix", part=0, buckets=4)
+    search.append_index(corpus.where("id % 2 = 1"), f"{tmp}/ix", 1, buckets=4)
+    search.append_index(corpus.where("id % 2 = 1"), f"{tmp}/ix", 1, buckets=4)  # replay
+    got = {r.id: round(r.score, 9) for r in search.search_index(spark, f"{tmp}/ix", "the only", 4).collect()}
     want = {r.id: round(r.score, 9) for r in search.literal_matches(corpus, "the only").collect()}
     assert got == want and got
 

@@ -95,18 +95,20 @@ def address_end(start: str = "start_utc_ms", end: str = "end_utc_ms") -> Column:
 
 # ------------------------------------------------------------- written index
 
-INDEX_BUCKETS = 256
+INDEX_BUCKETS = 256  # term buckets of a written index; writer and reader must agree
 
 
-def postings(rows: DataFrame, text: str = "text") -> DataFrame:
+def postings(rows: DataFrame, text: str = "text", buckets: int = INDEX_BUCKETS) -> DataFrame:
     """(term, id, tf, positions, dl, bucket): one row per term of a document."""
-    tok = rows.select("id", F.posexplode(tokens(text)).alias("pos", "term"), F.size(tokens(text)).alias("dl"))
+    # The length is settled below the explode; above it, it would be counted again for every token.
+    whole = rows.select("id", tokens(text).alias("_t")).select("id", "_t", F.size("_t").alias("dl"))
+    tok = whole.select("id", "dl", F.posexplode("_t").alias("pos", "term"))
     return (tok.groupBy("id", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"),
                                           F.first("dl").alias("dl"))
-            .withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(INDEX_BUCKETS)).cast("int")))
+            .withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")))
 
 
-def write_index(rows: DataFrame, path: str, text: str = "text", part: int = 0) -> None:
+def write_index(rows: DataFrame, path: str, text: str = "text", part: int = 0, buckets: int = INDEX_BUCKETS) -> None:
     """Write postings by part and term bucket, document lengths beside them.
 
     Files are split by a hash of the document inside a bucket, so a very common term is many files
@@ -120,17 +122,17 @@ def write_index(rows: DataFrame, path: str, text: str = "text", part: int = 0) -
         (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", *by)
          .parquet(f"{path}/{name}"))
 
-    save(postings(rows, text).withColumn("part", target).repartition("bucket", spread)
+    save(postings(rows, text, buckets).withColumn("part", target).repartition("bucket", spread)
          .sortWithinPartitions("bucket", "term"), "postings", "bucket")
     save(rows.select("id", F.size(tokens(text)).alias("dl"), target.alias("part")), "lengths")
 
 
-def append_index(rows: DataFrame, path: str, batch_id: int, text: str = "text") -> None:
+def append_index(rows: DataFrame, path: str, batch_id: int, text: str = "text", buckets: int = INDEX_BUCKETS) -> None:
     """A micro-batch as its own part: index upkeep for a stream, safe to replay."""
-    write_index(rows, path, text, batch_id)
+    write_index(rows, path, text, batch_id, buckets)
 
 
-def search_index(spark: SparkSession, path: str, query: str) -> DataFrame:
+def search_index(spark: SparkSession, path: str, query: str, buckets: int = INDEX_BUCKETS) -> DataFrame:
     """(id, score) of documents that hold every single-token term, read from the index.
 
     Only the term buckets of the query are read; document frequencies come from the same rows.
@@ -140,9 +142,8 @@ def search_index(spark: SparkSession, path: str, query: str) -> DataFrame:
         raise ValueError("the index answers single-token terms; scan for phrases")
     lengths = spark.read.parquet(f"{path}/lengths")
     stats = lengths.agg(F.count("*").alias("N"), F.sum("dl").alias("L")).select(F.struct("*")).scalar()
-    buckets = spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in set(terms)])).alias("term")).select(
-        F.pmod(F.xxhash64("term"), F.lit(INDEX_BUCKETS)).cast("int").alias("b"))
-    wanted = [r.b for r in buckets.collect()]  # one value per query term
+    numbers = F.array_distinct(F.array(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)).cast("int") for t in set(terms)]))
+    wanted = spark.range(1).select(numbers.alias("b")).first().b  # at most one value per query term
     hits = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(wanted) & F.col("term").isin(terms))
     df = hits.groupBy("term").agg(F.count("*").alias("n"))
     scored = (hits.join(F.broadcast(df), "term").withColumn("_s", stats)
