@@ -62,14 +62,20 @@ def phrase_tokens(term: str) -> list[str]:
     return out
 
 
-def joined_tokens(text: Column | str) -> Column:
-    """Tokens as one text, each between single spaces."""
-    return F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))
-
-
-def phrase_count(joined: Column, phrase: list[str]) -> Column:
-    """How often consecutive tokens equal the phrase, in `joined_tokens` form."""
-    return overlapping_count(joined, " " + " ".join(phrase) + " ")
+def phrase_count(token_array: Column, phrase: list[str]) -> Column:
+    """How often consecutive tokens equal the phrase.
+
+    Tokens are laid out with a space of their own on either side, so hits cannot share one, and the
+    count is the length a plain replace takes away; only a phrase that can overlap itself needs a
+    pattern.
+    """
+    laid = F.concat(F.lit(" "), F.array_join(token_array, "  "), F.lit(" "))
+    needle = " " + "  ".join(phrase) + " "
+    if any(phrase[:k] == phrase[-k:] for k in range(1, len(phrase))):
+        return overlapping_count(laid, needle)
+    gone = F.octet_length(laid) - F.octet_length(F.replace(laid, F.lit(needle), F.lit("")))
+    return F.when(F.array_contains(token_array, phrase[0]),
+                  F.call_function("div", gone, F.lit(len(needle.encode())))).otherwise(0)
 
 
 def overlapping_count(text: Column, term: str) -> Column:

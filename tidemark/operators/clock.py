@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.times import floor_div, ns_to_iso
-from .folds import map_groups, number_blocks
+from .folds import map_groups, number_blocks, spread
 from .intervals import as_of
 from .sliced import Carry, drop_slice, scan, with_slice
 
@@ -44,7 +44,7 @@ def block_timeline(blocks: DataFrame, rate: int = 16_000, late_ns: int = 200_000
         Carry("n_end", "sum", F.col("n_frames").cast("bigint")),
         Carry("_part", "sum", F.col("overflow").cast("bigint"))])).withColumn("n_start", F.col("n_end") - F.col("n_frames"))
     cols = ["run_id", "seq", "_part", "n_start", "n_end", "mono_ns", "real_ns", "adc_latency_ns"]
-    ordered = counted.select(*cols).repartition("run_id", "_part").sortWithinPartitions("run_id", "_part", "seq")
+    ordered = spread(counted.select(*cols), ["run_id", "_part"]).sortWithinPartitions("run_id", "_part", "seq")
     schema = ("run_id string, seq bigint, _part bigint, n_start bigint, n_end bigint, _epoch bigint, new_epoch boolean, "
               "epoch_start_n bigint, lateness_ns bigint, step_ns bigint, offset_ns bigint, anchor_n bigint, "
               "anchor_mono_ns bigint")

@@ -36,6 +36,12 @@ class Links:
     shift: int
 
 
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hash partitions in the configured number: Python work is far heavier than its bytes suggest,
+    so adaptive merging of small partitions would leave it to one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def map_groups(df: DataFrame, keys: Sequence[str], order: str, fn: Callable[[pd.DataFrame], pd.DataFrame],
                schema: str) -> DataFrame:
     """Run `fn` on each group of `keys`, rows sorted by `order`.
@@ -75,7 +81,7 @@ def map_groups(df: DataFrame, keys: Sequence[str], order: str, fn: Callable[[pd.
         if held:
             yield done()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
+    return spread(df, keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
 
 
 def number_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], position: str, width: int,
@@ -206,12 +212,10 @@ def pack_windows(chunks: DataFrame, window_s: float = 30.0, gap_s: float = 0.3,
         return Links(nxt, cuts, room - (used[n] - used[:-1]) + 1, int(used[n]))
 
     done = chain(blocks, ["device_id"], links, 0)
-    lead = done.where("_owner = _rn").select("device_id", F.col("_rn").alias("_owner"), F.col("id").alias("window_id"))
-    inside = (done.join(lead, ["device_id", "_owner"]))
     w = Window.partitionBy("device_id", "_owner").orderBy("_rn")  # one window: seconds of audio
     before = F.coalesce(F.sum(F.col("duration_ms") + gap).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return inside.select("device_id", "id", "start_utc_ms", "end_utc_ms", "duration_ms", "window_id",
-                         (F.row_number().over(w) - 1).alias("ord"), before.alias("offset_ms"))
+    return done.select("device_id", "id", "start_utc_ms", "end_utc_ms", "duration_ms", F.first("id").over(w).alias("window_id"),
+                       (F.row_number().over(w) - 1).alias("ord"), before.alias("offset_ms"))
 
 
 def window_spans(packed: DataFrame) -> DataFrame:

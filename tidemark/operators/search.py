@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.text import contains_folded, joined_tokens, overlapping_count, phrase_count, phrase_tokens, tokens
+from ..functions.text import contains_folded, overlapping_count, phrase_count, phrase_tokens, tokens
 
 # bm25 parameters and the floor of a non-positive idf.
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
@@ -47,12 +47,9 @@ def literal_matches(rows: DataFrame, query: str, text: str = "text") -> DataFram
     phrases = [p for p in (phrase_tokens(t) for t in query.split()) if p]
     if not phrases:
         return rows.where(F.lit(False)).withColumn("score", F.lit(None).cast("double"))
-    tokenised = rows.withColumn("_tok", joined_tokens(text))
+    tokenised = rows.withColumn("_tok", tokens(text))
     freqs = [phrase_count(F.col("_tok"), p) for p in phrases]
-    # One space before each token and one after the last; a text without tokens is two spaces.
-    spaces = F.length("_tok") - F.length(F.replace(F.col("_tok"), F.lit(" "), F.lit("")))
-    length = F.when(F.col("_tok") == "  ", 0).otherwise(spaces - 1)
-    return _scored(tokenised, freqs, length).drop("_tok")
+    return _scored(tokenised, freqs, F.size("_tok")).drop("_tok")
 
 
 def fuzzy_matches(rows: DataFrame, query: str, text: str = "text") -> DataFrame:

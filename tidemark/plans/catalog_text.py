@@ -17,6 +17,7 @@ from ..operators import sessions as S
 from ..operators import tags as G
 from ..operators import transcripts as TR
 from ..operators import visibility as VS
+from ..session import materialise
 from ..sources import stt
 from . import surface as U
 from . import views as V
@@ -470,7 +471,7 @@ def _window_responses(spark, d):
     """One recogniser reply per packed window of sped-up chunks: a segment per two chunks, a word
     every 0.7 s, some of them in the pauses between chunks."""
     packed = L.pack_windows(dense(spark, d))
-    spans = L.window_spans(packed)
+    spans = materialise(L.window_spans(packed))
     end = F.element_at("spans", -1)["end"]
     ticks = F.sequence(F.lit(0), F.floor(end / 0.7).cast("int"))
     words = F.transform(ticks, lambda i: F.struct((i * 0.7).alias("start"), (i * 0.7 + 0.5).alias("end"),
