@@ -197,6 +197,29 @@ def free_stretches(raw: DataFrame, derived: DataFrame) -> DataFrame:
     return subtract(span(raw), span(derived), EPOCH, "lo", "hi", SAMPLE_SLICE)
 
 
+def refill_chunks(cuts: DataFrame, free: DataFrame, min_speech: int = 4_000) -> DataFrame:
+    """Cuts (EPOCH, n_start, n_end, cut_reason) clipped to free stretches (EPOCH, lo, hi).
+
+    A remainder at the head of a stretch that is shorter than `min_speech` joins the cut that
+    continues it. Cuts of one stretch do not overlap, so head and successor are found by an
+    aggregate and an equi-join, not by a window over the stretch.
+    """
+    pairs = interval_join(cuts, free.select(*EPOCH, "lo", "hi"), EPOCH, ("n_start", "n_end"), ("lo", "hi"), SAMPLE_SLICE)
+    clipped = (pairs.where("n_start < hi and n_end > lo")
+               .select(*EPOCH, "lo", F.greatest("n_start", "lo").alias("n_start"), F.least("n_end", "hi").alias("n_end"),
+                       "cut_reason"))
+    short = clipped.where((F.col("n_start") == F.col("lo")) & (F.col("n_end") - F.col("n_start") < min_speech))
+    heads = short.select(*EPOCH, "lo", F.col("n_end").alias("_head_end"))
+    out = clipped.join(heads, [*EPOCH, "lo"], "left")
+    follows = out.where(F.col("n_start") == F.col("_head_end")).select(*EPOCH, "lo", F.lit(True).alias("_merged"))
+    out = out.join(follows, [*EPOCH, "lo"], "left")
+    gone = F.col("_merged") & (F.col("n_start") == F.col("lo"))
+    joined = F.col("_merged") & (F.col("n_start") == F.col("_head_end"))
+    return (out.where(~F.coalesce(gone, F.lit(False)))
+            .withColumn("n_start", F.when(joined, F.col("lo")).otherwise(F.col("n_start")))
+            .select(*EPOCH, "n_start", "n_end", "cut_reason"))
+
+
 def purgeable_raw(raw: DataFrame, chunks: DataFrame, as_of_ms: int, retention_days: int = 30) -> DataFrame:
     """Segmented raw rows past the retention, by audio and by arrival, that no derived chunk overlaps.
 

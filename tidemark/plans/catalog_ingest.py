@@ -284,6 +284,34 @@ def derived_rows(spark, d):
         F.lit("silence").alias("cut_reason"), "sha256")
     return A.derived_rows(cuts, raw).select("sha256", "start_utc_ms", "duration_ms", "discontinuity")
 
+@query("refill_chunks", f"""
+WITH c AS (SELECT device_id, lo AS n_start, lead(lo) OVER (PARTITION BY device_id ORDER BY lo) AS n_end FROM (
+    SELECT DISTINCT device_id, n_start // 8000000 * 8000000 AS lo FROM v_raw)),
+r AS (SELECT device_id, lo, coalesce(lead(lo) OVER (PARTITION BY device_id ORDER BY lo) - 1600, lo + 16000000) AS hi FROM (
+    SELECT device_id, min(n_start) AS lo FROM v_spans_n GROUP BY device_id, n_start // 3000000000)),
+k AS (SELECT c.device_id, r.lo, greatest(c.n_start, r.lo) AS a, least(c.n_end, r.hi) AS b FROM c JOIN r ON r.device_id = c.device_id AND c.n_start < r.hi AND c.n_end > r.lo
+  WHERE c.n_end IS NOT NULL),
+m AS (SELECT *, lag(b) OVER w AS pb, lag(a) OVER w AS pa, lead(a) OVER w AS na FROM k WINDOW w AS (PARTITION BY device_id, lo ORDER BY a))
+SELECT device_id, CASE WHEN pa = lo AND pb - pa < 40000000 AND pb = a THEN pa ELSE a END AS n_start, b AS n_end FROM m
+WHERE NOT (a = lo AND b - a < 40000000 AND na IS NOT NULL AND na = b)""")
+def refill_chunks(spark, d):
+    # Cuts from one raw start to the next on an 8 M sample grid; stretches begin at spans.
+    raw = V.raw_segments(spark, d).select("device_id", (T.floor_div("n_start", 8_000_000) * 8_000_000).alias("n_start")).distinct()
+    marks = drop_slice(scan(with_slice(raw, "n_start", A.SAMPLE_SLICE), ["device_id"], ["n_start"],
+                            [Carry("n_end", "lag", F.col("n_start"))], reverse=True)).where("n_end is not null")
+    spans = V.dictation_spans(spark, d).select("device_id", ((F.col("start_utc_ms") - BASE) * 16).alias("n"))
+    heads = spans.groupBy("device_id", T.floor_div("n", 3_000_000_000).alias("g")).agg(F.min("n").alias("lo"))
+    free = drop_slice(scan(with_slice(heads, "lo", A.SAMPLE_SLICE), ["device_id"], ["lo"],
+                           [Carry("_next", "lag", F.col("lo"))], reverse=True))
+    free = free.withColumn("hi", F.coalesce(F.col("_next") - 1600, F.col("lo") + 16_000_000))
+
+    def keyed(df):
+        return df.withColumn("run_id", F.lit("r")).withColumn("epoch", F.lit(0).cast("bigint"))
+
+    out = A.refill_chunks(keyed(marks.withColumn("cut_reason", F.lit("silence"))), keyed(free), 40_000_000)
+    return out.select("device_id", "n_start", "n_end")
+
+
 @query("transcribe")
 def transcribe_windows(spark, d):
     p = _pcm(spark, d).where("n >= 64")

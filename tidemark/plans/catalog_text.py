@@ -105,11 +105,11 @@ def keyset_page(spark, d):
 
 
 @query("segment_context", f"""
-SELECT v.id, v.channel FROM v_visible v, (SELECT * FROM v_segments WHERE id = 18) a WHERE v.device_id = a.device_id
-AND v.end_utc_ms >= a.start_utc_ms - 60000 AND v.start_utc_ms <= a.end_utc_ms + 60000 AND v.channel <> 'dictation'""")
+SELECT v.id, v.channel FROM v_visible v, (SELECT * FROM v_segments WHERE id = 25) a WHERE v.device_id = a.device_id
+AND v.end_utc_ms >= a.start_utc_ms - 60000 AND v.start_utc_ms <= a.end_utc_ms + 60000""")
 def segment_context(spark, d):
     s, _, t = _seg(spark, d)
-    return U.segment_context(s, t, 18).select("id", "channel")
+    return U.segment_context(s, t, 25, include_dictation=True).select("id", "channel")
 
 
 @query("session_opening", f"""

@@ -41,6 +41,7 @@ SELECT event_id AS id, device_id, start_utc_ms, end_utc_ms, 'span ' || event_id
   'tool' AS origin, props->>'$.k' AS k, end_utc_ms + 2000 AS received_utc_ms,
   CASE WHEN event_id % 7 = 0 THEN 'pending' ELSE 'applied' END AS status
 FROM v_events WHERE event_type = 'purchase'""",
+    "v_spans_n": f"SELECT device_id, (start_utc_ms - {BASE_MS}) * 16 AS n_start FROM v_spans",
     "v_stt": """
 SELECT event_id AS id, event_id AS chunk_id, device_id, start_utc_ms, end_utc_ms,
   event_type || ' ' || user_id || ' row ' || event_id AS text FROM v_events WHERE event_type <> 'purchase'""",
