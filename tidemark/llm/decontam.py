@@ -89,17 +89,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
         found = found.select("id", "n", mark.alias("mark"), "item", "size", _occurrences().alias("places"))
     else:
         at = base.select("id", "n", mark.alias("mark"), F.posexplode("words").alias("d", "word")).join(probes, "word").where(first <= last)
-        texts = base.select("id", mark.alias("mark"), "words").distinct()
-        same = at["id"].eqNullSafe(texts["id"]) & (at["mark"] == texts["mark"])
-        found = at.join(texts, same).select(at["id"], "n", at["mark"], "item", "size", _occurrences().alias("places"))
+        texts = base.select(F.col("id").alias("its_id"), mark.alias("its_mark"), "words").distinct()
+        found = at.join(texts, F.col("id").eqNullSafe(F.col("its_id")) & (F.col("mark") == F.col("its_mark")))
+        found = found.select("id", "n", "mark", "item", "size", _occurrences().alias("places"))
     found = found.where(F.size("places") > 0)
     spans = F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("size") - 1)))
-    hits = found.groupBy("id", "n", "mark").agg(
+    hits = found.groupBy(F.col("id").alias("hit_id"), F.col("n").alias("hit_n"), F.col("mark").alias("hit_mark")).agg(
         F.size(F.array_distinct(F.flatten(F.collect_list(spans)))).cast("long").alias("n_hit"),
         F.array_sort(F.array_remove(F.collect_set("item"), "")).alias("items"))
-    rows = base.select("id", "n", mark.alias("mark"))
-    same = rows["id"].eqNullSafe(hits["id"]) & (rows["mark"] == hits["mark"]) & (rows["n"] == hits["n"])
-    n_hit, n = F.coalesce("n_hit", F.lit(0)), rows["n"].cast("long")
-    return rows.join(hits, same, "left").select(
-        rows["id"].alias(key), n.alias("n_words"), n_hit.cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+    same = F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("mark") == F.col("hit_mark")) & (F.col("n") == F.col("hit_n"))
+    n_hit, n = F.coalesce("n_hit", F.lit(0)), F.col("n").cast("long")
+    return base.select("id", "n", mark.alias("mark")).join(hits, same, "left").select(
+        F.col("id").alias(key), n.alias("n_words"), n_hit.cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), ((n_hit > 0) & (SHARE * n_hit >= n)).alias("contaminated"))

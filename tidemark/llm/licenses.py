@@ -35,9 +35,10 @@ def canonical(text: Column) -> Column:
     """The canonical form of a text; empty if nothing is left."""
     c = F.regexp_replace(F.lower(text), r"(?m)^\W*(copyright\b|\(c\)|©).*$", " ")
     c = F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "))
-    for said, same in SPELLINGS:
-        c = F.when(c.contains(said), F.regexp_replace(c, rf"\b{said}\b", same)).otherwise(c)
-    return c
+    same = c
+    for said, for_it in SPELLINGS:
+        same = F.regexp_replace(same, rf"\b{said}\b", for_it)
+    return F.when(c.rlike(r"\b(" + "|".join(s for s, _ in SPELLINGS) + r")\b"), same).otherwise(c)
 
 
 def known_notices(spark: SparkSession) -> DataFrame:
@@ -62,9 +63,10 @@ def license_scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: s
     found = lines.withColumn("digest", digest(F.col("line"))).join(table, "digest")
     # equal rows share id and mark: their lines are counted once for each distinct row
     copies = rows.groupBy("id", "mark").agg(F.count("*").alias("copies"))
-    by_row = found.groupBy("id", "mark").agg(F.count("*").alias("lines"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"))
-    same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["mark"] == b["mark"])
-    lines_of = copies.join(by_row, same(copies, by_row)).select(copies["id"], copies["mark"], (F.col("lines") / F.col("copies")).cast("long").alias("n_lines"), "licenses")
+    by_row = found.groupBy(F.col("id").alias("its_id"), F.col("mark").alias("its_mark")).agg(
+        F.count("*").alias("lines"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"))
+    same = F.col("id").eqNullSafe(F.col("its_id")) & (F.col("mark") == F.col("its_mark"))
+    by_row = copies.join(by_row, same).select("its_id", "its_mark", (F.col("lines") / F.col("copies")).cast("long").alias("n_lines"), "licenses")
     whole = rows.select("id", "mark", digest(F.col("text")).alias("digest")).join(table.withColumnRenamed("license", "whole_license"), "digest", "left")
-    return whole.join(lines_of, same(whole, lines_of), "left").select(
-        whole["id"].alias(key), "whole_license", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("licenses", F.lit("")).alias("licenses"))
+    return whole.join(by_row, same, "left").select(
+        F.col("id").alias(key), "whole_license", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("licenses", F.lit("")).alias("licenses"))

@@ -157,13 +157,13 @@ def _rest(met: DataFrame, first: DataFrame, bits: DataFrame, tested: DataFrame)
     parts = F.ceil(F.col("members") / BLOCK).cast("int")
     rows = known.join(large, "bucket").join(bits, "id")
     there = rows.select("bucket", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), "id", "n", "component", "bits")
-    here = rows.where("component <> large").select("bucket", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *[F.col(c).alias("x_" + c) for c in ("id", "n", "component", "bits")])
+    here = rows.where("component <> large").select(F.explode(F.sequence(F.lit(0), parts - 1)).alias("x_part"), *[F.col(c).alias("x_" + c) for c in ("bucket", "id", "n", "component", "bits")])
     apart = F.aggregate(F.zip_with("bits", "x_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, v: t + v)
     total = F.col("n") + F.col("x_n")
     near = ((F.col("component") != F.col("x_component")) & (DEN * F.least("n", "x_n") >= NUM * F.greatest("n", "x_n"))
             # each bit that differs stands for an element that only one of the sets has
             & (DEN * (total - apart) >= NUM * (total + apart)))
-    joined = there.join(here, (there["bucket"] == here["bucket"]) & (there["part"] == here["part"]) & near)
+    joined = there.join(here, (F.col("bucket") == F.col("x_bucket")) & (F.col("part") == F.col("x_part")) & near)
     return (joined.select(F.greatest("id", "x_id").alias("a"), F.least("id", "x_id").alias("b")).distinct()
             .join(tested, ["a", "b"], "left_anti"))
 

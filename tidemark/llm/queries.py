@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
+from . import quality_mil, toxicity_crf
 from .bpe_chunks import encode_decode
 from .decontam import contamination
 from .licenses import NOTICES, SPELLINGS, known_notices, license_scan
 from .neardup import near_duplicates
+from .ngram_lm import score_texts
+from .sampling import fold
 from .token_counts import token_counts
 from .topk import top_k
 from .warc import archive_round_trip
@@ -44,6 +47,17 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_texts(table(spark, sf_dir, "documents"), fold("doc_id", 10) != 0)
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op7_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_mil.train(docs, table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
+    return quality_mil.score(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -52,8 +66,15 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op10_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_crf.train(docs, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
+    return toxicity_crf.score(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted", "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_topk_search, op2_bpe_round_trip, op3_warc_round_trip, op4_license_scan, op5_near_duplicates, op8_decontamination, op9_token_counts)}
+    op1_topk_search, op2_bpe_round_trip, op3_warc_round_trip, op4_license_scan, op5_near_duplicates, op6_ngram_scores, op7_quality_mil,
+    op8_decontamination, op9_token_counts, op10_toxicity_crf)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -107,7 +128,7 @@ ORACLES: dict[str, str] = {
         places AS (SELECT doc_id, size, s, array_to_string(w[s:s + size - 1], ' ') AS t FROM (
                 SELECT doc_id, size, w, unnest(range(1, len(w) - size + 2)) AS s FROM d JOIN sizes ON len(w) >= size)),
         hits AS (SELECT doc_id, item_id, p.size, s FROM places p JOIN windows x ON x.size = p.size AND x.t = p.t),
-        covered AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS at FROM hits) GROUP BY doc_id),
+        covered AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS pos FROM hits) GROUP BY doc_id),
         named AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hits) GROUP BY doc_id)
         SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
