@@ -6,9 +6,9 @@ cost 2 * m * K/2 minimums, about the square root of L * K. Two sets of similarit
 with probability (1 - (1 - s^(K/2))^m)^2: 0.9995 at s = 0.75, over 0.99999 at 0.85.
 
 1. Texts with equal sets become one class (a shuffle of signatures, not of texts).
-2. Each class is compared with the smallest class it meets in any table: one pair a class at most, so a
-   group of thousands of near copies costs thousands of pairs, not millions. Verified pairs give
-   first components.
+2. Each class is compared with the centre (one class of a table) that it meets most often: one pair a
+   class at most, so a group of thousands of near copies costs thousands of pairs, not millions. Verified
+   pairs give components; classes that still meet other components are compared with another centre.
 3. Tables where classes of different components still meet are searched in full, blocks of members
    against blocks, across components only; lengths and a bitmap of each set bound the overlap from
    above, and only pairs that the bounds allow are verified. No bucket is capped or sampled.
@@ -30,7 +30,9 @@ from .text import LOWER, mix, rows_of, span_hashes, word_spans
 
 WORDS = 5
 #: Half keys of a collection, minimums of a half key, words of a set's bitmap, members of a block.
-HALF_KEYS, HALF_WIDTH, BITMAP_WORDS, BLOCK = 10, 2, 16, 512
+HALF_KEYS, HALF_WIDTH, BITMAP_WORDS, BLOCK = 10, 2, 32, 512
+#: Rounds of one pair a class before the full search, and rows of three numbers that may be broadcast.
+TURNS, BROADCAST_ROWS = 3, 1_000_000
 #: Similarity as a fraction of integers: link where DEN * common >= NUM * union.
 NUM, DEN = 75, 100
 
@@ -112,45 +114,75 @@ def _keys() -> F.Column:
         t, F.get(F.col("halves"), (t / HALF_KEYS).cast("int")), F.get(F.col("halves"), (t % HALF_KEYS).cast("int") + HALF_KEYS)))
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """The frame of a few numbers a row, to be broadcast if its counted rows allow it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. `texts` is (id, text).
 
-    Each side's text is joined to its pair; a text that is in many pairs is copied to salted keys, so no
-    task gets all pairs of one text. Sets are made again from the texts, in the task that compares them."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = stored(texts.join(wanted, "id", "left_semi").distinct(), "texts")
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(64)))
-    uses = salted.select("b", "salt").distinct()
-    right = uses.join(texts.withColumnRenamed("id", "b"), "b").withColumnRenamed("text", "text_b")
-    left = salted.join(texts.withColumnRenamed("id", "a"), "a").withColumnRenamed("text", "text_a")
+    Every pair draws its two texts to itself, so pairs of one text are dealt out. Sets are made again from
+    the texts, in the task that compares them."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id"), "a", "b")
+    drawn = texts.join(_few(ends), "id").repartition("a", "b").sortWithinPartitions("a", "b").select("a", "b", "id", "text")
+
+    def close(a: int, b: int, found: list[tuple[int, np.ndarray]]) -> bool:
+        for i, x in found:
+            for j, y in found:
+                common = len(np.intersect1d(x, y, assume_unique=True)) if i == a and j == b else 0
+                if common and DEN * common >= NUM * (len(x) + len(y) - common):
+                    return True
+        return False
 
     def confirm(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
-                sets = []
-                for side in ("text_a", "text_b"):
-                    got: list[np.ndarray] = []
-                    for _, data, offsets in rows_of(iter([part]), side):
-                        r, s = shingle_sets(data, offsets)
-                        got += np.split(s, np.searchsorted(r, np.arange(1, len(offsets) - 1)))
-                    sets.append(got)
-                keep = []
-                for x, y in zip(*sets):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(common > 0 and DEN * common >= NUM * (len(x) + len(y) - common))
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return left.join(right, ["b", "salt"]).select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long").distinct()
-
-
-def _rest(met: DataFrame, first: DataFrame, bits: DataFrame, tested: DataFrame) -> DataFrame:
-    """Untested pairs of classes that share a bucket across components and may be similar enough.
+        key, found, good = None, [], []
+        for part, data, offsets in rows_of(it, "text"):
+            r, s = shingle_sets(data, offsets)
+            sets = np.split(s, np.searchsorted(r, np.arange(1, len(offsets) - 1)))
+            for a, b, i, x in zip(*(part.column(c).to_pylist() for c in ("a", "b", "id")), sets):
+                if key != (a, b):
+                    if key and close(*key, found):
+                        good.append(key)
+                    key, found = (a, b), []
+                found.append((i, x.copy()))
+            if len(good) >= 10_000:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*good)], ["a", "b"])
+                good = []
+        if key and close(*key, found):
+            good.append(key)
+        if good:
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*good)], ["a", "b"])
+
+    return drawn.mapInArrow(confirm, "a long, b long")
+
+
+def _components_of(met: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """Bucket members with their component so far."""
+    if groups is None:
+        return met.withColumn("component", F.col("id"))
+    return met.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _stars(met: DataFrame, groups: DataFrame | None, turn: int) -> DataFrame:
+    """One pair for each class that meets another component: with the centre it meets most often.
+
+    A bucket's centre is the least class in an order that changes with each turn."""
+    known = _components_of(met, groups)
+    order = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id"), F.col("component"))
+    centre = known.groupBy("bucket").agg(F.min(order).alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    apart = known.join(centre, "bucket").where("component <> c.component").groupBy("id", F.col("c.id").alias("centre")).agg(F.count("*").alias("times"))
+    best = apart.groupBy("id").agg(F.max_by("centre", F.struct("times", "centre")).alias("centre"))
+    return best.select(F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b")).distinct()
+
+
+def _rest(met: DataFrame, groups: DataFrame, bits: DataFrame) -> DataFrame:
+    """Pairs of classes that share a bucket across components and may be similar enough.
 
     In a bucket, members outside its largest component are compared with all others, so a settled group
     of thousands meets a stranger once. Members are dealt to salted parts of about BLOCK rows, to which
     the outsiders are copied; conditions run inside the join, so only possible pairs come out."""
-    known = met.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    known = _components_of(met, groups)
     counts = known.groupBy("bucket", "component").agg(F.count("*").alias("size"))
     large = counts.groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("large"), F.sum("size").alias("members"),
                                          F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
@@ -164,8 +196,7 @@ def _rest(met: DataFrame, first: DataFrame, bits: DataFrame, tested: DataFrame)
             # each bit that differs stands for an element that only one of the sets has
             & (DEN * (total - apart) >= NUM * (total + apart)))
     joined = there.join(here, (F.col("bucket") == F.col("x_bucket")) & (F.col("part") == F.col("x_part")) & near)
-    return (joined.select(F.greatest("id", "x_id").alias("a"), F.least("id", "x_id").alias("b")).distinct()
-            .join(tested, ["a", "b"], "left_anti"))
+    return (joined.select(F.greatest("id", "x_id").alias("a"), F.least("id", "x_id").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -184,20 +215,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     member = stored(sets.select("id", "n", "p1", "p2").join(classes, ["p1", "p2", "n"], "left").select("id", "n", "class"), "members")
     reps = sets.join(classes.withColumnRenamed("class", "id"), ["id", "p1", "p2", "n"], "left_semi").dropDuplicates(["id", "p1"])
 
-    # one pair for each class: itself and the smallest class it meets in any table
+    # tables in which classes meet
     table = reps.select("id", F.explode(_keys()).alias("bucket"))
     bucket = Window.partitionBy("bucket")
     met = stored(table.withColumn("least", F.min("id").over(bucket)).withColumn("most", F.max("id").over(bucket))
-                 .where("least < most").select("id", "bucket", "least"), "buckets")
-    pairs = stored(met.groupBy(F.col("id").alias("a")).agg(F.min("least").alias("b")).where("a <> b"), "pairs")
+                 .where("least < most").select("id", "bucket"), "buckets")
     source = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), as_text(docs, text).alias("text"))
-    links = stored(_similar(pairs, source), "verified")
-    groups = components(links)
-
-    # buckets in which components still meet
-    more = stored(_rest(met, groups, reps.select("id", "n", "bits"), pairs), "pairs")
-    if more.limit(1).count():
-        links = links.union(stored(_similar(more, source), "verified"))
+    texts = stored(source.join(_few(met.select("id").distinct()), "id", "left_semi"), "texts")
+
+    links, groups = None, None
+    for turn in range(TURNS + 1):
+        pairs = _stars(met, groups, turn) if turn < TURNS else _rest(met, groups, reps.select("id", "n", "bits"))
+        pairs = stored(pairs if links is None else pairs.join(links, ["a", "b"], "left_anti"), "pairs")
+        if turn and not pairs.limit(1).count():
+            continue
+        fresh = stored(_similar(pairs, texts), "verified")
+        links = fresh if links is None else links.union(fresh)
         groups = components(links)
 
     found = member.join(groups.withColumnRenamed("node", "class"), "class", "left").select(
