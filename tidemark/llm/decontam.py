@@ -73,32 +73,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     rows that share an id each get that of their own text; other columns are ignored.
     """
     # a row is known by its id and text, so that rows that share an id do not mix
-    base = docs.select(F.col(key).alias("id"), words(F.col(text)).alias("words")).withColumn("n", F.size("words"))
-    mark = F.xxhash64("words")
+    base = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"), F.coalesce(F.xxhash64(F.col(text).cast("string")), F.lit(0)).alias("mark"))
     items = benchmark.select(F.coalesce(F.col(item_key).cast("string"), F.lit("")).alias("item"), words(F.col(item_text)).alias("words")).where(F.size("words") > 0).distinct()
     vocabulary = items.select(F.explode("words").alias("word")).distinct()
     if _small(vocabulary, F.octet_length("word")):
         vocabulary = F.broadcast(vocabulary)
-    counts = base.select(F.explode("words").alias("word")).join(vocabulary, "word").groupBy("word").agg(F.count("*").alias("seen"))
-    probes = _probes(items, counts)
+    counts = base.select(F.explode(words(F.col("text"))).alias("word")).join(vocabulary, "word").groupBy("word").agg(F.count("*").alias("seen"))
+    # a table of the item windows' size; its bytes decide how it is joined
     probes = stored(_probes(items, counts), "probes")
-    first, last = _fits()
     if _small(probes, F.octet_length("word") + F.octet_length(F.array_join("near", " ")) + 40):
-        # the words of a row stay in place while its positions are probed: only occurrences leave the task
-        found = base.select("id", "n", "words", F.posexplode("words").alias("d", "word")).join(F.broadcast(probes), "word").where(first <= last)
-        found = found.select("id", "n", mark.alias("mark"), "item", "size", _occurrences().alias("places"))
-    else:
-        at = base.select("id", "n", mark.alias("mark"), F.posexplode("words").alias("d", "word")).join(probes, "word").where(first <= last)
-        texts = base.select(F.col("id").alias("its_id"), mark.alias("its_mark"), "words").distinct()
-        found = at.join(texts, F.col("id").eqNullSafe(F.col("its_id")) & (F.col("mark") == F.col("its_mark")))
-        found = found.select("id", "n", "mark", "item", "size", _occurrences().alias("places"))
-    found = found.where(F.size("places") > 0)
+        probes = F.broadcast(probes)
+    # only positions leave the task, and only those with a probe that fits; texts meet them by row
+    placed = base.select("id", "mark", words(F.col("text")).alias("words")).select("id", "mark", F.size("words").alias("n"), F.posexplode("words").alias("d", "word"))
+    first, last = _fits()
+    found = placed.join(probes, "word").where(first <= last)
+    found = found.groupBy(F.col("id").alias("its_id"), F.col("mark").alias("its_mark")).agg(
+        F.collect_set(F.struct("d", "n", "item", "at", "lo", "hi", "size", "near")).alias("probes"))
+    texts = base.distinct().join(found, F.col("id").eqNullSafe(F.col("its_id")) & (F.col("mark") == F.col("its_mark")))
+    # the explode keeps the words in a column: they are made once for each row
+    tried = texts.select("id", "mark", words(F.col("text")).alias("words"), "probes").select("id", "mark", "words", F.explode("probes").alias("probe"))
+    found = tried.select("id", "mark", "words", "probe.*").select("id", "mark", "item", "size", _occurrences().alias("places")).where(F.size("places") > 0)
     spans = F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("size") - 1)))
-    hits = found.groupBy(F.col("id").alias("hit_id"), F.col("n").alias("hit_n"), F.col("mark").alias("hit_mark")).agg(
+    hits = found.groupBy(F.col("id").alias("hit_id"), F.col("mark").alias("hit_mark")).agg(
         F.size(F.array_distinct(F.flatten(F.collect_list(spans)))).cast("long").alias("n_hit"),
         F.array_sort(F.array_remove(F.collect_set("item"), "")).alias("items"))
-    same = F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("mark") == F.col("hit_mark")) & (F.col("n") == F.col("hit_n"))
+    same = F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("mark") == F.col("hit_mark"))
     n_hit, n = F.coalesce("n_hit", F.lit(0)), F.col("n").cast("long")
-    return base.select("id", "n", mark.alias("mark")).join(hits, same, "left").select(
+    return base.select("id", "mark", F.size(words(F.col("text"))).alias("n")).join(hits, same, "left").select(
         F.col("id").alias(key), n.alias("n_words"), n_hit.cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), ((n_hit > 0) & (SHARE * n_hit >= n)).alias("contaminated"))
