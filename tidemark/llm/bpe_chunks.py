@@ -11,7 +11,8 @@ such places. Where a chunk had to be cut elsewhere, the join is repaired: the by
 place to the next one are encoded again, widening over further chunks until both ends agree.
 
 Blobs are packed and compressed by page and bucket, so the shuffles carry each text and its ids about
-once, in less space than the input. A page is PAGE_BYTES of text of one task, a bucket about as much.
+once, in less space than the input. A page is PAGE_BYTES of text of one task, a bucket
+BUCKET_BYTES of all chunks. A bucket answers in the order it was asked, so digests travel once.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from .text import SPACE, buffers
 #: Mean of about 1 KB: cuts fall on one in 128 word ends, no nearer than MIN, no farther than MAX bytes.
 MASK, MIN_CHUNK, MAX_CHUNK = np.uint64(127), 128, 4096
 WINDOW = 16
-PAGE_BYTES = 8 << 20
+PAGE_BYTES, BUCKET_BYTES = 16 << 20, 64 << 20
 
 _GEAR = (np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _STEP = 0x5851F42D4C957F2D
@@ -83,10 +84,10 @@ def cuts(data: np.ndarray) -> list[int]:
     return [*out, n] if n > at else out
 
 
-def _pack(*arrays: np.ndarray | bytes) -> bytes:
+def _pack(*arrays: np.ndarray | bytes, level: int = 3) -> bytes:
     parts = [a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes() for a in arrays]
     head = np.array([len(parts), *map(len, parts)], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(parts))
+    return zstandard.ZstdCompressor(level=level).compress(head + b"".join(parts))
 
 
 def _unpack(blob: bytes) -> list[bytes]:
@@ -110,7 +111,8 @@ def _digest(chunk: bytes) -> bytes:
 
 
 def _page(page: int, ids: list, texts: list[np.ndarray], buckets: int) -> pa.RecordBatch:
-    """Kind 0: distinct chunks, by bucket. Kind 1: ids of the documents, the digests that make them up."""
+    """Kind 0: distinct chunks, by bucket. Kind 1: ids of the documents, and the chunks that make them up,
+    numbered through the page's buckets in ascending order."""
     chunks: dict[bytes, bytes] = {}
     order, counts = [], []
     for data in texts:
@@ -125,9 +127,10 @@ def _page(page: int, ids: list, texts: list[np.ndarray], buckets: int) -> pa.Rec
     by: dict[int, list[bytes]] = {}
     for d in chunks:
         by.setdefault(int.from_bytes(d[:6], "little") % buckets, []).append(d)
-    rows = [(b, page, 0, _pack(b"".join(ds), np.array([len(chunks[d]) for d in ds], np.int32), b"".join(chunks[d] for d in ds))) for b, ds in by.items()]
+    rows = [(b, page, 0, _pack(b"".join(ds), np.array([len(chunks[d]) for d in ds], np.int32), b"".join(chunks[d] for d in ds), level=6)) for b, ds in by.items()]
+    number = {d: i for i, d in enumerate(d for b in sorted(by) for d in by[b])}
     known = np.array([i is not None for i in ids])
-    rows.append((page % buckets, page, 1, _pack(np.array([i or 0 for i in ids], np.int64), known, np.array(counts, np.int32), b"".join(order))))
+    rows.append((page % buckets, page, 1, _pack(np.array([i or 0 for i in ids], np.int64), known, np.array(counts, np.int32), np.array([number[d] for d in order], np.int32))))
     return _packed(rows)
 
 
@@ -162,7 +165,7 @@ def _encode(path: str):
         tok, bucket, known = bpe.load(path), None, {}
         for place, page, kind, blob in _rows(batches):
             if kind == 1:
-                yield _packed([(0, page, 1, blob)])
+                yield _packed([(-1, page, 1, blob)])
                 continue
             if place != bucket:
                 bucket, known = place, {}
@@ -174,7 +177,7 @@ def _encode(path: str):
                     known[d] = tok.encode(text[at:at + n].decode())
                 out.append(known[d])
                 at += n
-            yield _packed([(0, page, 0, _pack(digests, np.array([len(x) for x in out], np.int32), np.concatenate(out).astype(np.uint16) if len(tok.tokens) <= 1 << 16 else np.concatenate(out)))])
+            yield _packed([(place, page, 0, _pack(np.array([len(x) for x in out], np.int32), np.concatenate(out).astype(np.uint16) if len(tok.tokens) <= 1 << 16 else np.concatenate(out)))])
     return encode
 
 
@@ -233,18 +236,15 @@ def _tokens_of(ids: np.ndarray, size: int, tok: bpe.Bpe) -> int:
 
 def _assemble(path: str, full: bool):
     def page_rows(blobs: list[bytes], skeleton: bytes, tok: bpe.Bpe) -> Iterator[pa.RecordBatch]:
-        found: dict[bytes, np.ndarray] = {}
+        found: list[np.ndarray] = []
         kind = np.uint16 if len(tok.tokens) <= 1 << 16 else np.uint32
         for blob in blobs:
-            digests, counts, ids = _unpack(blob)
-            flat, at = np.frombuffer(ids, kind), 0
-            for k, n in enumerate(np.frombuffer(counts, np.int32).tolist()):
-                found[digests[16 * k:16 * k + 16]] = flat[at:at + n]
-                at += n
+            counts, ids = _unpack(blob)
+            found += np.split(np.frombuffer(ids, kind), np.cumsum(np.frombuffer(counts, np.int32))[:-1])
         ids, known, counts, order = _unpack(skeleton)
-        names, at, rows = np.frombuffer(ids, np.int64).tolist(), 0, []
+        names, refs, at, rows = np.frombuffer(ids, np.int64).tolist(), np.frombuffer(order, np.int32).tolist(), 0, []
         for name, has, n in zip(names, np.frombuffer(known, bool).tolist(), np.frombuffer(counts, np.int32).tolist()):
-            got = join_chunks([found[order[16 * k:16 * k + 16]] for k in range(at, at + n)], tok).tolist()
+            got = join_chunks([found[k] for k in refs[at:at + n]], tok).tolist()
             at += n
             text = b"".join(map(tok.tokens.__getitem__, got))
             row = (name if has else None, len(got), hashlib.sha256(",".join(map(str, got)).encode()).hexdigest(), hashlib.sha256(text).hexdigest())
@@ -290,9 +290,9 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     """
     source = docs.select(F.col(key).cast("long").alias("id"), as_text(docs, text).alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-size // PAGE_BYTES))
+    buckets = max(1, -(-size // BUCKET_BYTES))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(buckets, 200_000))
     done = source.mapInArrow(_cut(buckets), PACKED).repartition(parts, "place").sortWithinPartitions("place")
-    done = done.mapInArrow(_encode(path), PACKED).repartition(parts, "page").sortWithinPartitions("page")
+    done = done.mapInArrow(_encode(path), PACKED).repartition(parts, "page").sortWithinPartitions("page", "place")
     kinds = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if full else "")
     return done.mapInArrow(_assemble(path, full), kinds).withColumnRenamed("id", key)
