@@ -107,6 +107,25 @@ def test_ingest_stream_is_idempotent(spark, tmp):
     assert errors == {"epoch must be a non-negative integer", "sidecar must be a JSON object"}
 
 
+def test_ingest_batches_of_one_kind_restated_dates_and_ties(spark, tmp):
+    from tidemark.streaming.ingest import ingest_batch
+    raw = {"kind": "raw", "n_start": 0, "n_samples": 40_000, "cut_reason": "shutdown"}
+    frame = lambda rows: spark.createDataFrame(rows, "raw string, received_utc_ms bigint")
+    batches = [
+        [(sidecar(1), 1)],  # speech alone, then raw alone
+        [(sidecar(2, **raw), 2), ("not json", 3)],
+        [(sidecar(1, start_utc="2026-09-24T09:00:00.000Z"), 9), (sidecar(1, **raw), 9), ("not json", 12)],  # restated; the same hash as the other kind
+        [(sidecar(5, duration_s=2.0), 7), (sidecar(5, duration_s=1.0), 7)],
+    ]
+    for rows in [*batches, *batches]:
+        ingest_batch(frame(rows), f"{tmp}/db")
+    chunks = {r.sha256: r for r in spark.read.parquet(f"{tmp}/db/chunks").collect()}
+    assert spark.read.parquet(f"{tmp}/db/chunks").count() == 2 and chunks[f"{1:064x}"].received_utc_ms == 1
+    assert chunks[f"{5:064x}"].duration_ms == 1000
+    assert spark.read.parquet(f"{tmp}/db/raw_segments").count() == 2
+    assert spark.read.parquet(f"{tmp}/db/quarantine").count() == 1
+
+
 def test_session_stream_equals_batch(spark, tmp):
     from tidemark.plans import views
     chunks = views.chunks(spark, "/root/testdata/sf0.001").select("device_id", "start_utc_ms", "end_utc_ms")

@@ -191,10 +191,11 @@ def unreferenced_files(spark, d):
 
 @query("backfill_candidates")
 def backfill_candidates(spark, d):
+    # Every third chunk has its file, every fifth slice was read with another hash, every seventh not at all.
     derived = V.chunks(spark, d).where("kind = 'derived'")
     files = derived.where("id % 3 = 0 and path is not null").select("path")
-    raw = V.raw_segments(spark, d).where("id % 4 <> 0")
-    return R.backfill_candidates(derived, files, A.raw_coverage(derived, raw))
+    hashes = derived.where("id % 7 <> 0").select("id", F.when(F.col("id") % 5 == 0, F.sha2("sha256", 256)).otherwise(F.col("sha256")).alias("pcm_sha256"))
+    return R.backfill_candidates(derived, files, A.raw_coverage(derived, V.raw_segments(spark, d)), hashes)
 
 # ------------------------------------------------------------- audio
 
@@ -273,14 +274,14 @@ def mask_samples(spark, d):
     return p.select("doc_id", F.sha2(A.mask_samples("pcm", cuts), 256).alias("sha256"), F.col("n").alias("n_samples"))
 
 @query("derived_rows", """
-WITH c AS (SELECT id, device_id, run_id, epoch, n_start + 160 AS n_start, n_start + n_samples AS n_end, sha256 FROM v_raw WHERE n_samples > 320)
+WITH c AS (SELECT id, device_id, run_id, epoch, n_start + least(160, n_samples // 2) AS n_start, n_start + n_samples AS n_end, sha256 FROM v_raw)
 SELECT c.sha256, b.start_utc_ms + ((c.n_start - b.n_start) * 1000 + 8000) // 16000 AS start_utc_ms, ((c.n_end - c.n_start) * 1000 + 8000) // 16000 AS duration_ms,
   b.id % 2 = 0 AND c.n_start = min(c.n_start) OVER (PARTITION BY c.device_id, c.run_id, c.epoch) AS discontinuity
 FROM c ASOF JOIN v_raw b ON b.device_id = c.device_id AND b.run_id = c.run_id AND b.epoch = c.epoch AND b.n_start <= c.n_start""")
 def derived_rows(spark, d):
     raw = V.raw_segments(spark, d).withColumn("discontinuity", F.col("id") % 2 == 0).withColumn("clock_synced", F.lit(True))
-    cuts = raw.where("n_samples > 320").select(
-        *A.EPOCH, (F.col("n_start") + 160).alias("n_start"), (F.col("n_start") + F.col("n_samples")).alias("n_end"),
+    cuts = raw.select(
+        *A.EPOCH, (F.col("n_start") + F.least(F.lit(160), F.expr("n_samples div 2"))).alias("n_start"), (F.col("n_start") + F.col("n_samples")).alias("n_end"),
         F.lit("silence").alias("cut_reason"), "sha256")
     return A.derived_rows(cuts, raw).select("sha256", "start_utc_ms", "duration_ms", "discontinuity")
 

@@ -362,12 +362,11 @@ def span_apply(spark, d):
 
 @query("span_rows", """
 WITH hit AS (SELECT s.id, arg_min(c.id, c.start_utc_ms * 1000000 + c.id) AS chunk_id FROM v_spans s LEFT JOIN v_chunks c ON c.device_id = s.device_id
-  AND c.start_utc_ms < s.end_utc_ms AND c.end_utc_ms > s.start_utc_ms AND c.status <> 'done' WHERE NOT s.cancelled GROUP BY s.id)
+  AND c.start_utc_ms < s.end_utc_ms AND c.end_utc_ms > s.start_utc_ms WHERE NOT s.cancelled GROUP BY s.id)
 SELECT s.id AS span_id, hit.chunk_id, coalesce(greatest(0, s.start_utc_ms - c.start_utc_ms), 0) AS offset_ms, s.text, s.engine AS model_id
 FROM v_spans s JOIN hit ON hit.id = s.id LEFT JOIN v_chunks c ON c.id = hit.chunk_id""")
 def span_rows(spark, d):
-    chunks = V.chunks(spark, d).where("status <> 'done'")
-    return RC.span_rows(V.dictation_spans(spark, d), chunks).select("span_id", "chunk_id", "offset_ms", "text", "model_id")
+    return RC.span_rows(V.dictation_spans(spark, d), V.chunks(spark, d)).select("span_id", "chunk_id", "offset_ms", "text", "model_id")
 
 
 @query("cancelled_tags", f"""
@@ -490,14 +489,14 @@ tk AS (SELECT window_id, fin, i, i * 0.7::DOUBLE AS s, i * 0.7::DOUBLE + 0.5::DO
 
 
 @query("stt_verbose", """
-WITH p AS (SELECT conv_id * 8 + turn AS window_id, string_split(regexp_replace(trim(text), '\\s+', ' ', 'g'), ' ')[1:9] AS tok FROM conversations),
+WITH p AS (SELECT conv_id * 8 + turn AS window_id, string_split(regexp_replace(trim(text), '\\s+', ' ', 'g'), ' ') AS tok FROM conversations),
 w AS (SELECT window_id, i - 1 AS i, tok[i] AS w, (i - 1) * 0.5::DOUBLE + 0.25::DOUBLE AS mid FROM p, LATERAL (SELECT unnest(range(1, len(tok) + 1)) AS i)),
 h AS (SELECT *, CASE WHEN mid <= 1.0 THEN 0 WHEN mid >= 2.0 AND mid <= 3.0 THEN 1 WHEN abs(mid - 1.0) <= abs(mid - 2.0) AND mid < 2.0 THEN 0 ELSE 1 END AS seg FROM w)
 SELECT s.window_id, s.seg, string_agg(w, ' ' ORDER BY i) AS words, count(w) AS n FROM (SELECT window_id, unnest([0, 1]) AS seg FROM p) s
 LEFT JOIN h ON h.window_id = s.window_id AND h.seg = s.seg GROUP BY s.window_id, s.seg""")
 def stt_verbose(spark, d):
     c = V.table(spark, d, "conversations")
-    tok = F.slice(F.split(F.regexp_replace(X.strip("text"), r"\s+", " "), " "), 1, 9)
+    tok = F.split(F.regexp_replace(X.strip("text"), r"\s+", " "), " ")
     words = F.transform(tok, lambda t, i: F.struct(t.alias("word"), (i * 0.5).alias("start"), (i * 0.5 + 0.5).alias("end"),
                                                    F.lit(0.7).alias("score")))
     segs = F.array(F.struct(F.lit(0.0).alias("start"), F.lit(1.0).alias("end"), F.lit("a").alias("text")),
@@ -603,13 +602,13 @@ def unit_alignment(spark, d):
 
 @query("unit_sentences", """
 WITH t AS (SELECT id, unnest(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS w,
-    unnest(range(0, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')))) AS i FROM v_segments WHERE id % 10 <> 0 AND id % 9 <> 0),
+    unnest(range(0, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')))) AS i FROM v_segments),
 f AS (SELECT *, coalesce(sum(CASE WHEN regexp_matches(w, '[.!?…]["''»”)]?\\s*$') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM t)
 SELECT id, CAST(sentence AS BIGINT) AS sentence, count(*) AS n_units FROM f GROUP BY ALL""")
 def unit_sentences(spark, d):
     from ..operators.selection import sentence_numbers
-    units = _units(spark, d).where("u.kind = 'word' and id % 10 <> 0 and id % 9 <> 0").select(
-        F.col("id").alias("segment_id"), "i", F.col("u.text").alias("text"))
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    units = V.segments(spark, d).select(F.col("id").alias("segment_id"), F.posexplode(words).alias("i", "text"))
     return sentence_numbers(units).groupBy(F.col("segment_id").alias("id"), "sentence").agg(F.count("*").alias("n_units"))
 
 

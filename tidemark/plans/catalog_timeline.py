@@ -199,13 +199,13 @@ def free_stretches(spark, d):
 
 
 @query("retention_anti", f"""
-SELECT r.id, r.device_id, r.start_utc_ms FROM v_raw r WHERE status = 'segmented' AND start_utc_ms < {AS_OF - 10 * 86_400_000}
+SELECT r.id, r.device_id, r.start_utc_ms FROM v_raw r WHERE start_utc_ms < {AS_OF - 10 * 86_400_000}
 AND received_utc_ms < {AS_OF - 10 * 86_400_000} AND NOT EXISTS (SELECT 1 FROM v_chunks c WHERE c.device_id = r.device_id AND c.run_id = r.run_id
-  AND c.epoch = r.epoch AND c.kind = 'derived' AND c.id % 3 <> 0 AND c.n_start < r.n_start + r.n_samples AND c.n_start + c.n_samples > r.n_start)""")
+  AND c.epoch = r.epoch AND c.kind = 'derived' AND c.n_start < r.n_start + r.n_samples AND c.n_start + c.n_samples > r.n_start)""")
 def retention_anti(spark, d):
-    # A third of the derived rows counts as speech-free, else every raw row would be referenced.
-    chunks = V.chunks(spark, d).where("id % 3 <> 0")
-    return A.purgeable_raw(V.raw_segments(spark, d), chunks, AS_OF, 10).select("id", "device_id", "start_utc_ms")
+    # Every raw row counts as segmented; those of errors gave no derived chunk, so some are unreferenced.
+    raw = V.raw_segments(spark, d).withColumn("status", F.lit("segmented"))
+    return A.purgeable_raw(raw, V.chunks(spark, d), AS_OF, 10).select("id", "device_id", "start_utc_ms")
 
 
 QUERIES_SQL_PACK = """

@@ -70,9 +70,10 @@ def quarantined(rows: DataFrame) -> DataFrame:
 
 
 def first_per(rows: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The earliest row per key: an aggregate, so copies collapse before the shuffle."""
+    """The earliest row per key, the lesser body among equals: an aggregate, so copies collapse before the shuffle."""
     rest = [c for c in rows.columns if c not in key]
-    return rows.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("_r")).select(*key, "_r.*")
+    body = [c for c in ("raw", "meta_json", "body_json") if c in rest]
+    return rows.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(order, *body)).alias("_r")).select(*key, "_r.*")
 
 
 def new_rows(rows: DataFrame, stored: DataFrame, key: list[str], order: str = "received_utc_ms") -> DataFrame:
