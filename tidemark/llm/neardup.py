@@ -32,7 +32,7 @@ WORDS = 5
 #: Half keys of a collection, minimums of a half key, words of a set's bitmap, members of a block.
 HALF_KEYS, HALF_WIDTH, BITMAP_WORDS, BLOCK = 10, 2, 32, 512
 #: Rounds of one pair a class before the full search, and rows of three numbers that may be broadcast.
-TURNS, BROADCAST_ROWS = 3, 1_000_000
+TURNS, BROADCAST_ROWS = 2, 1_000_000
 #: Similarity as a fraction of integers: link where DEN * common >= NUM * union.
 NUM, DEN = 75, 100
 
@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             continue
         fresh = stored(_similar(pairs, texts), "verified")
         links = fresh if links is None else links.union(fresh)
-        groups = components(links)
+        groups = stored(components(links), "components")
 
     found = member.join(groups.withColumnRenamed("node", "class"), "class", "left").select(
         F.col("id"), "n", F.coalesce("component", "class").alias("component_id"))
