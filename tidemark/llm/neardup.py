@@ -6,12 +6,13 @@ cost 2 * m * K/2 minimums, about the square root of L * K. Two sets of similarit
 with probability (1 - (1 - s^(K/2))^m)^2: 0.9995 at s = 0.75, over 0.99999 at 0.85.
 
 1. Texts with equal sets become one class (a shuffle of signatures, not of texts).
-2. Each class is compared with the centre (one class of a table) that it meets most often: one pair a
-   class at most, so a group of thousands of near copies costs thousands of pairs, not millions. Verified
-   pairs give components; classes that still meet other components are compared with another centre.
+2. Each class is compared with the centres (a few classes of a table) that it meets most often, so a
+   group of thousands of near copies costs thousands of pairs, not millions. Verified pairs give
+   components; classes that still meet other components are compared with other centres.
 3. Tables where classes of different components still meet are searched in full, blocks of members
    against blocks, across components only; lengths and a bitmap of each set bound the overlap from
-   above, and only pairs that the bounds allow are verified. No bucket is capped or sampled.
+   above, and only pairs that the bounds allow are verified. A pair comes out of the first table that
+   it shares and of no other. No bucket is capped or sampled.
 """
 
 from __future__ import annotations
@@ -31,8 +32,9 @@ from .text import LOWER, mix, rows_of, span_hashes, word_spans
 WORDS = 5
 #: Half keys of a collection, minimums of a half key, words of a set's bitmap, members of a block.
 HALF_KEYS, HALF_WIDTH, BITMAP_WORDS, BLOCK = 10, 2, 32, 512
-#: Rounds of one pair a class before the full search, and rows of three numbers that may be broadcast.
-TURNS, BROADCAST_ROWS = 2, 1_000_000
+#: Rounds of few pairs a class before the full search, centres of a table and of a class in a round,
+#: and rows of three numbers that may be broadcast.
+TURNS, CENTRES, BROADCAST_ROWS = 2, 4, 1_000_000
 #: Similarity as a fraction of integers: link where DEN * common >= NUM * union.
 NUM, DEN = 75, 100
 
@@ -164,37 +166,55 @@ def _components_of(met: DataFrame, groups: DataFrame | None) -> DataFrame:
     return met.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
+def _sizes_allow(n: str, other: str) -> F.Column:
+    return DEN * F.least(n, other) >= NUM * F.greatest(n, other)
+
+
 def _stars(met: DataFrame, groups: DataFrame | None, turn: int) -> DataFrame:
-    """One pair for each class that meets another component: with the centre it meets most often.
+    """Pairs of each class that meets another component: with the CENTRES centres it meets most often.
 
-    A bucket's centre is the least class in an order that changes with each turn."""
+    A table's centres are the least classes in CENTRES orders, which change with each turn. What is
+    collected for a class is bounded by its tables times CENTRES."""
     known = _components_of(met, groups)
-    order = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id"), F.col("component"))
-    centre = known.groupBy("bucket").agg(F.min(order).alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    apart = known.join(centre, "bucket").where("component <> c.component").groupBy("id", F.col("c.id").alias("centre")).agg(F.count("*").alias("times"))
-    best = apart.groupBy("id").agg(F.max_by("centre", F.struct("times", "centre")).alias("centre"))
-    return best.select(F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b")).distinct()
+    least = [F.min(F.struct(F.xxhash64("id", F.lit(turn * CENTRES + k)).alias("h"), F.col("id"), F.col("n"), F.col("component"))) for k in range(CENTRES)]
+    centre = (known.groupBy("bucket").agg(F.array_distinct(F.array(*least)).alias("c"), F.min("component").alias("low"), F.max("component").alias("high"))
+              .where("low < high").select("bucket", "c"))
+    apart = (known.join(centre, "bucket").select("id", "n", "component", F.explode("c").alias("c"))
+             .where((F.col("component") != F.col("c.component")) & _sizes_allow("n", "c.n"))
+             .groupBy("id", F.col("c.id").alias("centre")).agg(F.count("*").alias("times")))
+    best = apart.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("times", "centre")), asc=False), 1, CENTRES).alias("best"))
+    pairs = best.select("id", F.explode("best.centre").alias("centre"))
+    return pairs.select(F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b")).distinct()
+
+
+def _first_equal(start: int) -> F.Column:
+    """Place of the first half key of a collection that both sides have; null without one."""
+    return F.coalesce(*[F.when(F.get("halves", F.lit(start + k)) == F.get("x_halves", F.lit(start + k)), F.lit(k)) for k in range(HALF_KEYS)])
 
 
-def _rest(met: DataFrame, groups: DataFrame, bits: DataFrame) -> DataFrame:
-    """Pairs of classes that share a bucket across components and may be similar enough.
+def _rest(met: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of classes that share a table across components and may be similar enough.
 
     In a bucket, members outside its largest component are compared with all others, so a settled group
     of thousands meets a stranger once. Members are dealt to salted parts of about BLOCK rows, to which
-    the outsiders are copied; conditions run inside the join, so only possible pairs come out."""
+    the outsiders are copied; conditions run inside the join, so only possible pairs come out, each of
+    the first of its common tables. `sets` is (id, halves, bits)."""
     known = _components_of(met, groups)
     counts = known.groupBy("bucket", "component").agg(F.count("*").alias("size"))
     large = counts.groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("large"), F.sum("size").alias("members"),
                                          F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
     parts = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = known.join(large, "bucket").join(bits, "id")
-    there = rows.select("bucket", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), "id", "n", "component", "bits")
-    here = rows.where("component <> large").select(F.explode(F.sequence(F.lit(0), parts - 1)).alias("x_part"), *[F.col(c).alias("x_" + c) for c in ("bucket", "id", "n", "component", "bits")])
-    apart = F.aggregate(F.zip_with("bits", "x_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, v: t + v)
-    total = F.col("n") + F.col("x_n")
-    near = ((F.col("component") != F.col("x_component")) & (DEN * F.least("n", "x_n") >= NUM * F.greatest("n", "x_n"))
+    rows = known.join(large, "bucket").join(sets, "id")
+    there = rows.select("bucket", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), "id", "n", "component", "large", "place", "halves", "bits")
+    here = rows.where("component <> large").select(F.explode(F.sequence(F.lit(0), parts - 1)).alias("x_part"),
+                                                   *[F.col(c).alias("x_" + c) for c in ("bucket", "id", "n", "component", "halves", "bits")])
+    apart = reduce(lambda t, k: t + F.bit_count(F.get("bits", F.lit(k)).bitwiseXOR(F.get("x_bits", F.lit(k)))), range(BITMAP_WORDS), F.lit(0))
+    near = ((F.col("component") != F.col("x_component")) & _sizes_allow("n", "x_n")
+            # two outsiders meet on both sides
+            & ((F.col("component") == F.col("large")) | (F.col("id") < F.col("x_id")))
+            & (F.col("place") == _first_equal(0) * HALF_KEYS + _first_equal(HALF_KEYS))
             # each bit that differs stands for an element that only one of the sets has
-            & (DEN * (total - apart) >= NUM * (total + apart)))
+            & ((DEN - NUM) * (F.col("n") + F.col("x_n")) >= (DEN + NUM) * apart))
     joined = there.join(here, (F.col("bucket") == F.col("x_bucket")) & (F.col("part") == F.col("x_part")) & near)
     return (joined.select(F.greatest("id", "x_id").alias("a"), F.least("id", "x_id").alias("b")).distinct())
 
@@ -216,16 +236,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     reps = sets.join(classes.withColumnRenamed("class", "id"), ["id", "p1", "p2", "n"], "left_semi").dropDuplicates(["id", "p1"])
 
     # tables in which classes meet
-    table = reps.select("id", F.explode(_keys()).alias("bucket"))
+    table = reps.select("id", "n", F.posexplode(_keys()).alias("place", "bucket"))
     bucket = Window.partitionBy("bucket")
     met = stored(table.withColumn("least", F.min("id").over(bucket)).withColumn("most", F.max("id").over(bucket))
-                 .where("least < most").select("id", "bucket"), "buckets")
+                 .where("least < most").select("id", "n", F.col("place").cast("short").alias("place"), "bucket"), "buckets")
     source = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), as_text(docs, text).alias("text"))
     texts = stored(source.join(_few(met.select("id").distinct()), "id", "left_semi"), "texts")
 
     links, groups = None, None
     for turn in range(TURNS + 1):
-        pairs = _stars(met, groups, turn) if turn < TURNS else _rest(met, groups, reps.select("id", "n", "bits"))
+        pairs = _stars(met, groups, turn) if turn < TURNS else _rest(met, groups, reps.select("id", "halves", "bits"))
         pairs = stored(pairs if links is None else pairs.join(links, ["a", "b"], "left_anti"), "pairs")
         if turn and not pairs.limit(1).count():
             continue
