@@ -31,14 +31,25 @@ SPELLINGS = [
 BROADCAST_ROWS = 100_000
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text; empty if nothing is left."""
-    c = F.regexp_replace(F.lower(text), r"(?m)^\W*(copyright\b|\(c\)|©).*$", " ")
-    c = F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "))
-    same = c
+def _with(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """`df` with a column behind a one-row generator: the optimizer neither copies nor pushes its expression,
+    so what later columns and filters refer to is computed once a row."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def with_digest(df: DataFrame, text: str) -> DataFrame:
+    """`df` with column `digest`, of the canonical form of its column `text`; null if nothing is left."""
+    kept = df.columns
+    df = _with(df, "low", F.lower(text))
+    marked = F.col("low").contains("copyright") | F.col("low").contains("(c)") | F.col("low").contains("©")
+    bare = F.when(marked, F.regexp_replace("low", r"(?m)^\W*(copyright\b|\(c\)|©).*$", " ")).otherwise(F.col("low"))
+    df = _with(df, "words", F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " ")))
+    same = F.col("words")
     for said, for_it in SPELLINGS:
         same = F.regexp_replace(same, rf"\b{said}\b", for_it)
-    return F.when(c.rlike(r"\b(" + "|".join(s for s, _ in SPELLINGS) + r")\b"), same).otherwise(c)
+    spelled = F.col("words").rlike(r"\b(" + "|".join(s for s, _ in SPELLINGS) + r")\b")
+    df = _with(df, "form", F.when(spelled, same).otherwise(F.col("words")))
+    return _with(df, "digest", F.when(F.col("form") != "", F.sha2("form", 256))).select(*kept, "digest")
 
 
 def known_notices(spark: SparkSession) -> DataFrame:
@@ -52,21 +63,20 @@ def license_scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: s
     Null and empty texts, and lines of punctuation, match nothing; known texts without text or name are
     ignored; repeated rows and rows without id each give a row; other columns are ignored.
     """
-    digest = lambda c: F.when(canonical(c) != "", F.sha2(canonical(c), 256))
-    table = known.select(F.col("license"), digest(F.col("text")).alias("digest")).where("digest is not null and license is not null")
+    table = with_digest(known.select("license", "text"), "text").where("digest is not null and license is not null")
     table = table.groupBy("digest").agg(F.min("license").alias("license"))
     if table.count() <= BROADCAST_ROWS:
         table = F.broadcast(table)
     # lines of one text are counted before anything is shuffled: a map-side partial aggregate by row
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("mark", F.struct(F.xxhash64("text"), F.length("text")))
     lines = rows.select("id", "mark", F.explode(F.split("text", r"\r\n|\n|\r")).alias("line"))
-    found = lines.withColumn("digest", digest(F.col("line"))).join(table, "digest")
+    found = with_digest(lines, "line").join(table, "digest")
     # equal rows share id and mark: their lines are counted once for each distinct row
     copies = rows.groupBy("id", "mark").agg(F.count("*").alias("copies"))
     by_row = found.groupBy(F.col("id").alias("its_id"), F.col("mark").alias("its_mark")).agg(
         F.count("*").alias("lines"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"))
     same = F.col("id").eqNullSafe(F.col("its_id")) & (F.col("mark") == F.col("its_mark"))
     by_row = copies.join(by_row, same).select("its_id", "its_mark", (F.col("lines") / F.col("copies")).cast("long").alias("n_lines"), "licenses")
-    whole = rows.select("id", "mark", digest(F.col("text")).alias("digest")).join(table.withColumnRenamed("license", "whole_license"), "digest", "left")
+    whole = with_digest(rows, "text").select("id", "mark", "digest").join(table.withColumnRenamed("license", "whole_license"), "digest", "left")
     return whole.join(by_row, same, "left").select(
         F.col("id").alias(key), "whole_license", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("licenses", F.lit("")).alias("licenses"))
