@@ -60,6 +60,30 @@ def test_gap_waits_then_closes_when_idle_and_late_is_reported():
     assert out == [("late", 200 * 512, 400 * 512, None)]
 
 
+def test_gap_closes_while_the_device_goes_on():
+    rules, probs = Rules(), ([0.9] * 40 + [0.0] * 160) * 40
+    segs = segments_of(probs, 100)
+    missing, idle_ms = 20, 1000
+    state, out, longest = {}, [], 0
+    for k, s in enumerate(segs):
+        if k == missing:
+            continue
+        now = k * 100
+        state, rows = step(state, [s | {"at": now}], rules, False, now - idle_ms)
+        out += rows
+        longest = max(longest, len(state["waiting"]))
+    assert longest <= 1 + idle_ms // 100 and not state["waiting"]
+    assert all(kind == "chunk" for kind, *_ in out)
+    edge = segs[missing]["first_idx"] * rules.window
+    behind = (segs[missing]["first_idx"] + 100) * rules.window
+    assert max(n_end for _, _, n_end, _ in out if n_end <= edge) > 0 and any(n >= behind for _, n, _, _ in out)
+    assert not any(n < behind and n_end > edge for _, n, n_end, _ in out)
+    # the missing one is late now, and a gap seen too short a time still waits
+    assert [r[0] for r in step(state, [segs[missing]], rules, False)[1]] == ["late"]
+    young, rows = step({"chain": None, "mark": 0, "waiting": []}, [segs[3] | {"at": 950}], rules, False, 900)
+    assert len(young["waiting"]) == 1 and rows == []
+
+
 def test_stream_equals_batch(spark, tmp):
     rows, flat = [], []
     for k in range(3):

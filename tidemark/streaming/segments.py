@@ -19,13 +19,17 @@ def _new_chain(first_idx: int, rules: Rules) -> dict:
     return {"next": first_idx, "burst": Burst(floor=at, at=at).to_json()}
 
 
-def step(state: dict, arrivals: list[dict], rules: Rules, idle: bool) -> tuple[dict, list[tuple]]:
-    """Feed arrived segments (first_idx, probs, ends, n_end) and return (state, rows out).
+def step(state: dict, arrivals: list[dict], rules: Rules, idle: bool, seen_by: int | None = None) -> tuple[dict, list[tuple]]:
+    """Feed arrived segments (first_idx, probs, ends, n_end, at) and return (state, rows out).
 
-    Segments are used in position order; one that does not continue the chain waits. When the key is
-    `idle` a gap is final: the chain is closed before it and the next one starts behind it, and an
-    open tail is closed. A segment behind the mark is reported as late, for a batch refill.
+    Segments are used in position order; one that does not continue the chain waits. A gap is final when
+    the key is `idle`, or when a segment behind it arrived (`at`, in ms) not after `seen_by`, however many
+    more arrive since: the chain is closed before it and the next one starts behind it. An idle key's open
+    tail is closed as well. A segment behind the mark is reported as late, for a batch refill.
     """
+    def final() -> bool:
+        return idle or (seen_by is not None and _first_seen(waiting) <= seen_by)
+
     out: list[tuple] = []
     waiting = state.get("waiting", []) + arrivals
     waiting.sort(key=lambda s: (s["first_idx"], -len(s["probs"])))
@@ -39,11 +43,11 @@ def step(state: dict, arrivals: list[dict], rules: Rules, idle: bool) -> tuple[d
             out.append(("late", first * rules.window, (first + count) * rules.window, None))
             continue
         if chain is None:
-            if mark is not None and first > mark and not idle:
+            if mark is not None and first > mark and not final():
                 break  # a gap that may still fill
             chain = _new_chain(first, rules)
         if first > chain["next"]:
-            if not idle:
+            if not final():
                 break
             out += _closed(chain, rules, "shutdown", None)
             mark, chain = chain["next"], None
@@ -68,6 +72,11 @@ def step(state: dict, arrivals: list[dict], rules: Rules, idle: bool) -> tuple[d
     return {"chain": chain, "mark": mark, "waiting": waiting}, out
 
 
+def _first_seen(waiting: list[dict]) -> float:
+    """When the first of the waiting segments arrived, which is when the gap before them was seen."""
+    return min((s["at"] for s in waiting if s.get("at") is not None), default=float("inf"))
+
+
 def _closed(chain: dict, rules: Rules, reason: str, n_end: int | None) -> list[tuple]:
     burst, cuts = Burst(**chain["burst"]), []
     burst.pauses = [tuple(p) for p in burst.pauses]
@@ -75,28 +84,39 @@ def _closed(chain: dict, rules: Rules, reason: str, n_end: int | None) -> list[t
     return [("chunk", *c) for c in cuts]
 
 
-def chunk_stream(segments: DataFrame, rules: Rules | None = None, idle_ms: int = 120_000) -> DataFrame:
+def chunk_stream(segments: DataFrame, rules: Rules | None = None, idle_ms: int = 120_000, late_ms: int = 86_400_000) -> DataFrame:
     """Chunks and late notices of a stream of segments.
 
     `segments`: device_id, run_id, epoch, first_idx, probs (array of double, windows on the epoch's
     grid), ends (discontinuity or shutdown on the last one, else NULL), n_end. State per key is the
-    open chunk and the segments waiting behind a gap. A key without input for `idle_ms` is final.
+    open chunk and the segments waiting behind a gap. A gap that was visible for `idle_ms` is final even
+    while the device goes on recording; a key without input for `idle_ms` is final. Its state is dropped
+    `late_ms` after the last input; what arrives later still starts a chain of its own.
     """
     rules = rules or Rules()
 
     def fold(key, batches: Iterator[pd.DataFrame], group) -> Iterator[pd.DataFrame]:
-        state = json.loads(group.get[0]) if group.exists else {}
+        state, now = json.loads(group.get[0]) if group.exists else {}, group.getCurrentProcessingTimeMs()
+        seen = state.get("seen", now)
         if group.hasTimedOut:
-            state, out = step(state, [], rules, True)
+            if now - seen >= late_ms:
+                group.remove()
+                return
+            state, out = step(state, [], rules, now - seen >= idle_ms, now - idle_ms)
         else:
+            seen = now
             arrivals = [
-                {"first_idx": int(r.first_idx), "probs": [float(p) for p in r.probs],
+                {"first_idx": int(r.first_idx), "probs": [float(p) for p in r.probs], "at": now,
                  "ends": r.ends if isinstance(r.ends, str) else None, "n_end": None if pd.isna(r.n_end) else int(r.n_end)}
                 for pdf in batches for r in pdf.itertuples(index=False)]
-            state, out = step(state, arrivals, rules, False)
-        group.update((json.dumps(state),))
-        if state["chain"] is not None or state["waiting"]:
-            group.setTimeoutDuration(idle_ms)
+            state, out = step(state, arrivals, rules, False, now - idle_ms)
+        group.update((json.dumps(state | {"seen": seen}),))
+        due = seen + late_ms
+        if state["chain"] is not None:
+            due = seen + idle_ms
+        if state["waiting"]:
+            due = min(due, int(min(_first_seen(state["waiting"]), seen)) + idle_ms)
+        group.setTimeoutDuration(max(1, due - now))
         if out:
             rows = [(*key, *row) for row in out]
             frame = pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
