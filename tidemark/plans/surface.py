@@ -19,7 +19,7 @@ from ..operators.sessions import session_openings
 from ..operators.tags import span_tag_map, span_tag_scope, tag_lists, with_channel
 from ..operators.timeline import source_extents, timeline
 from ..operators.transcripts import timing_kind, word_timing
-from ..operators.visibility import default_rows, join_chunks, policy_rows
+from ..operators.visibility import default_rows, join_chunks, policy_rows, with_channel
 
 
 def _iso_pair(df: DataFrame) -> DataFrame:
@@ -86,9 +86,11 @@ def get_session(session: DataFrame, rows: DataFrame, max_chars: int = 0) -> Data
 
 def segment_context(rows: DataFrame, tags: DataFrame, segment_id: int, window_s: float = 60.0,
                     include_dictation: bool = False) -> DataFrame:
-    """Rows of the anchor's device within a window around it, both edges closed.
+    """Rows of the anchor's device within a window around it, both edges closed, and the anchor.
 
-    The anchor is one row (unique id), read as scalar subqueries, so the scan gets plain filters.
+    The anchor comes whatever its channel and status; the default filters hold for the rows around it.
+    `is_anchor` marks it, `in_context` the rows that pass the filters. The anchor is one row (unique id),
+    read as scalar subqueries, so the scan gets plain filters.
     """
     w = int(window_s * 1000)
     anchor = rows.where(F.col("id") == segment_id)
@@ -99,7 +101,10 @@ def segment_context(rows: DataFrame, tags: DataFrame, segment_id: int, window_s:
     near = rows.where((F.col("device_id") == of(F.col("device_id")))
                       & (F.col("end_utc_ms") >= of(F.col("start_utc_ms") - w))
                       & (F.col("start_utc_ms") <= of(F.col("end_utc_ms") + w)))
-    return _iso_pair(default_rows(near, tags, include_dictation)).orderBy("start_utc_ms", "chunk_id", "idx")
+    shown = default_rows(near, tags, include_dictation).withColumn("in_context", F.lit(True))
+    hidden = with_channel(anchor, tags).join(shown.select("id"), "id", "left_anti").withColumn("in_context", F.lit(False))
+    out = shown.unionByName(hidden).withColumn("is_anchor", F.col("id") == segment_id)
+    return _iso_pair(out).orderBy("start_utc_ms", "chunk_id", "idx")
 
 
 # ------------------------------------------------------------- read routes
