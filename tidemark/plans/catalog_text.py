@@ -106,13 +106,13 @@ def keyset_page(spark, d):
 
 @query("segment_context", f"""
 WITH a AS (SELECT s.*, coalesce(ch.value, 'ambient') AS channel FROM v_segments s LEFT JOIN v_channel ch ON ch.segment_id = s.id WHERE s.id = 25), c AS (
-SELECT v.id, v.channel FROM v_visible v, a WHERE v.device_id = a.device_id
+SELECT v.id, v.channel FROM v_visible v, a WHERE v.channel <> 'dictation' AND v.device_id = a.device_id
 AND v.end_utc_ms >= a.start_utc_ms - 60000 AND v.start_utc_ms <= a.end_utc_ms + 60000)
 SELECT id, channel, true AS in_context, id = 25 AS is_anchor FROM c
 UNION ALL SELECT id, channel, false, true FROM a WHERE id NOT IN (SELECT id FROM c)""")
 def segment_context(spark, d):
     s, _, t = _seg(spark, d)
-    return U.segment_context(s, t, 25, include_dictation=True).select("id", "channel", "in_context", "is_anchor")
+    return U.segment_context(s, t, 25).select("id", "channel", "in_context", "is_anchor")
 
 
 @query("session_opening", f"""
