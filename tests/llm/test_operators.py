@@ -174,6 +174,24 @@ def test_licenses(spark):
     assert licenses.license_scan(frame(spark, rows), licenses.known_notices(spark).where("false")).where("n_lines > 0").count() == 0
 
 
+def test_full_licence_texts(spark):
+    full = {p.stem: p.read_text(encoding="utf-8") for p in licenses._FOLDER.glob("*.txt")}
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0"} <= set(full)
+    want, rows = {}, []
+    for i, (name, text) in enumerate(sorted(full.items())):
+        changed = "Copyright (c) 1987 A. N. Other\n\n" + re.sub(r"\bLICENSE\b", "LICENCE", text.upper()).replace(",", " ,").replace('"', "``")
+        for k, t in enumerate((text, changed, licenses._unwrapped(text), text + " and one more word")):
+            rows.append((10 * i + k, t))
+            want[10 * i + k] = name if k < 3 else None
+    gnu = licenses._GNU.format(it="This program", this="this program", name="GNU General Public License", version=", either version 3 of the License, or (at your option) any later version", colon=":", s="s")
+    more = [(900, "MIT License\n\nCopyright (c) 2001 Me\n\n" + full["MIT"], "MIT"), (901, licenses._APACHE.upper(), "Apache-2.0"), (902, gnu, "GPL-3.0-or-later"),
+            (903, "SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"), (904, "This project is licensed under the Apache Licence 2.0", "Apache-2.0"), (905, "License to kill", None)]
+    rows += [x[:2] for x in more]
+    want |= {i: name for i, _, name in more}
+    got = {x["doc_id"]: x["whole_license"] for x in licenses.license_scan(frame(spark, rows), licenses.known_notices(spark)).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_decontamination(spark, monkeypatch, broadcast):
     if not broadcast:

@@ -6,16 +6,91 @@ and spellings that are held to be equal. Its SHA-256 is joined with the digests
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Known notices: licence and text. A user passes a table of full licence texts in its place.
-NOTICES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-]
+_FOLDER = Path(__file__).with_name("license_texts")
+#: Headings that stand above a text or are left out.
+_HEADINGS = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "ISC": ("ISC License", "The ISC License"), "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "The BSD 2-Clause License"), "Zlib": ("zlib License", "The zlib License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "The BSD 3-Clause License"),
+}
+#: Names and addresses that notices call a licence by.
+_CALLED = {
+    "MIT": ("MIT License",), "ISC": ("ISC License",), "0BSD": ("BSD Zero Clause License",), "BSD-2-Clause": ("BSD 2-Clause License",), "BSD-3-Clause": ("BSD 3-Clause License",),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"), "Unlicense": ("Unlicense",), "Zlib": ("zlib License",),
+    "BSL-1.0": ("Boost Software License, Version 1.0", "Boost Software License 1.0"), "CC0-1.0": ("CC0 1.0", "CC0 1.0 Universal"),
+    "MPL-1.1": ("Mozilla Public License, Version 1.1",), "MPL-2.0": ("Mozilla Public License, Version 2.0", "Mozilla Public License 2.0"),
+    "EPL-2.0": ("Eclipse Public License 2.0", "Eclipse Public License, Version 2.0"),
+} | {f"{short}-{v}": tuple(f"{name}{how}" for how in (f", version {v[0] if v[-1] == '0' else v}", f" v{v}", f" version {v[0] if v[-1] == '0' else v}"))
+     for short, name, versions in (("GPL", "GNU General Public License", ("1.0", "2.0", "3.0")), ("LGPL", "GNU Lesser General Public License", ("2.1", "3.0")),
+                                   ("AGPL", "GNU Affero General Public License", ("3.0",)), ("GFDL", "GNU Free Documentation License", ("1.2", "1.3"))) for v in versions
+} | {f"CC-{kind}-{v}": (f"CC {kind} {v}", f"CC-{kind}-{v}", f"Creative Commons {said} {v} International License")
+     for kind, said in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"),
+                        ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")) for v in ("4.0",)}
+_SENTENCES = ("Licensed under {}", "Licensed under the {}", "Released under the {}", "Distributed under the {}", "Available under the {}", "This work is licensed under {}",
+              "This work is licensed under the {}", "This work is licensed under a {}", "This project is licensed under the {}", "This software is licensed under the {}",
+              "This software is released under the {}", "This program is licensed under the {}", "This file is licensed under the {}", "This code is licensed under the {}",
+              "SPDX-License-Identifier: {}")
+#: The usual headers, a paragraph a line; GNU ones are made for each licence below.
+_APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+_MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http{}://mozilla.org/MPL/2.0/."""
+_GNU = """{it} is free software{colon} you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation{version}.
+
+{it} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details.
+
+You should have received a copy of the {name} along with {this}. If not, see <http{s}://www.gnu.org/licenses/>."""
+
+
+def _unwrapped(text: str) -> str:
+    """A paragraph a line; a copyright line that begins a paragraph stays a line."""
+    out = []
+    for part in re.split(r"\n[ \t\f]*\n", text):
+        lines = [x.strip() for x in part.strip().split("\n")]
+        while len(lines) > 1 and re.match(r"(?i)\W*(copyright\b|\(c\)|©)", lines[0]):
+            out.append(lines.pop(0))
+        out.append(" ".join(lines))
+    return "\n".join(out)
+
+
+def _known() -> list[tuple[str, str]]:
+    """(licence, text) of full standard texts and of the usual notices; equal forms may come more than once."""
+    out = []
+    for path in sorted(_FOLDER.glob("*.txt")):
+        full = path.read_text(encoding="utf-8")
+        terms = re.match(r"(?s).*\n[ \t]*END OF TERMS AND CONDITIONS[ \t]*\n", full)
+        bodies = [full, *([terms[0], terms[0].replace("END OF TERMS AND CONDITIONS", "")] if terms else [])]
+        if path.stem.startswith("BSD"):
+            bodies += ["All rights reserved.\n\n" + full] if not re.search("(?i)all rights reserved", full) else [re.sub("(?i)all rights reserved.", "", full)]
+        bodies = [h + "\n\n" + x if h else x for x in bodies for h in ("", *_HEADINGS.get(path.stem, ()))]
+        out += [(path.stem, form) for x in bodies for form in (x, _unwrapped(x))]
+    out += [(name, s.format(c)) for name, called in _CALLED.items() for c in {*called, name} for s in _SENTENCES]
+    out += [("Apache-2.0", x) for x in (_APACHE, _APACHE.replace("http:", "https:"))] + [("MPL-2.0", _MPL.format(s)) for s in ("", "s")]
+    for short, name, versions in (("GPL", "GNU General Public License", ("2.0", "3.0")), ("LGPL", "GNU Lesser General Public License", ("2.1", "3.0")),
+                                  ("AGPL", "GNU Affero General Public License", ("3.0",))):
+        for v in versions:
+            said = v[0] if v[-1] == "0" else v
+            for how in (f", either version {said} of the License, or (at your option) any later version", f"; either version {said} of the License, or (at your option) any later version",
+                        f", version {said} of the License", f"; version {said} of the License"):
+                tail = "-or-later" if "later" in how else "-only"
+                for it, this in (("This program", "this program"), ("This library", "this library"), ("This software", "this software")):
+                    out += [(f"{short}-{v}{tail}", _GNU.format(it=it, this=this, name=name, version=how, colon=colon, s=s)) for colon in (":", ";") for s in ("", "s")]
+            for tail in ("-only", "-or-later"):
+                out.append((f"{short}-{v}{tail}", f"SPDX-License-Identifier: {short}-{v}{tail}"))
+    # an apostrophe is a blank in the canonical form; so the texts can stand in SQL as they are
+    return [(name, text.replace("'", " ")) for name, text in dict.fromkeys(out)]
+
+
+#: Known texts and notices: licence and text. A user passes a table of more in its place.
+NOTICES = _known()
 #: Spellings held to be equal, as in the public matching guidelines for licence lists.
 SPELLINGS = [
     ("acknowledgment", "acknowledgement"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"), ("authorisation", "authorization"),
