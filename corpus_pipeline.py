@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns rows with
 the columns of documents; the last returns its digests. `run` writes each stage as Parquet in the shared
-folder and reads it for the next.
+folder and reads it for the next. A row's number is written once, before the first stage; a stage called
+alone numbers its own input. A verdict holds for its row, whatever its id.
 """
 
 from __future__ import annotations
@@ -14,35 +15,55 @@ from pyspark.sql import functions as F
 from tidemark.llm import bpe_chunks, decontam, neardup, quality_mil, toxicity_crf
 from tidemark.llm.queries import TOKENIZER, table
 from tidemark.llm.sampling import fold
-from tidemark.llm.storage import fresh_path
+from tidemark.llm.storage import fresh_path, stored
 
 
-def _keep(docs: DataFrame, verdicts: DataFrame, good: str) -> DataFrame:
-    """Rows of `docs` whose id has a good verdict; a row without id stays."""
-    bad = verdicts.where(~F.expr(good) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+#: Rows are known by a number of their own, as ids may be null, shared or repeated.
+ROW = "row_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """`docs` with the column ROW, stored: numbers that are given anew each time they are read would not do."""
+    return docs if ROW in docs.columns else stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+
+
+def _without(rows: DataFrame, bad: DataFrame, docs: DataFrame) -> DataFrame:
+    """`rows` without those of `bad` (ROW), with the columns of `docs`."""
+    return rows.join(bad.select(ROW), ROW, "left_anti").select(docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go; the field learns from the labelled rows of its own input."""
-    model = toxicity_crf.train(docs, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
-    return _keep(docs, toxicity_crf.score(docs, model).select("doc_id", "predicted"), "predicted = 0")
+    rows = _keyed(docs)
+    model = toxicity_crf.train(rows, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
+    return _without(rows, toxicity_crf.score(rows, model, key=ROW).where("predicted <> 0"), docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents not predicted good go."""
-    model = quality_mil.train(docs, table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
-    return _keep(docs, quality_mil.score(docs, model), "predicted = 1")
+    rows = _keyed(docs)
+    model = quality_mil.train(rows, table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
+    return _without(rows, quality_mil.score(rows, model, key=ROW).where("predicted <> 1"), docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies stays."""
-    return _keep(docs, neardup.near_duplicates(docs), "kept")
+    """The first document of each group of near copies stays: the one with the least id, those without id
+    last, and the first of repeated rows. Texts without words are copies of nothing but rows that repeat id and text."""
+    rows = _keyed(docs)
+    verdicts = neardup.near_duplicates(rows, key=ROW)
+    blank = F.when(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col("text"))
+    known = verdicts.join(rows.select(ROW, "doc_id", blank.alias("blank")), ROW)
+    wordless, order = F.col("n_shingles") == 0, F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", ROW)
+    first = known.groupBy(
+        F.when(~wordless | F.col("doc_id").isNull(), F.col("component_id")).alias("component"),
+        F.when(wordless, F.col("doc_id")).alias("its_id"), F.when(wordless, F.col("blank")).alias("its_text")).agg(F.min(order).alias("first"))
+    return rows.join(first.select(F.col("first")[ROW].alias(ROW)), ROW, "left_semi").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated by the benchmark go."""
-    return _keep(docs, decontam.contamination(docs, table(spark, sf_dir, "benchmark")), "not contaminated")
+    rows = _keyed(docs)
+    return _without(rows, decontam.contamination(rows, table(spark, sf_dir, "benchmark"), key=ROW).where("contaminated"), docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +78,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _keyed(table(spark, sf_dir, "documents"))
     for name, stage in STAGES:
         path = fresh_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
