@@ -16,7 +16,7 @@ from ..operators.transcribe import energy_recogniser, transcribe
 from ..session import materialise
 from ..sources import sidecars as SC
 from . import views as V
-from .check_views import iso
+from .check_views import _PATH, iso
 from .registry import query
 
 BASE, AS_OF = V.BASE_MS, V.AS_OF_MS
@@ -159,19 +159,28 @@ def target_facts(spark, d):
 
 # ------------------------------------------------------------- audit
 
+def _raw_rows(spark, d):
+    """Raw segments with their place in the archive; every fifth has none yet."""
+    place = F.when(F.col("id") % 5 != 0, T.archive_path("start_utc_ms", "sha256", "raw/"))
+    return V.raw_segments(spark, d).withColumn("path", place)
+
 def _files(spark, d):
-    """An archive listing of speech chunks: some files lack a half, some are damaged or misplaced."""
-    c = V.chunks(spark, d).where("kind = 'speech' and path is not null and id % 13 <> 0")
-    i = F.col("id")
+    """An archive listing of speech chunks and raw segments: some files lack a half, some are damaged or misplaced."""
+    own = V.chunks(spark, d).where("kind = 'speech' and path is not null").select("id", "sha256", F.lit("").alias("top"), F.col("path").alias("rest"))
+    raw = _raw_rows(spark, d).select("id", "sha256", F.lit("raw/").alias("top"), F.expr("substring(path, 5)").alias("rest"))
+    c = own.unionByName(raw).where("id % 13 <> 0")
+    i, is_raw = F.col("id"), F.col("top") == "raw/"
     return c.select(
-        F.when(i % 29 == 5, F.concat(F.lit("x/"), F.col("path"))).otherwise(F.col("path")).alias("path"),
+        F.concat("top", F.when(i % 29 == 5, "x/").otherwise(""), "rest").alias("path"),
         (i % 17 != 4).alias("has_audio"), (i % 23 != 6).alias("has_sidecar"), F.col("sha256").alias("file_sha256"),
         F.when(i % 31 == 7, F.lit("0")).otherwise(F.col("sha256")).alias("sidecar_sha256"),
-        F.when(i % 37 == 8, "raw").otherwise("speech").alias("sidecar_kind"))
+        F.when((i % 37 == 8) != is_raw, "raw").otherwise("speech").alias("sidecar_kind"))
 
-@query("archive_problems", """
-WITH c AS (SELECT *, CASE WHEN id % 29 = 5 THEN 'x/' || path ELSE path END AS fpath, id % 13 <> 0 AS filed, id % 17 <> 4 AS a, id % 23 <> 6 AS s
-  FROM v_chunks WHERE kind = 'speech' AND path IS NOT NULL)
+@query("archive_problems", f"""
+WITH own AS (SELECT id, '' AS top, path FROM v_chunks WHERE kind = 'speech' AND path IS NOT NULL
+    UNION ALL SELECT id, 'raw/', {_PATH} || substr(sha256, 1, 8) || '.opus' FROM v_raw WHERE id % 5 <> 0),
+c AS (SELECT id, top || path AS path, top || CASE WHEN id % 29 = 5 THEN 'x/' ELSE '' END || path AS fpath, id % 13 <> 0 AS filed, id % 17 <> 4 AS a, id % 23 <> 6 AS s
+  FROM own)
 SELECT path, 'row without file' AS problem FROM c WHERE NOT filed OR id % 29 = 5
 UNION ALL SELECT fpath, 'sidecar without audio' FROM c WHERE filed AND NOT a AND s
 UNION ALL SELECT fpath, 'audio without sidecar' FROM c WHERE filed AND a AND NOT s
@@ -179,8 +188,7 @@ UNION ALL SELECT fpath, 'sha256 mismatch' FROM c WHERE filed AND a AND s AND id
 UNION ALL SELECT fpath, 'kind does not belong here' FROM c WHERE filed AND a AND s AND id % 37 = 8
 UNION ALL SELECT fpath, 'row points elsewhere' FROM c WHERE filed AND a AND s AND id % 29 = 5""")
 def archive_problems(spark, d):
-    # Raw rows are not part of this listing.
-    return R.archive_problems(_files(spark, d), V.chunks(spark, d), V.chunks(spark, d).where("false"))
+    return R.archive_problems(_files(spark, d), V.chunks(spark, d), _raw_rows(spark, d))
 
 @query("unreferenced_files", f"""
 SELECT 'derived/' || id || '.opus' AS path FROM v_chunks WHERE kind = 'derived' AND id % 3 = 0 AND received_utc_ms <= {AS_OF} - 3600000""")
@@ -315,7 +323,7 @@ def refill_chunks(spark, d):
 
 @query("transcribe")
 def transcribe_windows(spark, d):
-    p = _pcm(spark, d).where("n >= 64")
+    p = _pcm(spark, d)
     windows = p.groupBy(F.expr("doc_id div 2").alias("window_id")).agg(
         F.collect_list(F.struct(F.col("doc_id").alias("ord"), F.col("doc_id").alias("chunk_id"), "pcm")).alias("parts"))
     make = energy_recogniser
