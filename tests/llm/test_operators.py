@@ -294,3 +294,35 @@ def test_classifiers_learn_and_take_edges(spark, module, label):
     none = module.train(docs, labels.where("false"), F.lit(True))
     assert {round(x["score"], 9) for x in module.score(docs, none).collect()} == {0.5}
     assert module.score(frame(spark, []), model).count() == 0
+
+
+def test_marginals_of_long_texts_are_those_of_one_chain():
+    r = np.random.default_rng(4)
+    size = [1, 63, 64, 65, 128, 700, 3]
+    row, odds, move = np.repeat(np.arange(len(size)), size), r.normal(0, 2, sum(size)), r.normal(0, 1.5, (2, 2))
+    p, expected = toxicity_crf.marginals(odds, *toxicity_crf.chains(row), move)
+    want, pairs = [], np.zeros((2, 2))
+    for d in range(len(size)):
+        psi, a = np.exp(np.stack([np.zeros(size[d]), odds[row == d]], axis=1)), np.exp(move)
+        f, b = [psi[0] / psi[0].sum()], [np.ones(2)]
+        for x in psi[1:]:
+            f.append((f[-1] @ a) * x / ((f[-1] @ a) * x).sum())
+        for x in psi[:0:-1]:
+            b.append(a @ (x * b[-1]) / (a @ (x * b[-1])).sum())
+        b.reverse()
+        want += [(u * v)[1] / (u * v).sum() for u, v in zip(f, b)]
+        for k in range(1, size[d]):
+            m = f[k - 1][:, None] * a * (psi[k] * b[k])
+            pairs += m / m.sum()
+    assert np.allclose(p, want) and np.allclose(expected, pairs)
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    r = random.Random(6)
+    plain = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnrt"]
+    rows = [(i, " ".join(r.choice(plain) if not i % 2 or k % 300 else "vileword" for k in range(2600))) for i in range(60)]
+    model = toxicity_crf.train(frame(spark, rows), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int"), F.col("doc_id") < 40)
+    got = {x[0]: x["predicted"] for x in toxicity_crf.score(frame(spark, rows), model).collect()}
+    assert got == {i: i % 2 for i, _ in rows}
+    y, n = np.array([0, 1, 0, 1, 0]), np.array([5, 90, 50, 1, 1])
+    assert toxicity_crf.sampled(y, n, 1000).tolist() == [0, 1, 2, 3, 4] and toxicity_crf.sampled(y, n, 20).tolist() == [0, 1]

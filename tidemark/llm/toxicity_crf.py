@@ -7,7 +7,8 @@ documents again with its own marginals, and learns once more. Forward-backward m
 a text give its offending spans and, through a logistic curve on the greatest marginal, their sum and their rate,
 its score.
 
-Texts are read in runs of 64 words, each a chain of its own, so all chains of a slice go in step.
+Texts are read in runs of 64 words, so all runs of a slice go in step; each run's 2 x 2 matrix carries the
+messages over its borders, so a text of any length is one chain.
 """
 
 from __future__ import annotations
@@ -21,14 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import labelled
-from .storage import as_text
+from .storage import as_text, stored
 from .text import LOWER, mix, rows_of, span_hashes, word_spans
 
 CHAIN = 64
 #: Emission weights: features are hashed to so many.
 TABLE = 1 << 18
-#: Labelled rows of either label that are learned from; longer ones than LONGEST words are passed over there.
-TRAIN_EACH, LONGEST = 1200, 2500
+#: Labelled rows of either label that are learned from, and their words in all. Rows are taken in the order of a
+#: hash of their ids until the words are used up, whatever their length.
+TRAIN_EACH, TRAIN_WORDS = 1200, 800_000
 ROUNDS, STEPS, RATE = 2, 20, 0.5
 #: What a feature needs to mark words of toxic documents: this much log-likelihood ratio, and this share of
 #: the documents that it stands in toxic.
@@ -61,39 +63,73 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return row, bare_s, bare_e, out
 
 
-def chains(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(chain, place in it) of each word."""
-    first = np.searchsorted(row, row)
-    place = (np.arange(len(row)) - first) % CHAIN
-    return np.cumsum(place == 0) - 1, place
+def chains(row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, place in it) of each word, and the number in its text of each run."""
+    at = np.arange(len(row)) - np.searchsorted(row, row)
+    place = at % CHAIN
+    return np.cumsum(place == 0) - 1, place, at[place == 0] // CHAIN
 
 
-def marginals(odds: np.ndarray, chain: np.ndarray, place: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / v.sum(axis=-1, keepdims=True)
+
+
+def _borders(psi: np.ndarray, live: np.ndarray, a: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The messages (runs x 2) that enter each run from before its first word and from behind its last one."""
+    n = len(rank)
+    enter, leave = np.ones((n, 2)), np.ones((n, 2))
+    if not rank.any():
+        return enter, leave
+    whole = psi[0][:, :, None] * np.eye(2)
+    for k in range(1, CHAIN):
+        step = (whole @ a) * psi[k][:, None, :]
+        whole = np.where(live[k][:, None, None], step / step.sum(axis=(1, 2), keepdims=True), whole)
+    order = np.argsort(rank, kind="stable")
+    levels = np.split(order, np.cumsum(np.bincount(rank))[:-1])[1:]
+    for c in levels:
+        enter[c] = _unit((enter[c - 1][:, None, :] @ whole[c - 1])[:, 0] @ a)
+    for c in reversed(levels):
+        leave[c - 1] = _unit((whole[c] @ leave[c][:, :, None])[:, :, 0] @ a.T)
+    return enter, leave
+
+
+def marginals(odds: np.ndarray, chain: np.ndarray, place: np.ndarray, rank: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """P(toxic) of each word, and expected transition counts (2 x 2), by forward-backward in step.
 
-    `odds` are emission log-odds of toxic; `move` are log transition scores from row to column."""
-    n = int(chain[-1]) + 1 if len(chain) else 0
+    `odds` are emission log-odds of toxic; `move` are log transition scores from row to column; `chain`,
+    `place` and `rank` are those of `chains`."""
+    n = len(rank)
     if not n:
         return np.zeros(0), np.zeros((2, 2))
     u = np.zeros((CHAIN, n, 2))
     live = np.zeros((CHAIN, n), bool)
     u[place, chain, 1] = np.clip(odds, -30, 30)
     live[place, chain] = True
-    top = u.max(axis=2, keepdims=True)
-    psi, a = np.exp(u - top), np.exp(move)
-    fwd, bwd = np.empty_like(psi), np.ones_like(psi)
-    fwd[0] = psi[0] / psi[0].sum(axis=1, keepdims=True)
+    u -= u.max(axis=2, keepdims=True)
+    psi, a = np.exp(u, out=u), np.exp(move)
+    enter, leave = _borders(psi, live, a, rank)
+    fwd, bwd = np.empty_like(psi), np.empty_like(psi)
+    fwd[0], bwd[-1] = _unit(enter * psi[0]), leave
     for k in range(1, CHAIN):
-        f = (fwd[k - 1] @ a) * psi[k]
-        fwd[k] = f / f.sum(axis=1, keepdims=True)
+        fwd[k] = _unit((fwd[k - 1] @ a) * psi[k])
     for k in range(CHAIN - 2, -1, -1):
-        b = (psi[k + 1] * bwd[k + 1]) @ a.T
-        bwd[k] = np.where(live[k + 1][:, None], b / b.sum(axis=1, keepdims=True), 1.0)
+        bwd[k] = np.where(live[k + 1][:, None], _unit((psi[k + 1] * bwd[k + 1]) @ a.T), leave)
     both = fwd * bwd
     p = (both[..., 1] / both.sum(axis=2))[place, chain]
-    pair = fwd[:-1, :, :, None] * a * (psi[1:] * bwd[1:])[:, :, None, :]
-    pair = pair / pair.sum(axis=(2, 3), keepdims=True)
-    return p, (pair * live[1:, :, None, None]).sum(axis=(0, 1))
+    expected, psi = np.zeros((2, 2)), psi * bwd
+    later = np.flatnonzero(rank)
+    for k in range(CHAIN):  # of the transition into the word in place k
+        left, right = (fwd[-1, later - 1], psi[0, later]) if k == 0 else (fwd[k - 1, live[k]], psi[k, live[k]])
+        pair = left[:, :, None] * a * right[:, None, :]
+        expected += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+    return p, expected
+
+
+def emissions(weight: np.ndarray, f: np.ndarray) -> np.ndarray:
+    out = weight[f[:, 0]]
+    for k in range(1, FEATURES):
+        out = out + weight[f[:, k]]
+    return out
 
 
 @dataclass(frozen=True)
@@ -104,8 +140,8 @@ class Model:
     move: np.ndarray
     curve: np.ndarray  # of `summary`
 
-    def words(self, f: np.ndarray, chain: np.ndarray, place: np.ndarray) -> np.ndarray:
-        return marginals(self.weight[f].sum(axis=1) + self.bias, chain, place, self.move)[0]
+    def words(self, f: np.ndarray, chain: np.ndarray, place: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        return marginals(emissions(self.weight, f) + self.bias, chain, place, rank, self.move)[0]
 
     def scores(self, p: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(summary(p, row, n) @ self.curve, -40, 40)))
@@ -138,18 +174,18 @@ def fit(f: np.ndarray, row: np.ndarray, y: np.ndarray) -> Model:
         gain = np.nan_to_num(seen[1] * np.log(part / share)) + np.nan_to_num(seen[0] * np.log((1 - part) / (1 - share)))
     evident = (2 * gain > EVIDENCE) & (part > PURITY)
     tag = (toxic & evident[f].any(axis=1)).astype(np.float64)
-    chain, place = chains(row)
+    chain, place, rank = chains(row)
     weight, bias, move = np.zeros(TABLE), -3.0, np.zeros((2, 2))
     for turn in range(ROUNDS):
         g2, m2 = np.full(TABLE, 1e-2), np.full((2, 2), 1.0)
-        last = np.flatnonzero(place[1:] > 0)
+        last = np.flatnonzero(row[1:] == row[:-1])
         moves = np.zeros((2, 2))
         np.add.at(moves, (tag[last].round().astype(int), tag[last + 1].round().astype(int)), 1)
         scale = 1 / max(tag.sum(), 1)
         for _ in range(STEPS):
-            p, expected = marginals(weight[f].sum(axis=1) + bias, chain, place, move)
+            p, expected = marginals(emissions(weight, f) + bias, chain, place, rank, move)
             off = p - tag
-            g = np.bincount(f.reshape(-1), np.repeat(off, FEATURES), TABLE) + 0.05 * weight
+            g = sum(np.bincount(f[:, k], off, TABLE) for k in range(FEATURES)) + 0.05 * weight
             g2 += g * g
             weight -= RATE * g / np.sqrt(g2)
             bias -= RATE * np.clip(off.sum() * scale, -1, 1)
@@ -157,9 +193,9 @@ def fit(f: np.ndarray, row: np.ndarray, y: np.ndarray) -> Model:
             m2 += gm * gm
             move = move - RATE * gm / np.sqrt(m2)
         if turn + 1 < ROUNDS:
-            p = marginals(weight[f].sum(axis=1) + bias, chain, place, move)[0]
+            p = marginals(emissions(weight, f) + bias, chain, place, rank, move)[0]
             tag = np.where(toxic, p > 0.5, 0).astype(np.float64)
-    p = marginals(weight[f].sum(axis=1) + bias, chain, place, move)[0]
+    p = marginals(emissions(weight, f) + bias, chain, place, rank, move)[0]
     x, curve = summary(p, row, n), np.zeros(4)
     for _ in range(50):  # Newton steps of a ridge logistic curve
         q = 1 / (1 + np.exp(-np.clip(x @ curve, -30, 30)))
@@ -168,19 +204,33 @@ def fit(f: np.ndarray, row: np.ndarray, y: np.ndarray) -> Model:
     return Model(weight.astype(np.float32), bias, move, curve)
 
 
+def sampled(y: np.ndarray, n: np.ndarray, bound: int) -> np.ndarray:
+    """Places of the rows to learn from, given labels and sizes in the order of the draw: of each label the first ones,
+    until the next would exceed half the bound or what the other label leaves of it; at least one."""
+    half = {c: min(int(n[y == c].sum()), bound // 2) for c in (0, 1)}
+    take = []
+    for c in (0, 1):
+        at = np.flatnonzero(y == c)
+        take.append(at[(np.cumsum(n[at]) <= bound - half[1 - c]) | (np.arange(len(at)) == 0)])
+    return np.sort(np.concatenate(take))
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: Column, label: str = "toxic", key: str = "doc_id", text: str = "text") -> Model:
-    """Fit on a bounded sample of the labelled rows that `rows` admits: at most 2 * TRAIN_EACH texts of at most
-    LONGEST words come to the driver as features. Without rows of both labels every score is the smoothed share."""
+    """Fit on a bounded sample of the labelled rows that `rows` admits: at most TRAIN_EACH texts of either label and
+    TRAIN_WORDS words in all come to the driver as features. Without rows of both labels every score is the smoothed share."""
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in rows_of(it, "text"):
             row, _, _, f = features(data, offsets)
             cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
-            blobs = [f[a:b].tobytes() if b - a <= LONGEST else b"" for a, b in zip(cuts, cuts[1:])]
-            yield pa.record_batch([part.column("id"), part.column("y"), pa.array(blobs, pa.binary())], ["id", "y", "f"])
-
-    got = labelled(docs, labels, label, rows, TRAIN_EACH, key, text).mapInArrow(encode, "id long, y int, f binary").toPandas().sort_values("id")
-    got = got[got.f.map(len) > 0]
+            blobs = [f[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+            yield pa.record_batch([part.column("id"), part.column("y"), pa.array(np.diff(cuts).astype(np.int64)), pa.array(blobs, pa.binary())], ["id", "y", "n", "f"])
+
+    known = stored(labelled(docs, labels, label, rows, TRAIN_EACH, key, text).mapInArrow(encode, "id long, y int, n long, f binary").where("n > 0"), "features")
+    sizes = known.groupBy("id", "y").agg(F.sum("n").alias("n")).orderBy(F.xxhash64("id"), "id").toPandas()
+    ids = sampled(sizes.y.to_numpy(), sizes.n.to_numpy(), TRAIN_WORDS)
+    chosen = docs.sparkSession.createDataFrame([(int(i),) for i in sizes.id[ids]], "id long")
+    got = known.join(F.broadcast(chosen), "id", "left_semi").select("id", "y", "f").toPandas().sort_values("id", kind="stable")
     y = got.y.to_numpy(np.float64)
     if len(set(y)) < 2:
         share = (y.sum() + 1) / (len(y) + 2)
