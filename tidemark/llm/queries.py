@@ -13,6 +13,7 @@ from . import quality_mil, toxicity_crf
 from .bpe_chunks import encode_decode
 from .decontam import contamination
 from .licenses import NOTICES, SPELLINGS, known_notices, license_scan
+from .line_dedup import dedup_lines
 from .neardup import near_duplicates
 from .ngram_lm import score_texts
 from .sampling import fold
@@ -72,9 +73,14 @@ def op10_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_crf.score(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted", "spans")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(table(spark, sf_dir, "documents"), min_chars=20, min_docs=3)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_topk_search, op2_bpe_round_trip, op3_warc_round_trip, op4_license_scan, op5_near_duplicates, op6_ngram_scores, op7_quality_mil,
-    op8_decontamination, op9_token_counts, op10_toxicity_crf)}
+    op8_decontamination, op9_token_counts, op10_toxicity_crf, op11_line_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -133,4 +139,14 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN named m ON m.doc_id = d.doc_id""",
+    "op11_line_dedup": """
+        WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+        lines AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM cut),
+        keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+        often AS (SELECT k, max(doc_id) AS last FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+        judged AS (SELECT doc_id, pos, line, o.k IS NOT NULL AND doc_id <> o.last AS gone FROM keyed LEFT JOIN often o ON keyed.k = o.k)
+        SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+        FROM judged GROUP BY doc_id""",
 }
