@@ -16,6 +16,7 @@ from .licenses import NOTICES, SPELLINGS, known_notices, license_scan
 from .line_dedup import dedup_lines
 from .neardup import near_duplicates
 from .ngram_lm import score_texts
+from .phrases import collocations
 from .sampling import fold
 from .token_counts import token_counts
 from .topk import top_k
@@ -78,9 +79,14 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), top=2000, min_count=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_topk_search, op2_bpe_round_trip, op3_warc_round_trip, op4_license_scan, op5_near_duplicates, op6_ngram_scores, op7_quality_mil,
-    op8_decontamination, op9_token_counts, op10_toxicity_crf, op11_line_dedup)}
+    op8_decontamination, op9_token_counts, op10_toxicity_crf, op11_line_dedup,
+    op12_collocations)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -149,4 +155,23 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
         FROM judged GROUP BY doc_id""",
+    "op12_collocations": f"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        numbered AS (SELECT lang, row_number() OVER () AS p, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        placed AS (SELECT lang, p, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM numbered),
+        runs AS (SELECT lang, w1, lead(w1) OVER run AS w2, lead(w1, 2) OVER run AS w3 FROM placed WINDOW run AS (PARTITION BY p ORDER BY i)),
+        one AS (SELECT lang, w1 AS g, count(*) AS n FROM runs GROUP BY ALL),
+        two AS (SELECT lang, w1, w2, w1 || ' ' || w2 AS g, count(*) AS n FROM runs WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+        three AS (SELECT lang, w1, w2, w3, w1 || ' ' || w2 || ' ' || w3 AS g, count(*) AS n FROM runs WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+        cuts AS (SELECT c.lang, c.g, c.n AS a, 1 AS k, x.n AS l, y.n AS r FROM two c JOIN one x ON x.lang = c.lang AND x.g = w1 JOIN one y ON y.lang = c.lang AND y.g = w2
+                 UNION ALL SELECT c.lang, c.g, c.n, 1, x.n, y.n FROM three c JOIN one x ON x.lang = c.lang AND x.g = c.w1 JOIN two y ON y.lang = c.lang AND y.g = c.w2 || ' ' || w3
+                 UNION ALL SELECT c.lang, c.g, c.n, 2, x.n, y.n FROM three c JOIN two x ON x.lang = c.lang AND x.g = c.w1 || ' ' || c.w2 JOIN one y ON y.lang = c.lang AND y.g = w3),
+        scored AS (SELECT *, (1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS score FROM cuts),
+        least_cut AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+        held AS (SELECT lang, g, max(n) AS n FROM (SELECT lang, w1 || ' ' || w2 AS g, n FROM three UNION ALL SELECT lang, w2 || ' ' || w3, n FROM three) GROUP BY ALL),
+        kept AS (SELECT c.* FROM least_cut c LEFT JOIN held h ON h.lang = c.lang AND h.g = c.g WHERE h.n IS NULL OR 100 * h.n < 50 * a),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM kept),
+        totals AS (SELECT lang, sum(n) AS n FROM one GROUP BY lang)
+        SELECT r.lang, rank, g AS phrase, a::BIGINT AS a, l::BIGINT AS l, r.r::BIGINT AS r, t.n::BIGINT AS n, score::BIGINT AS score
+        FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= 2000""",
 }
