@@ -17,6 +17,7 @@ from .line_dedup import dedup_lines
 from .neardup import near_duplicates
 from .ngram_lm import score_texts
 from .phrases import collocations
+from .repairs import damage, repair_conversations
 from .sampling import fold
 from .token_counts import token_counts
 from .topk import top_k
@@ -83,10 +84,14 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"), top=2000, min_count=10)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damage(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_topk_search, op2_bpe_round_trip, op3_warc_round_trip, op4_license_scan, op5_near_duplicates, op6_ngram_scores, op7_quality_mil,
     op8_decontamination, op9_token_counts, op10_toxicity_crf, op11_line_dedup,
-    op12_collocations)}
+    op12_collocations, op13_conversation_repair)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -99,6 +104,32 @@ def _license_form(column: str) -> str:
     return c
 
 
+def _edit(path: str, cost: int | str, letter: str) -> str:
+    """A path, seven digits of cost and its edits, with one edit more."""
+    return f"lpad((substr({path}, 1, 7)::INT + {cost})::VARCHAR, 7, '0') || substr({path}, 8) || '{letter}'"
+
+
+def _edit_step() -> str:
+    """Best paths by state (nothing, system, user, assistant) after a row, as a fold over rows; least() passes over nulls."""
+    to_user = "least(acc.s0, acc.s1, acc.s3)"
+    inserted = f"struct_pack(l := r.l, s0 := acc.s0, s1 := acc.s1, s2 := least(acc.s2, {_edit(to_user, 2, 'I')}), s3 := acc.s3)"
+    both = f"struct_pack(l := acc.l, s0 := acc.s0, s1 := acc.s1, s2 := acc.s2, s3 := least(acc.s3, {_edit('acc.s2', 2, 'I')}))"
+    more = "(CASE WHEN acc.l IN ('S', 'U', 'A', 'X') THEN 1 ELSE 0 END)"
+
+    def own(letter: str, path: str) -> str:
+        return f"CASE WHEN lower(acc.l) = '{letter}' THEN {_edit(path, more, 'K')} END"
+
+    def rerole(path: str) -> str:
+        return f"CASE WHEN acc.l <> 'd' THEN {_edit(path, f'2 + {more}', 'R')} END"
+
+    edited = (f"struct_pack(l := acc.l, s0 := {_edit('acc.s0', 3, 'D')}, s1 := least({_edit('acc.s1', 3, 'D')}, {own('s', 'acc.s0')}), "
+              f"s2 := least({_edit('acc.s2', 3, 'D')}, {own('u', to_user)}, {rerole(to_user)}), "
+              f"s3 := least({_edit('acc.s3', 3, 'D')}, {own('a', 'acc.s2')}, {rerole('acc.s2')}))")
+    return f"list_transform(list_transform([{inserted}], lambda acc: {both}), lambda acc: {edited})[1]"
+
+
+_SAID = "coalesce({}::VARCHAR, ' ')"
+
 ORACLES: dict[str, str] = {
     "op1_topk_search": """
         WITH parts AS (SELECT vec_id, generate_subscripts(embedding, 1) AS d, floor(1024 * unnest(embedding)::DOUBLE)::BIGINT AS x FROM embeddings),
@@ -174,4 +205,42 @@ ORACLES: dict[str, str] = {
         totals AS (SELECT lang, sum(n) AS n FROM one GROUP BY lang)
         SELECT r.lang, rank, g AS phrase, a::BIGINT AS a, l::BIGINT AS l, r.r::BIGINT AS r, t.n::BIGINT AS n, score::BIGINT AS score
         FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= 2000""",
+    "op13_conversation_repair": f"""
+        WITH RECURSIVE bits AS (SELECT i, i AS c, 0 AS k FROM range(256) AS r(i) UNION ALL
+                SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+        said AS (SELECT conv_id, turn, {_SAID.format('role')} AS role, {_SAID.format('text')} AS text,
+                        {_SAID.format('conv_id')} || ':' || {_SAID.format('turn')} AS key FROM conversations),
+        summed AS (SELECT s.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, i, 1))::BIGINT)),
+                        lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)])), 4294967295::BIGINT) % 20 AS kind FROM said s, crc),
+        damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                        CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+                    FROM summed, range(2) AS c(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS nr FROM damaged),
+        seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY nr) > 1 AS again,
+                        rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare,
+                        lag(role) OVER (PARTITION BY conv_id ORDER BY nr) AS previous FROM numbered),
+        judged AS (SELECT *, bare = '' AS is_blank, bare <> '' AND again AS is_copy, bare <> '' AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') AS is_short,
+                        CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'x' END AS letter FROM seen),
+        talks AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (is_blank) AS blank,
+                        count(*) FILTER (is_copy) AS duplicate, count(*) FILTER (is_short) AS truncated,
+                        count(*) FILTER (previous IS NOT NULL AND previous[1] || role[1] NOT IN ('su', 'ua', 'au')) AS illegal,
+                        list_reduce(list_prepend(struct_pack(l := '', s0 := '0000000', s1 := NULL::VARCHAR, s2 := NULL::VARCHAR, s3 := NULL::VARCHAR),
+                            list(struct_pack(l := CASE WHEN is_blank OR is_copy THEN 'd' WHEN is_short THEN upper(letter) ELSE letter END,
+                                 s0 := NULL::VARCHAR, s1 := NULL::VARCHAR, s2 := NULL::VARCHAR, s3 := NULL::VARCHAR) ORDER BY nr)), lambda acc, r: {_edit_step()}) AS e
+                  FROM judged GROUP BY conv_id),
+        ended AS (SELECT *, least(e.s0, e.s3, {_edit("least(e.s2, " + _edit('least(e.s0, e.s1, e.s3)', 2, 'I') + ")", 2, 'I')}) AS best FROM talks),
+        paths AS (SELECT *, substr(best, 1, 7)::BIGINT AS cost, substr(best, 8) AS audit FROM ended),
+        edits AS (SELECT conv_id, i, substr(audit, i, 1) AS edit, len(replace(substr(audit, 1, i), 'I', '')) AS nr,
+                        len(replace(substr(audit, 1, i), 'D', '')) AS place FROM (SELECT conv_id, audit, unnest(range(1, len(audit) + 1)) AS i FROM paths)),
+        stands AS (SELECT t.conv_id, i, place, edit, role, text, bool_or(edit = 'K' AND place = 1 AND letter = 's') OVER (PARTITION BY t.conv_id) AS led
+                   FROM edits t LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM t.conv_id AND j.nr = t.nr AND edit <> 'I' WHERE edit <> 'D'),
+        turns AS (SELECT conv_id, i, CASE WHEN edit = 'K' THEN role WHEN (place - CASE WHEN led THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                        || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END AS line FROM stands),
+        told AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY i) AS whole FROM turns GROUP BY conv_id),
+        every_one AS (SELECT DISTINCT conv_id FROM conversations)
+        SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+               coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+               sha256(coalesce(whole, '')) AS repaired_sha256
+        FROM every_one c LEFT JOIN paths p ON p.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM c.conv_id""",
 }
