@@ -7,15 +7,14 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.speech import Rules
 from tidemark.operators import search
-from tidemark.operators.audio import speech_chunks
+from tidemark.operators.chunking import speech_chunks
 from tidemark.sources import sidecars as SC
 from tidemark.streaming.ingest import start_ingest
-from tidemark.streaming.segments import OUT, chunk_stream, step
+from tidemark.streaming.segments import OUT, chunk_stream
 from tidemark.streaming.sessions import session_windows
 
-from test_folds import random_probs, window_loop
+from test_chunking import random_probs, segments_of
 
 
 @pytest.fixture()
@@ -23,73 +22,12 @@ def tmp():
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
-def segments_of(probs, size, rnd=None, ends="shutdown"):
-    segs = [{"first_idx": i, "probs": probs[i:i + size], "ends": None, "n_end": None} for i in range(0, len(probs), size)]
-    segs[-1]["ends"] = ends
-    if rnd is not None:
-        rnd.shuffle(segs)
-    return segs
-
-
-def test_incremental_and_out_of_order_equal_one_shot():
-    for seed in range(60):
-        rnd = random.Random(seed)
-        probs = random_probs(rnd, rnd.randrange(1500, 4000))
-        segs = segments_of(probs, 500)
-        head, rest = segs[0], segs[1:]
-        rnd.shuffle(rest)
-        state, got = {}, []
-        todo = [head, *rest]
-        while todo:
-            n = rnd.randrange(1, 3)
-            take, todo = todo[:n], todo[n:]
-            state, out = step(json.loads(json.dumps(state)), take, Rules(), False)
-            got += out
-        assert sorted(got) == sorted(("chunk", *c) for c in window_loop(probs, Rules(), "shutdown")), seed
-
-
-def test_gap_waits_then_closes_when_idle_and_late_is_reported():
-    probs = [0.9] * 200
-    a, b = {"first_idx": 0, "probs": probs, "ends": None, "n_end": None}, {"first_idx": 400, "probs": probs, "ends": "shutdown", "n_end": None}
-    state, out = step({}, [a], Rules(), False)
-    state, out2 = step(state, [b], Rules(), False)
-    assert out == out2 == [] and len(state["waiting"]) == 1
-    state, out = step(state, [], Rules(), True)
-    assert [(k, s, e, r) for k, s, e, r in out] == [("chunk", 0, 200 * 512, "shutdown"), ("chunk", 400 * 512, 600 * 512, "shutdown")]
-    state, out = step(state, [{"first_idx": 200, "probs": probs, "ends": None, "n_end": None}], Rules(), False)
-    assert out == [("late", 200 * 512, 400 * 512, None)]
-
-
-def test_gap_closes_while_the_device_goes_on():
-    rules, probs = Rules(), ([0.9] * 40 + [0.0] * 160) * 40
-    segs = segments_of(probs, 100)
-    missing, idle_ms = 20, 1000
-    state, out, longest = {}, [], 0
-    for k, s in enumerate(segs):
-        if k == missing:
-            continue
-        now = k * 100
-        state, rows = step(state, [s | {"at": now}], rules, False, now - idle_ms)
-        out += rows
-        longest = max(longest, len(state["waiting"]))
-    assert longest <= 1 + idle_ms // 100 and not state["waiting"]
-    assert all(kind == "chunk" for kind, *_ in out)
-    edge = segs[missing]["first_idx"] * rules.window
-    behind = (segs[missing]["first_idx"] + 100) * rules.window
-    assert max(n_end for _, _, n_end, _ in out if n_end <= edge) > 0 and any(n >= behind for _, n, _, _ in out)
-    assert not any(n < behind and n_end > edge for _, n, n_end, _ in out)
-    # the missing one is late now, and a gap seen too short a time still waits
-    assert [r[0] for r in step(state, [segs[missing]], rules, False)[1]] == ["late"]
-    young, rows = step({"chain": None, "mark": 0, "waiting": []}, [segs[3] | {"at": 950}], rules, False, 900)
-    assert len(young["waiting"]) == 1 and rows == []
-
-
 def test_stream_equals_batch(spark, tmp):
     rows, flat = [], []
     for k in range(3):
         probs = random_probs(random.Random(40 + k), 2600)
         flat += [(f"d{k}", i, p) for i, p in enumerate(probs)]
-        rows += [(f"d{k}", "r", 0, s["first_idx"], s["probs"], s["ends"], s["n_end"]) for s in segments_of(probs, 500)]
+        rows += [(f"d{k}", "r", 0, s.first_idx, s.probs, s.ends, s.n_end) for s in segments_of(probs, 500)]
     ddl = "device_id string, run_id string, epoch bigint, first_idx bigint, probs array<double>, ends string, n_end bigint"
     df = spark.createDataFrame(rows, ddl)
     for lo in (0, 1000, 2000):  # three files, three micro-batches

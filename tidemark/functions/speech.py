@@ -1,17 +1,20 @@
-"""The speech chunker's state, advanced by runs of equal voice-activity class.
+"""Where speech chunks begin and end, looked up in tables of speech runs and quiet stretches.
 
-A small helper: Spark partitions, orders and compresses the windows (operators.audio,
-streaming.segments) and calls it per burst or per micro-batch.
+Spark partitions, orders and compresses the windows (operators.audio, streaming.segments); a `Tape` holds the
+runs of some consecutive windows as sorted arrays and answers, for an open chunk, what ends it next.
 """
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass
+
+import numpy as np
 
 SILENT, HOLD, SPEECH = 0, 1, 2
+FAR = 1 << 62
 
 
-@dataclass
+@dataclass(frozen=True)
 class Rules:
     """Lengths in samples; defaults at 16 kHz."""
 
@@ -30,107 +33,125 @@ class Rules:
         return 2 * self.min_silence + 2 * self.pad
 
 
-@dataclass
-class Burst:
-    """Open-chunk state. Positions are absolute samples; -1 stands for none."""
-
-    floor: int = 0  # end of the last chunk: padding never reaches behind it
-    at: int = 0  # end of the last window seen
-    is_open: bool = False
-    start: int = 0
-    speech_from: int = 0
-    is_tail: bool = False
-    heard: bool = False
-    heard_to: int = 0
-    quiet_from: int = -1
-    pauses: list = field(default_factory=list)
-
-    def to_json(self) -> dict:
-        return asdict(self)
-
-
-def advance(b: Burst, rules: Rules, origin: int, first: int, count: int, kind: int, out: list) -> None:
-    """Feed windows `first .. first + count - 1`, all of one class. Cuts go to `out` as
-    (start, end, reason)."""
-    w = rules.window
-    pos = origin + first * w
-    end = pos + count * w
-    b.at = end
-    if kind == SPEECH:
-        if b.quiet_from >= 0:
-            if pos - b.quiet_from >= rules.min_pause:
-                b.pauses.append((b.quiet_from, pos - b.quiet_from))
-            b.quiet_from = -1
-        if not b.is_open:
-            b.is_open, b.is_tail, b.pauses = True, False, []
-            b.speech_from, b.start = pos, max(pos - rules.pad, b.floor)
-        b.heard = True
-    elif not b.is_open:
-        return
-    elif kind == SILENT and b.quiet_from < 0:
-        b.quiet_from = pos
-
-    here = pos  # start of the next window to look at
-    while here < end and b.is_open:
-        cap = _window_end(b.start + rules.max_len, here, w)
-        if kind == SILENT:
-            hush = _window_end(b.quiet_from + rules.min_silence, here, w)
-            if hush <= min(cap, end):
-                _finish(b, rules, b.quiet_from + rules.pad, "silence", out)
-                return
-        if cap > end:
+@dataclass(frozen=True)
+class Open:
+    """An open chunk: where it starts, its first speech (-1 behind a cap cut), and up to where windows are used."""
+
+    start: int
+    speech: int
+    now: int
+
+
+@dataclass(frozen=True)
+class Chunk:
+    n_start: int
+    n_end: int
+    cut_reason: str
+
+
+class Tape:
+    """Runs (start, end, kind) of consecutive windows on the grid at `origin`; positions are samples.
+
+    A quiet stretch lies between two speech runs, from the first silent window on; windows between the thresholds
+    neither begin nor end one. `led`: speech came before the first run.
+    """
+
+    def __init__(self, start, end, kind, rules: Rules, origin: int = 0, led: bool = False):
+        start, end, kind = (np.asarray(x, np.int64) for x in (start, end, kind))
+        self.rules, self.origin = rules, origin
+        self.end = int(end[-1]) if len(end) else origin
+        talk = kind == SPEECH
+        self.speech_from = start[talk & ~np.append(False, talk[:-1])]
+        self.speech_to = end[talk & ~np.append(talk[1:], False)]
+        self.silent_from, self.silent_to = start[kind == SILENT], end[kind == SILENT]
+        before = np.append(start[:1], self.speech_to) if led and len(kind) and not talk[0] else self.speech_to
+        back = np.append(self.speech_from[len(self.speech_from) - len(before) + 1:], FAR)[:len(before)]
+        first = np.append(self.silent_from, FAR)[np.searchsorted(self.silent_from, before)]
+        self.quiet, self.back = first[first < back], back[first < back]
+        closes = self._closing(self.quiet, self.back, self.quiet)
+        self.closers = np.flatnonzero(closes < FAR)
+        self.closes = closes[self.closers]
+
+    def _grid(self, at):
+        """The first window end at or after `at`."""
+        w = self.rules.window
+        return self.origin - (self.origin - at) // w * w
+
+    def _closing(self, base, back, now):
+        """End of the first silent window, later than `now` and before speech is `back`, that completes the silence from `base`."""
+        need = np.maximum(base + self.rules.min_silence, now + 1)
+        j = np.searchsorted(self.silent_to, need)
+        begin = np.append(self.silent_from, FAR)[j]
+        return np.where(begin < back, np.maximum(self._grid(need), begin + self.rules.window), FAR)
+
+    def opening(self, now: int, floor: int) -> Open | None:
+        """The chunk that the next speech opens, padded up to `floor`, the end of the last one."""
+        k = int(np.searchsorted(self.speech_from, now))
+        if k == len(self.speech_from):
+            return None
+        at = int(self.speech_from[k])
+        return Open(max(at - self.rules.pad, floor), at, at + self.rules.window)
+
+    def _heard(self, o: Open, by: int) -> bool:
+        k = int(np.searchsorted(self.speech_to, o.start, "right"))
+        return k < len(self.speech_to) and int(self.speech_from[k]) + self.rules.window <= by
+
+    def _kept(self, o: Open, end: int, stop: int, by: int, reason: str) -> Chunk | None:
+        good = self._heard(o, by) if o.speech < 0 else stop - o.speech >= self.rules.min_speech
+        return Chunk(o.start, end, reason) if good and end > o.start else None
+
+    def running(self, o: Open) -> int:
+        """Index of the first quiet stretch that had not ended when `o` was last looked at."""
+        return int(np.searchsorted(self.back, o.now - self.rules.window, "right"))
+
+    def outcome(self, o: Open) -> tuple[Chunk | None, int, Open | None] | None:
+        """(chunk, time, what follows: a chunk behind a cap cut or nothing), or None if the runs end before it is decided."""
+        r = self.rules
+        cap = max(o.now + r.window, int(self._grid(o.start + r.max_len)))
+        i, at, base = self.running(o), FAR, 0
+        if i < len(self.quiet):
+            base = max(int(self.quiet[i]), o.start)
+            at = int(self._closing(base, self.back[i], o.now))
+            if at == FAR and (j := int(np.searchsorted(self.closers, i, "right"))) < len(self.closers):
+                at, base = int(self.closes[j]), int(self.quiet[self.closers[j]])
+        if at <= cap:
+            return self._kept(o, base + r.pad, base, at, "silence"), at, None
+        if self.end < cap:
+            return None
+        cut = self._cut(o, cap, i)
+        return Chunk(o.start, cut, "cap"), cap, Open(cut, -1, cap)
+
+    def _cut(self, o: Open, cap: int, running: int) -> int:
+        """Middle of the longest pause of the chunk up to `cap`, the first of equals, else its greatest length."""
+        r = self.rules
+        part = slice(min(int(np.searchsorted(self.quiet, o.start)), running), int(np.searchsorted(self.quiet, cap - r.window, "right")))
+        begin = np.maximum(self.quiet[part], o.start)
+        size = np.minimum(self.back[part], cap) - begin
+        size = np.where((size >= r.min_pause) & (begin + size // 2 > o.start), size, 0)
+        if not size.any():
+            return o.start + r.max_len
+        k = int(np.argmax(size))
+        return int(begin[k] + size[k] // 2)
+
+    def last(self, o: Open, reason: str, n_end: int | None) -> Chunk | None:
+        """The chunk that the end of the audio leaves, at `n_end` or before."""
+        end = stop = self.end if n_end is None else min(n_end, self.end)
+        i = self.running(Open(o.start, o.speech, self.end))
+        if i < len(self.quiet) and self.quiet[i] < self.end:
+            stop = max(int(self.quiet[i]), o.start)
+            end = min(end, stop + self.rules.pad)
+        return self._kept(o, end, stop, self.end, reason)
+
+
+def chunks_of(tape: Tape, o: Open | None, now: int, floor: int) -> tuple[list[Chunk], Open | None, int, int]:
+    """(chunks, what is left open, time, floor): all that the tape decides, from an open chunk or from `now` on."""
+    out: list[Chunk] = []
+    while o is not None or (o := tape.opening(now, floor)) is not None:
+        got = tape.outcome(o)
+        if got is None:
             break
-        if kind == SPEECH:
-            b.heard_to = cap
-        _split(b, rules, cap, out)
-        here = cap
-        if kind == SPEECH and here < end:
-            b.heard = True
-    if kind == SPEECH:
-        b.heard_to = end
-
-
-def _window_end(bound: int, here: int, w: int) -> int:
-    """The first window end at or after `bound`, for windows starting at `here`."""
-    return here + max(1, -(-(bound - here) // w)) * w
-
-
-def _emit(b: Burst, start: int, end: int, reason: str, out: list) -> None:
-    if end > start:
-        out.append((start, end, reason))
-        b.floor = end
-
-
-def _finish(b: Burst, rules: Rules, end: int, reason: str, out: list) -> None:
-    stop = b.quiet_from if b.quiet_from >= 0 else end
-    if b.heard if b.is_tail else stop - b.speech_from >= rules.min_speech:
-        _emit(b, b.start, end, reason, out)
-    b.is_open, b.is_tail, b.quiet_from, b.pauses = False, False, -1, []
-
-
-def _split(b: Burst, rules: Rules, now: int, out: list) -> None:
-    """Length cap: cut in the middle of the longest pause so far (the first of equals), else at the cap."""
-    open_pause = [(b.quiet_from, now - b.quiet_from)] if b.quiet_from >= 0 else []
-    usable = [(s, n) for s, n in [*b.pauses, *open_pause]
-              if n >= rules.min_pause and s + n // 2 > b.start]
-    if usable:
-        s, n = max(usable, key=lambda p: p[1])
-        cut = s + n // 2
-    else:
-        cut = b.start + rules.max_len
-    _emit(b, b.start, cut, "cap", out)
-    if b.quiet_from >= 0:
-        b.quiet_from = max(b.quiet_from, cut)
-    b.pauses = [p for p in b.pauses if p[0] >= cut]
-    b.start = b.speech_from = cut
-    b.is_tail, b.heard = True, b.heard_to > cut
-
-
-def close(b: Burst, rules: Rules, reason: str, n_end: int | None, out: list) -> None:
-    """The audio ends: close an open chunk at `n_end`, or at the end of the silence padding."""
-    if not b.is_open:
-        return
-    end = b.at if n_end is None else min(n_end, b.at)
-    if b.quiet_from >= 0:
-        end = min(end, b.quiet_from + rules.pad)
-    _finish(b, rules, end, reason, out)
+        chunk, now, o = got
+        if chunk is not None:
+            out.append(chunk)
+            floor = chunk.n_end
+    return out, o, now, floor

@@ -9,9 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import BinaryType
 
-from ..functions.speech import HOLD, SILENT, SPEECH, Burst, Rules, advance, close
+from ..functions.speech import HOLD, SILENT, SPEECH, Rules
 from ..functions.times import floor_div, samples_to_ms
-from .folds import map_groups
 from .intervals import as_of, first_overlap, interval_join, subtract
 from .sliced import SLICE, Carry, scan, with_slice
 
@@ -113,40 +112,6 @@ def activity_runs(windows: DataFrame, keys: Sequence[str], rules: Rules) -> Data
         F.min("idx").alias("first_idx"), F.count("*").alias("n"), F.first("kind").alias("kind")).drop("_run")
 
 
-def speech_chunks(windows: DataFrame, keys: Sequence[str], rules: Rules | None = None, final: str = "shutdown",
-                  origin: int = 0, n_end: int | None = None) -> DataFrame:
-    """(keys, n_start, n_end, cut_reason): speech chunks of dense window streams (keys, idx, prob).
-
-    Windows are compressed to runs in fixed blocks. A silent run of `reset_len` closes whatever is
-    open, so the runs between two of them, a burst, are independent of everything before; bursts
-    are found by one scan and folded in parallel.
-    """
-    rules, keys = rules or Rules(), list(keys)
-    runs = activity_runs(windows, keys, rules)
-    hard = ((F.col("kind") == SILENT) & (F.col("n") * rules.window >= rules.reset_len)).cast("int")
-    # Many run blocks per scan slice: runs are far fewer than windows.
-    numbered = scan(runs.withColumn(SLICE, floor_div(SLICE, 64)).withColumn("_hard", hard), keys, ["first_idx"],
-                    [Carry("_burst", "sum", F.col("_hard"))])
-    bursts = numbered.withColumn("_burst", F.col("_burst") - F.col("_hard")).select(
-        *keys, "_burst", "first_idx", "n", "kind")
-    # Bursts of nothing but silence yield nothing.
-    key_ddl = ", ".join(f"{k} {windows.schema[k].dataType.simpleString()}" for k in keys)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = Burst(floor=origin if pdf["_burst"].iloc[0] == 0 else -(1 << 62))
-        out: list = []
-        for first, n, kind in zip(pdf["first_idx"], pdf["n"], pdf["kind"]):
-            advance(b, rules, origin, int(first), int(n), int(kind), out)
-        close(b, rules, final, n_end, out)
-        got = pd.DataFrame(out, columns=["n_start", "n_end", "cut_reason"])
-        for k in keys:
-            got[k] = pdf[k].iloc[0]
-        return got[[*keys, "n_start", "n_end", "cut_reason"]]
-
-    return map_groups(bursts, [*keys, "_burst"], "first_idx", fold,
-                      f"{key_ddl}, n_start bigint, n_end bigint, cut_reason string")
-
-
 # ------------------------------------------------------------- raw segments under chunks
 
 

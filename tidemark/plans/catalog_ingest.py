@@ -9,6 +9,7 @@ from ..functions import times as T
 from ..functions.speech import Rules
 from ..operators import audio as A
 from ..operators import clock as K
+from ..operators.chunking import speech_chunks
 
 from ..operators import reports as R
 from ..operators.sliced import Carry, drop_slice, scan, with_slice
@@ -17,6 +18,7 @@ from ..session import materialise
 from ..sources import sidecars as SC
 from . import views as V
 from .check_views import _PATH, iso
+from .chunk_check import chunk_sql
 from .registry import query
 
 BASE, AS_OF = V.BASE_MS, V.AS_OF_MS
@@ -216,9 +218,13 @@ def _vad_stream(spark, d):
     prob = (F.when(F.col("event_type").isin("view", "click"), 0.9).when(F.col("event_type") == "signup", 0.42).otherwise(0.1))
     return placed.select("stream", prob.alias("prob"), F.explode(F.sequence(F.col("_to") - F.col("n"), F.col("_to") - 1)).alias("idx"))
 
-@query("chunker")
+_VAD = """SELECT stream, unnest(range(hi - n, hi)) AS idx, prob FROM (SELECT device_id AS stream, CAST(floor(value) + 1 AS BIGINT) AS n,
+  CAST(sum(floor(value) + 1) OVER (PARTITION BY device_id ORDER BY start_utc_ms, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hi,
+  CASE WHEN event_type IN ('view', 'click') THEN 0.9 WHEN event_type = 'signup' THEN 0.42 ELSE 0.1 END AS prob FROM v_events)"""
+
+@query("chunker", chunk_sql(_VAD, Rules()))
 def chunker(spark, d):
-    return A.speech_chunks(_vad_stream(spark, d), ["stream"])
+    return speech_chunks(_vad_stream(spark, d), ["stream"])
 
 @query("activity_runs", """
 WITH w AS (SELECT device_id AS stream, CAST(sum(floor(value) + 1) OVER (PARTITION BY device_id ORDER BY start_utc_ms, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hi,
@@ -240,7 +246,17 @@ def _pcm(spark, d):
                          F.substring("data", 1, 2_000_000_000).alias("data")).withColumn(
         "pcm", F.expr("substring(data, 1, cast(2 * n as int))")).drop("data")
 
-@query("energy_vad")
+_NIBBLE = "(instr('0123456789ABCDEF', substr(p, {}, 1)) - 1)"
+_ENERGY = f"""SELECT stream, idx, CASE WHEN e > pow(10, -0.45) * 512 * pow(2.0, 30) THEN 0.95 ELSE 0.02 END AS prob FROM (
+  SELECT stream, (before + i) // 512 AS idx, sum(x * x) AS e FROM (
+    SELECT stream, before, i, CASE WHEN x > 32767 THEN x - 65536 ELSE x END AS x FROM (
+      SELECT stream, before, unnest(range(len(pairs))) AS i, unnest(list_transform(pairs, lambda p:
+             16 * {_NIBBLE.format(1)} + {_NIBBLE.format(2)} + 4096 * {_NIBBLE.format(3)} + 256 * {_NIBBLE.format(4)})) AS x FROM (
+        SELECT doc_id % 20 AS stream, regexp_extract_all(hex(encode(text)), '....') AS pairs,
+          CAST(coalesce(sum(octet_length(encode(text)) // 2) OVER (PARTITION BY doc_id % 20 ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+        FROM documents))) GROUP BY ALL)"""
+
+@query("energy_vad", _ENERGY)
 def energy_vad(spark, d):
     return A.vad_windows(_pcm(spark, d), ["stream"], lambda w: A.energy_probability(w, -4.5))
 
@@ -249,10 +265,11 @@ SELECT doc_id % 20 AS stream, CAST(ceil(sum(octet_length(encode(text)) // 2) / 5
 def energy_vad_counts(spark, d):
     return energy_vad(spark, d).groupBy("stream").agg(F.count("*").alias("n_windows"))
 
-@query("vad_to_chunks")
+_SHORT = Rules(window=512, min_silence=2048, pad=512, min_speech=512, max_len=16_384, min_pause=512)
+
+@query("vad_to_chunks", chunk_sql(_ENERGY, _SHORT))
 def vad_to_chunks(spark, d):
-    rules = Rules(window=512, min_silence=2048, pad=512, min_speech=512, max_len=16_384, min_pause=512)
-    return A.speech_chunks(energy_vad(spark, d), ["stream"], rules)
+    return speech_chunks(energy_vad(spark, d), ["stream"], _SHORT)
 
 @query("rms_level", """
 SELECT vec_id, round(CASE WHEN m > 0 THEN 20 * log10(sqrt(m)) ELSE -120 END, 5) AS dbfs FROM (
