@@ -23,9 +23,9 @@ from .storage import as_text, file_system, fresh_path, stored
 from .text import LOWER, mix, rows_of, word_spans
 
 #: Words of a shard: what a task holds at a time. A longer piece makes a larger shard of its own.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 #: Words of the corpus per bucket of phrases.
-BUCKET_WORDS = 4_000_000
+BUCKET_WORDS = 2_000_000
 MAX_IDS = 1 << 31
 
 BREAK, BLANK = np.zeros(256, bool), np.zeros(256, bool)
