@@ -15,7 +15,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.speech import SILENT, SPEECH, Chunk, Open, Rules, Tape, chunks_of
+from ..functions.speech import FAR, SILENT, Chunk, Open, Rules, Tape, chunks_of
 from ..functions.times import floor_div
 from ..session import materialise
 from .audio import activity_runs
@@ -33,39 +33,62 @@ NOTHING = Open(-1, -1, -1)
 
 
 def speech_chunks(windows: DataFrame, keys: Sequence[str], rules: Rules | None = None, final: str = "shutdown",
-                  origin: int = 0, n_end: int | None = None) -> DataFrame:
+                  n_end: int | None = None) -> DataFrame:
     """(keys, n_start, n_end, cut_reason): speech chunks of dense window streams (keys, idx, prob).
 
-    The run table is stored, as it is read several times where a burst is long.
+    The audio of a key begins with its first window and ends with its last, for the reason `final`, or at `n_end`.
     """
-    rules, keys = rules or Rules(), list(keys)
-    if 2 * rules.pad > rules.min_silence:
-        raise ValueError("padding on both sides must fit into the silence between two chunks")
+    rules = rules or Rules()
+    tails = windows.select(*keys).distinct().select(*keys, F.lit(final).alias("final"), F.lit(n_end).cast("bigint").alias("n_stop"))
+    return chunks_of_bursts(bursts_of(windows, keys, rules, tails if final != "shutdown" or n_end is not None else None), keys, rules)
+
+
+def bursts_of(windows: DataFrame, keys: Sequence[str], rules: Rules, tails: DataFrame | None = None) -> DataFrame:
+    """(keys, _burst, lo, hi, kind, final, n_stop): runs of equal class in samples, numbered by burst, from 0 in each key.
+
+    `tails` (keys, final, n_stop) says why and where a key's audio ends. The table is stored, as it is read several times.
+    """
+    keys = list(keys)
     runs = activity_runs(windows, keys, rules)
     hard = ((F.col("kind") == SILENT) & (F.col("n") * rules.window >= rules.reset_len)).cast("int")
     # Many run blocks per scan slice: runs are far fewer than windows.
     numbered = scan(runs.withColumn(SLICE, floor_div(SLICE, 64)).withColumn("_hard", hard), keys, ["first_idx"], [Carry("_burst", "sum", F.col("_hard"))])
-    lo = F.lit(origin) + F.col("first_idx") * rules.window
-    bursts = materialise(numbered.withColumn("_burst", F.col("_burst") - F.col("_hard")).select(
-        *keys, "_burst", lo.alias("lo"), (lo + F.col("n") * rules.window).alias("hi"), "kind"))
-    ident, ddl = [*keys, "_burst"], ", ".join(f"{k} {windows.schema[k].dataType.simpleString()}" for k in keys)
+    lo = F.col("first_idx") * rules.window
+    rows = numbered.select(*keys, (F.col("_burst") - F.col("_hard")).alias("_burst"), lo.alias("lo"), (lo + F.col("n") * rules.window).alias("hi"), "kind")
+    if tails is not None:
+        return materialise(rows.join(tails, keys))
+    return materialise(rows.select("*", F.lit("shutdown").alias("final"), F.lit(None).cast("bigint").alias("n_stop")))
+
+
+def chunks_of_bursts(bursts: DataFrame, keys: Sequence[str], rules: Rules) -> DataFrame:
+    """(keys, n_start, n_end, cut_reason) of whole bursts of `bursts_of`."""
+    if 2 * rules.pad > rules.min_silence:
+        raise ValueError("padding on both sides must fit into the silence between two chunks")
+    keys = list(keys)
+    ident, ddl = [*keys, "_burst"], ", ".join(f"{k} {bursts.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"{ddl}, n_start bigint, n_end bigint, cut_reason string"
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        tape = Tape(pdf["lo"], pdf["hi"], pdf["kind"], rules, origin)
-        out, o, _, _ = chunks_of(tape, None, -(1 << 61), origin)
-        return _frame(pdf, keys, _closed(tape, out, o, final, n_end), OUT)
+        tape = Tape(pdf["lo"], pdf["hi"], pdf["kind"], rules)
+        out, o, _, _ = chunks_of(tape, None, -FAR, _floor(pdf))
+        return _frame(pdf, keys, _closed(tape, out, o, pdf), OUT)
 
     length = (F.max("hi") - F.min("lo")) / rules.window
     long = bursts.groupBy(ident).agg(length.alias("_n")).where(F.col("_n") > LONG_WINDOWS).drop("_n")
     if long.isEmpty():
         return map_groups(bursts, ident, "lo", whole, schema)
     short = map_groups(bursts.join(long, ident, "left_anti"), ident, "lo", whole, schema)
-    return short.unionByName(_by_blocks(bursts.join(long, ident, "left_semi"), keys, ident, ddl, rules, final, origin, n_end))
+    return short.unionByName(_by_blocks(bursts.join(long, ident, "left_semi"), keys, ident, ddl, rules))
+
+
+def _floor(pdf: pd.DataFrame) -> int:
+    """Padding reaches back to the first window of a key's audio, and into the silence before any later burst."""
+    return int(pdf["lo"].iloc[0]) if pdf["_burst"].iloc[0] == 0 else -FAR
 
 
-def _closed(tape: Tape, out: list[Chunk], o: Open | None, final: str, n_end: int | None) -> list[tuple]:
-    rest = tape.last(o, final, n_end) if o is not None else None
+def _closed(tape: Tape, out: list[Chunk], o: Open | None, pdf: pd.DataFrame) -> list[tuple]:
+    stop = pdf["n_stop"].iloc[0]
+    rest = tape.last(o, pdf["final"].iloc[0], None if pd.isna(stop) else int(stop)) if o is not None else None
     return [(c.n_start, c.n_end, c.cut_reason) for c in [*out, *([rest] if rest else [])]]
 
 
@@ -82,9 +105,10 @@ def _frame(pdf: pd.DataFrame, ident: list[str], rows: list[tuple], columns: list
 class _Block:
     """The runs around [lo, hi) and the ways through it."""
 
-    def __init__(self, pdf: pd.DataFrame, lo: int, hi: int, reach: int, rules: Rules, origin: int):
-        self.lo, self.hi, self.reach, self.rules, self.origin = lo, hi, reach, rules, origin
-        self.tape = Tape(pdf["lo"], pdf["hi"], pdf["kind"], rules, origin, led=True)
+    def __init__(self, pdf: pd.DataFrame, lo: int, hi: int, reach: int, rules: Rules):
+        self.lo, self.hi, self.reach, self.rules, self.runs = lo, hi, reach, rules, pdf
+        self.floor = _floor(pdf) if len(pdf) else -FAR
+        self.tape = Tape(pdf["lo"], pdf["hi"], pdf["kind"], rules, led=True)
         self.exits: dict[Open, Open | None] = {}
 
     def usual(self, o: Open) -> Open:
@@ -100,15 +124,15 @@ class _Block:
     def foreseen(self) -> list[Open]:
         """Chunks that may be the first to start in this block: an opening or the middle of a pause near its head."""
         r, t = self.rules, self.tape
-        heads = [Open(max(int(a) - r.pad, self.origin), int(a), int(a) + r.window) for a in t.speech_from]
-        closed = t.back < (1 << 61)
+        heads = [Open(max(int(a) - r.pad, self.floor), int(a), int(a) + r.window) for a in t.speech_from]
+        closed = t.back < FAR
         size = (t.back - t.quiet)[closed]
         cuts = [Open(int(m), -1, int(b) + r.window) for m, b, n in zip((t.quiet[closed] + size // 2), t.back[closed], size) if n >= r.min_pause]
         return [o for o in heads + cuts if self.lo <= o.start < min(self.hi, self.lo + self.reach)]
 
     def opened(self, now: int) -> Open | None:
         """What is open next: NOTHING if no speech is in sight, None if the burst ends before."""
-        o = self.tape.opening(now, self.origin)
+        o = self.tape.opening(now, self.floor)
         return self.usual(o) if o is not None else NOTHING if self.tape.end >= self.hi + self.reach else None
 
     def follow(self, o: Open | None) -> Open | None:
@@ -131,38 +155,38 @@ class _Block:
         chunk, now, then = got
         return chunk, self.usual(then) if then is not None else self.opened(now), False
 
-    def chunks(self, o: Open | None, final: str, n_end: int | None) -> list[tuple]:
+    def chunks(self, o: Open | None) -> list[tuple]:
         out = []
         while self._inside(o):
             chunk, then, ended = self._next(o)
             if ended:
-                return _closed(self.tape, out, o, final, n_end)
+                return _closed(self.tape, out, o, self.runs)
             out += [chunk] if chunk else []
             o = then
-        return _closed(self.tape, out, None, final, n_end)
+        return [(c.n_start, c.n_end, c.cut_reason) for c in out]
 
 
-def _by_blocks(runs: DataFrame, keys: list[str], ident: list[str], ddl: str, rules: Rules, final: str, origin: int, n_end: int | None) -> DataFrame:
+def _by_blocks(runs: DataFrame, keys: list[str], ident: list[str], ddl: str, rules: Rules) -> DataFrame:
     reach = rules.max_len + rules.reset_len + 4 * rules.window  # a decision looks no farther
     size = max(BLOCK_WINDOWS, -(-2 * reach // rules.window)) * rules.window
-    block = F.explode(F.sequence(floor_div(F.col("lo") - origin - reach, size), floor_div(F.col("hi") - origin - 1 + reach, size)))
+    block = F.explode(F.sequence(floor_div(F.col("lo") - reach, size), floor_div(F.col("hi") - 1 + reach, size)))
     # Blocks before the first and behind the last window are empty of starts; they come out without rows.
-    dealt = materialise(runs.select(*ident, "lo", "hi", "kind", block.alias("block")))
-    head = materialise(runs.groupBy(ident).agg(floor_div(F.min("lo") - origin, size).alias("block")))
+    dealt = materialise(runs.select(*ident, "lo", "hi", "kind", "final", "n_stop", block.alias("block")))
+    head = materialise(runs.groupBy(ident).agg(floor_div(F.min("lo"), size).alias("block")))
     node, keyed = [*ident, "block", *ENTRY], f"{ddl}, _burst bigint, block bigint"
     entry_ddl = "start bigint, speech bigint, now bigint"
 
     def asked(entries: DataFrame) -> DataFrame:
         """Blocks with the entries asked of them, as rows of no kind before the runs."""
         rows = dealt.join(entries.select(*ident, "block").distinct(), [*ident, "block"], "left_semi").select(
-            *ident, "block", "lo", "hi", "kind", *[F.lit(None).cast("bigint").alias(c) for c in ENTRY])
+            *ident, "block", "lo", "hi", "kind", "final", "n_stop", *[F.lit(None).cast("bigint").alias(c) for c in ENTRY])
         return rows.unionByName(entries.select(*ident, "block", F.lit(-(1 << 62)).alias("lo"), F.lit(0).cast("bigint").alias("hi"),
-                                               F.lit(-1).alias("kind"), *ENTRY))
+                                               F.lit(-1).alias("kind"), F.lit("").alias("final"), F.lit(None).cast("bigint").alias("n_stop"), *ENTRY))
 
     def entered(pdf: pd.DataFrame) -> tuple[_Block, list[Open]]:
         b = int(pdf["block"].iloc[0])
         is_run = pdf["kind"] >= 0
-        made = _Block(pdf[is_run], origin + b * size, origin + (b + 1) * size, reach, rules, origin)
+        made = _Block(pdf[is_run], b * size, (b + 1) * size, reach, rules)
         return made, [Open(*(int(x) for x in r)) for r in pdf.loc[~is_run, ENTRY].itertuples(index=False)]
 
     def links(foresee: bool):
@@ -171,7 +195,7 @@ def _by_blocks(runs: DataFrame, keys: list[str], ident: list[str], ddl: str, rul
             here, rows = int(pdf["block"].iloc[0]), []
             for e in dict.fromkeys(wanted + (way.foreseen() if foresee else [])):
                 end = way.follow(way.opened(way.lo) if e == NOTHING else e)
-                at = None if end is None else here + 1 if end == NOTHING else (end.start - origin) // size
+                at = None if end is None else here + 1 if end == NOTHING else end.start // size
                 rows.append((e.start, e.speech, e.now, at, *((end.start, end.speech, end.now) if end is not None else (None, None, None))))
             got = pd.DataFrame(rows, columns=[*ENTRY, "to_block", *(f"to_{c}" for c in ENTRY)])
             for k in [*ident, "block"]:
@@ -210,7 +234,7 @@ def _by_blocks(runs: DataFrame, keys: list[str], ident: list[str], ddl: str, rul
 
     def told(pdf: pd.DataFrame) -> pd.DataFrame:
         way, wanted = entered(pdf)
-        rows = [c for e in wanted for c in way.chunks(way.opened(way.lo) if e == NOTHING else e, final, n_end)]
+        rows = [c for e in wanted for c in way.chunks(way.opened(way.lo) if e == NOTHING else e)]
         return _frame(pdf, keys, rows, OUT)
 
     return map_groups(asked(reached), [*ident, "block"], "lo", told, f"{ddl}, n_start bigint, n_end bigint, cut_reason string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import checks as C
@@ -10,11 +12,13 @@ from ..functions.speech import Rules
 from ..operators import audio as A
 from ..operators import clock as K
 from ..operators.chunking import speech_chunks
+from ..operators.generations import Generations
+from ..operators.refill import CHUNKS, refilled, reprocess_range, segment_chunks
 
 from ..operators import reports as R
 from ..operators.sliced import Carry, drop_slice, scan, with_slice
 from ..operators.transcribe import energy_recogniser, transcribe
-from ..session import materialise
+from ..session import materialise, shared_dir
 from ..sources import sidecars as SC
 from . import views as V
 from .check_views import _PATH, iso
@@ -226,6 +230,65 @@ _VAD = """SELECT stream, unnest(range(hi - n, hi)) AS idx, prob FROM (SELECT dev
 def chunker(spark, d):
     return speech_chunks(_vad_stream(spark, d), ["stream"])
 
+_SEG = 64  # windows of a segment
+
+def _vad_segments(spark, d):
+    """Voice-activity segments of 64 windows; every seventh arrives late."""
+    w = _vad_stream(spark, d).withColumn("first_idx", T.floor_div("idx", _SEG) * _SEG)
+    probs = F.transform(F.sort_array(F.collect_list(F.struct("idx", "prob"))), lambda x: x["prob"])
+    segs = w.groupBy(F.col("stream").alias("device_id"), F.lit("r").alias("run_id"), F.lit(0).cast("bigint").alias("epoch"), "first_idx").agg(probs.alias("probs"))
+    return segs.withColumn("ends", F.lit(None).cast("string")).withColumn("n_end", F.lit(None).cast("bigint")), T.floor_div("first_idx", _SEG) % 7 == 3
+
+@query("late_fill", f"SELECT stream AS device_id, n_start, n_end, cut_reason FROM ({chunk_sql(_VAD, Rules())})")
+def late_fill(spark, d):
+    segs, late = _vad_segments(spark, d)
+    segs = materialise(segs)
+    early = materialise(segment_chunks(segs.where(~late)))
+    spans = segs.where(late).select(*A.EPOCH, (F.col("first_idx") * 512).alias("lo"), ((F.col("first_idx") + F.size("probs")) * 512).alias("hi"))
+    slices, rows = refilled(segs, early, spans)
+    return early.join(slices, A.EPOCH, "left_anti").unionByName(rows).select("device_id", "n_start", "n_end", "cut_reason")
+
+_REDO = ("u7", BASE + 5 * 86_400_000, BASE + 9 * 86_400_000)
+
+@query("reprocess_range", f"""
+WITH old AS (SELECT device_id, run_id, epoch, n_start, n_start + n_samples AS n_end FROM v_chunks WHERE kind = 'derived'),
+raw AS (SELECT *, n_start + n_samples AS n_end FROM v_raw),
+sel AS (SELECT device_id, run_id, epoch, min(n_start) AS a, max(n_end) AS b FROM raw WHERE device_id = '{_REDO[0]}' AND start_utc_ms >= {_REDO[1]} AND start_utc_ms < {_REDO[2]} GROUP BY ALL),
+wide AS (SELECT s.device_id, s.run_id, s.epoch, least(a, coalesce(min(o.n_start), a)) AS lo, greatest(b, coalesce(max(o.n_end), b)) AS hi
+  FROM sel s LEFT JOIN old o ON o.device_id = s.device_id AND o.run_id = s.run_id AND o.epoch = s.epoch AND o.n_start < b AND o.n_end > a GROUP BY s.device_id, s.run_id, s.epoch, a, b),
+mark AS (SELECT device_id, run_id, epoch, max(n_end) AS mark FROM raw GROUP BY ALL),
+ext AS (SELECT w.device_id, w.run_id, w.epoch, lo, CASE WHEN max(r.n_end) >= any_value(mark) THEN 1152921504606846976 ELSE hi END AS hi, max(r.n_end) >= any_value(mark) AS tail
+  FROM wide w JOIN mark m USING (device_id, run_id, epoch) JOIN raw r ON r.device_id = w.device_id AND r.run_id = w.run_id AND r.epoch = w.epoch AND r.n_start < hi AND r.n_end > lo
+  GROUP BY w.device_id, w.run_id, w.epoch, lo, hi),
+stay AS (SELECT o.* FROM old o LEFT JOIN ext e USING (device_id, run_id, epoch) WHERE lo IS NULL OR NOT (o.n_start < hi AND o.n_end > lo)),
+fill AS (SELECT r.device_id, r.run_id, r.epoch, CASE WHEN tail THEN greatest(r.n_start, lo) ELSE r.n_start END AS n_start, r.n_end FROM raw r JOIN ext e USING (device_id, run_id, epoch)
+  WHERE r.n_start < hi AND r.n_end > lo),
+spans AS (SELECT *, 1 AS r, 0 AS c FROM fill UNION ALL SELECT *, 0, 1 FROM stay SEMI JOIN ext USING (device_id, run_id, epoch)),
+steps AS (SELECT device_id, run_id, epoch, n_start AS p, r, c FROM spans WHERE n_end > n_start UNION ALL SELECT device_id, run_id, epoch, n_end, -r, -c FROM spans WHERE n_end > n_start),
+points AS (SELECT device_id, run_id, epoch, p, sum(r) AS r, sum(c) AS c FROM steps GROUP BY ALL),
+level AS (SELECT *, sum(r) OVER w > 0 AND sum(c) OVER w = 0 AS free, lead(p) OVER (PARTITION BY device_id, run_id, epoch ORDER BY p) AS q FROM points
+  WINDOW w AS (PARTITION BY device_id, run_id, epoch ORDER BY p)),
+flips AS (SELECT *, CASE WHEN free AND coalesce(lag(free) OVER (PARTITION BY device_id, run_id, epoch ORDER BY p), FALSE) THEN 0 ELSE 1 END AS f FROM level),
+islands AS (SELECT *, sum(f) OVER (PARTITION BY device_id, run_id, epoch ORDER BY p) AS g FROM flips),
+gaps AS (SELECT device_id, run_id, epoch, min(p) AS lo, max(q) AS hi FROM islands WHERE free GROUP BY device_id, run_id, epoch, g),
+cuts AS (SELECT DISTINCT device_id, run_id, epoch, n_start // 480000 * 480000 AS n_start FROM raw),
+fresh AS (SELECT c.device_id, c.run_id, c.epoch, greatest(c.n_start, lo) AS n_start, least(c.n_start + 480000, hi) AS n_end FROM cuts c JOIN gaps g USING (device_id, run_id, epoch)
+  WHERE c.n_start < hi AND c.n_start + 480000 > lo)
+SELECT 'before' AS state, device_id, epoch, n_start, n_end, 'silence' AS cut_reason, 1 AS generation FROM old
+UNION ALL SELECT 'after', device_id, epoch, n_start, n_end, 'silence', CASE WHEN lo IS NULL THEN 1 ELSE 2 END FROM stay LEFT JOIN ext USING (device_id, run_id, epoch)
+UNION ALL SELECT 'after', device_id, epoch, n_start, n_end, 'cap', 2 FROM fresh""")
+def reprocess_range_query(spark, d):
+    end = F.col("n_start") + F.col("n_samples")
+    raw, table = V.raw_segments(spark, d), Generations(f"{shared_dir(spark)}/reprocess-{uuid.uuid4().hex}", CHUNKS)
+    derived = V.chunks(spark, d).where("kind = 'derived'").select(*A.EPOCH, "n_start", end.alias("n_end"), F.lit("silence").alias("cut_reason"))
+    table.swap(derived, derived, 1)
+    before = table.read(spark)
+    cuts = raw.select(*A.EPOCH, (T.floor_div("n_start", 480_000) * 480_000).alias("n_start")).distinct().withColumn("n_end", F.col("n_start") + 480_000)
+    progress = raw.groupBy(*A.EPOCH).agg(F.max(end).alias("segmented_to_n"))
+    reprocess_range(table, raw, cuts.withColumn("cut_reason", F.lit("cap")), progress, *_REDO)
+    both = before.withColumn("state", F.lit("before")).unionByName(table.read(spark).withColumn("state", F.lit("after")))
+    return both.select("state", "device_id", "epoch", "n_start", "n_end", "cut_reason", "generation")
+
 @query("activity_runs", """
 WITH w AS (SELECT device_id AS stream, CAST(sum(floor(value) + 1) OVER (PARTITION BY device_id ORDER BY start_utc_ms, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hi,
     CAST(floor(value) + 1 AS BIGINT) AS n, CASE WHEN event_type IN ('view', 'click') THEN 2 WHEN event_type = 'signup' THEN 1 ELSE 0 END AS kind FROM v_events),
