@@ -156,6 +156,28 @@ def test_warc(spark):
     assert warc.archive_round_trip(spark, pages.where("false")).count() == 0
 
 
+def test_archives_on_disk_are_members_in_a_row(spark, tmp_path, monkeypatch):
+    import io
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 4000)
+    rows = [(i, f"http://{i}", "".join(random.Random(i).choices("abcdefgh", k=1500))) for i in range(30)] * 2 + [(99, None, "same " * 400)] * 3
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    manifest = warc.write_archives(warc.mark_revisits(pages), f"file://{tmp_path}/w")
+    files = manifest.collect()
+    back = warc.read_archives(manifest, f"file://{tmp_path}/w")
+    assert len(files) > 5 and back.rdd.getNumPartitions() == len(files) and sum(f["records"] for f in files) == len(rows)
+    found = {(r["archive"], r["archive_offset"]): r for r in back.collect()}
+    assert len(found) == len(rows)
+    for f in files:
+        raw = open(f["archive"], "rb").read()
+        assert len(raw) == f["bytes"] and len(list(warc.read_records(io.BytesIO(raw)))) == f["records"]
+        for (name, at), r in found.items():
+            if f["archive"].endswith(name):  # a member begins at each offset and holds one record
+                member = zlib.decompressobj(31)
+                head = member.decompress(raw[at:])
+                assert head.startswith(b"WARC/1.") and member.eof and head.count(b"WARC/1.") == 1
+    assert {(r["page_id"], r["record_type"]) for r in found.values()} == {(i, "response") for i in [*range(30), 99]}
+
+
 def test_warc_reader_refuses_damage():
     import io
     good = warc.record(1, "http://a", b"x" * 2000, None, False) + warc.record(2, "http://b", b"y", None, False)

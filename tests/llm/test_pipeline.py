@@ -59,3 +59,22 @@ def test_near_copies_keeps_one_of_repeated_rows(spark, tmp_path):
     got = Counter(map(tuple, corpus_pipeline.near_copies(spark, docs, "").collect()))
     assert got == Counter([(1, " "), (1, None), (2, " "), (None, ""), (None, ""), (3, "a b c"), (None, "q"), (4, "a b d")])
     assert corpus_pipeline.near_copies(spark, docs.where("false"), "").count() == 0
+
+
+def test_stages_take_empty_tables_and_clashing_names(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "benchmark words of an item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, "plain words in a row", None, 7, "m", 1), (None, None, None, 7, "m", 1), (3, "", 4, 7, "m", 1), (3, "w " * 50_000, 4, 7, "m", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_key long, row int, mark string, predicted int")
+    docs.repartition(2).write.parquet(f"{tmp_path}/docs.parquet")
+    read = spark.read.parquet(f"{tmp_path}/docs.parquet")
+    for given in (docs, read):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, given, str(tmp_path))
+            assert out.columns == docs.columns and out.schema == given.schema, name
+            if name in ("near_copies", "decontamination"):
+                assert Counter(map(tuple, out.collect())) == Counter(rows), name
+            assert stage(spark, given.where("false"), str(tmp_path)).count() == 0, name
+        assert corpus_pipeline.tokens(spark, given, str(tmp_path)).count() == 4
+    numbered, name = corpus_pipeline._numbered(read)
+    assert name == "row_" and numbered.select(name).distinct().count() == 4

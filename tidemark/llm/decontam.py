@@ -89,7 +89,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     found = placed.join(probes, "word").where(first <= last)
     found = found.groupBy(F.col("id").alias("its_id"), F.col("mark").alias("its_mark")).agg(
         F.collect_set(F.struct("d", "n", "item", "at", "lo", "hi", "size", "near")).alias("probes"))
-    texts = base.distinct().join(found, F.col("id").eqNullSafe(F.col("its_id")) & (F.col("mark") == F.col("its_mark")))
+    met = base.join(found, F.col("id").eqNullSafe(F.col("its_id")) & (F.col("mark") == F.col("its_mark")))
+    texts = met.dropDuplicates(["id", "mark"])  # of rows that may be hit only
     # the explode keeps the words in a column: they are made once for each row
     tried = texts.select("id", "mark", words(F.col("text")).alias("words"), "probes").select("id", "mark", "words", F.explode("probes").alias("probe"))
     found = tried.select("id", "mark", "words", "probe.*").select("id", "mark", "item", "size", _occurrences().alias("places")).where(F.size("places") > 0)

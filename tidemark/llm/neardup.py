@@ -34,7 +34,7 @@ WORDS = 5
 HALF_KEYS, HALF_WIDTH, BITMAP_WORDS, BLOCK = 10, 2, 32, 512
 #: Rounds of few pairs a class before the full search, centres of a table and of a class in a round,
 #: and rows of three numbers that may be broadcast.
-TURNS, CENTRES, BROADCAST_ROWS = 2, 4, 1_000_000
+TURNS, CENTRES, BROADCAST_ROWS = 2, 4, 100_000
 #: Similarity as a fraction of integers: link where DEN * common >= NUM * union.
 NUM, DEN = 75, 100
 

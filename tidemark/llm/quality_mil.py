@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .sampling import labelled
 from .storage import as_text
@@ -154,17 +155,21 @@ def train(docs: DataFrame, labels: DataFrame, rows: Column, label: str = "qualit
     return fit(np.repeat(np.arange(len(xs)), [len(v) for v in xs]), np.concatenate(xs).astype(np.float64), y)
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """key, score (0 to 1, higher: better), predicted (1 from THRESHOLD up) for each row.
 
     Null and empty texts get the score of an empty bag; repeated rows get equal scores; other columns are
-    ignored; no shuffle."""
+    ignored; no shuffle. With `whole`, `row` holds all columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rate(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in rows_of(it, "text"):
             s = shared.value.scores(*passages(data, offsets), part.num_rows)
-            yield pa.record_batch([part.column("id"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["id", "score", "predicted"])
-
-    source = docs.select(F.col(key).cast("long").alias("id"), as_text(docs, text).alias("text"))
-    return source.mapInArrow(rate, "id long, score double, predicted int").withColumnRenamed("id", key)
+            yield pa.record_batch([part.column("id"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32)), *([part.column("row")] if whole else [])],
+                                  ["id", "score", "predicted", *(["row"] if whole else [])])
+
+    source = docs.select(F.col(key).cast("long").alias("id"), as_text(docs, text).alias("text"), *([F.struct(*docs.columns).alias("row")] if whole else []))
+    out = StructType.fromDDL("id long, score double, predicted int")
+    if whole:
+        out = out.add("row", source.schema["row"].dataType)
+    return source.mapInArrow(rate, out).withColumnRenamed("id", key)

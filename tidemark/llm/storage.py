@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_FOLDER: ContextVar[str | None] = ContextVar("scratch folder", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder. A local session without one (tests) gets a folder under /tmp;
     any other session must name it."""
@@ -24,7 +30,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder; concurrent and repeated runs never meet."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{(_FOLDER.get() or shared_dir(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Paths made inside lie in a folder that goes when this ends. What is to stay is computed and stored before."""
+    folder = fresh_path(spark, "scratch")
+    token = _FOLDER.set(folder)
+    try:
+        yield
+    finally:
+        _FOLDER.reset(token)
+        fs, path = file_system(folder)
+        if fs.get_file_info(path).type.name == "Directory":
+            fs.delete_dir(path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

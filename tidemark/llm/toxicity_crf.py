@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .sampling import labelled
 from .storage import as_text, stored
@@ -239,12 +240,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: Column, label: str = "toxic"
     return fit(np.concatenate(fs), np.repeat(np.arange(len(fs)), [len(v) for v in fs]), y)
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """key, score (0 to 1), predicted (1 from THRESHOLD up) and spans for each row.
 
     spans: start and end, in characters of the text, and score of each run of words with marginals of
     SPAN_FROM or more. Null and empty texts have no span and the score of a text without toxic words;
-    repeated rows get equal scores; other columns are ignored; no shuffle."""
+    repeated rows get equal scores; other columns are ignored; no shuffle. With `whole`, `row` holds all columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
 
@@ -263,8 +264,11 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                     r = int(row[run[0]])
                     base = char[offsets[r]]
                     spans[r].append({"start": int(char[start[run[0]]] - base), "end": int(char[end[run[-1]]] - base), "score": float(p[run].max())})
-            yield pa.record_batch([part.column("id"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32)), pa.array(spans, pa.list_(span))],
-                                  ["id", "score", "predicted", "spans"])
-
-    source = docs.select(F.col(key).cast("long").alias("id"), as_text(docs, text).alias("text"))
-    return source.mapInArrow(rate, "id long, score double, predicted int, spans array<struct<start:int,end:int,score:double>>").withColumnRenamed("id", key)
+            yield pa.record_batch([part.column("id"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32)), pa.array(spans, pa.list_(span)), *([part.column("row")] if whole else [])],
+                                  ["id", "score", "predicted", "spans", *(["row"] if whole else [])])
+
+    source = docs.select(F.col(key).cast("long").alias("id"), as_text(docs, text).alias("text"), *([F.struct(*docs.columns).alias("row")] if whole else []))
+    out = StructType.fromDDL("id long, score double, predicted int, spans array<struct<start:int,end:int,score:double>>")
+    if whole:
+        out = out.add("row", source.schema["row"].dataType)
+    return source.mapInArrow(rate, out).withColumnRenamed("id", key)

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .storage import file_system, fresh_path
 
 ARCHIVE_BYTES = 256 << 20
+#: Archives are read by at most so many tasks.
+MOST_TASKS = 200_000
 READ_BYTES = 1 << 16
 #: Payloads below this size are never written as revisits.
 REVISIT_BYTES = 1000
@@ -186,7 +188,7 @@ def write_archives(marked: DataFrame, path: str) -> DataFrame:
                 r = batch.slice(i, 1).to_pylist()[0]
                 if sink is None:
                     name, n = f"{top}/{uuid.uuid4().hex}.warc.gz", 0
-                    sink = fs.open_output_stream(name)
+                    sink = fs.open_output_stream(name, compression=None)  # the records are members already
                 sink.write(record(r["page_id"], r["url"], r["html"].encode(), r["refers_to"], r["revisit"]))
                 n += 1
                 if sink.tell() >= ARCHIVE_BYTES:
@@ -208,7 +210,7 @@ def read_archives(manifest: DataFrame, path: str) -> DataFrame:
         names = [f.split()[0] for f in RECORD.split(", ")]
         for batch in it:
             for name in batch.column("archive").to_pylist():
-                with fs.open_input_stream(name) as source:
+                with fs.open_input_stream(name, compression=None) as source:
                     rows: list[tuple] = []
                     for row in read_records(source, name.rsplit("/", 1)[-1]):
                         rows.append(row)
@@ -218,7 +220,8 @@ def read_archives(manifest: DataFrame, path: str) -> DataFrame:
                     if rows:
                         yield _rows(rows, names)
 
-    return manifest.repartition("archive").mapInArrow(read, RECORD)
+    # A task an archive: without a number small partitions would be merged into one.
+    return manifest.repartition(max(1, min(manifest.count(), MOST_TASKS)), "archive").mapInArrow(read, RECORD)
 
 
 def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
