@@ -2,68 +2,92 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns rows with
 the columns of documents; the last returns its digests. `run` writes each stage as Parquet in the shared
-folder and reads it for the next. A row's number is written once, before the first stage; a stage called
-alone numbers its own input. A verdict holds for its row, whatever its id.
+folder, reads it for the next and removes what lies before. Verdicts hold for rows, whatever their ids: scores are
+given with the row, contamination by the text, and near copies by a number of the row.
+
+For every stage: a null or empty text is a text without words; a null, shared or repeated id is no key; repeated
+rows fare alike but in near_copies, which keeps one; a text of any length is judged whole; an empty table gives an
+empty one; a column of any other name is kept, whatever it is called.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe_chunks, decontam, neardup, quality_mil, toxicity_crf
 from tidemark.llm.queries import TOKENIZER, table
 from tidemark.llm.sampling import fold
-from tidemark.llm.storage import fresh_path, stored
-
-
-#: Rows are known by a number of their own, as ids may be null, shared or repeated.
-ROW = "row_key"
+from tidemark.llm.storage import file_system, fresh_path, scratch, stored
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """`docs` with the column ROW, stored: numbers that are given anew each time they are read would not do."""
-    return docs if ROW in docs.columns else stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+def _free(name: str, docs: DataFrame) -> str:
+    """A column name that `docs` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
-def _without(rows: DataFrame, bad: DataFrame, docs: DataFrame) -> DataFrame:
-    """`rows` without those of `bad` (ROW), with the columns of `docs`."""
-    return rows.join(bad.select(ROW), ROW, "left_anti").select(docs.columns)
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` with a number for each row, and its column's name. A row that is read from a file has its place there, the
+    same however often it is read; only rows from elsewhere are written once to be numbered."""
+    row, file, place = (_free(c, docs) for c in ("row", "file", "place"))
+    try:
+        files = [] if "_metadata" in docs.columns else docs.inputFiles()
+        known = docs.sparkSession.createDataFrame([(f, k) for k, f in enumerate(sorted(files))], f"{file} string, {row} long")
+        placed = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place)).join(known, file)
+        rows = placed.withColumn(row, F.shiftleft(row, 40) + F.col(place)).select(*docs.columns, row)
+        if files and rows.count() == docs.count():
+            return rows, row
+    except AnalysisException:  # not rows of a file
+        pass
+    return stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go; the field learns from the labelled rows of its own input."""
-    rows = _keyed(docs)
-    model = toxicity_crf.train(rows, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
-    return _without(rows, toxicity_crf.score(rows, model, key=ROW).where("predicted <> 0"), docs)
+    with scratch(spark):
+        model = toxicity_crf.train(docs, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
+    return toxicity_crf.score(docs, model, whole=True).where("predicted = 0").select("row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents not predicted good go."""
-    rows = _keyed(docs)
-    model = quality_mil.train(rows, table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
-    return _without(rows, quality_mil.score(rows, model, key=ROW).where("predicted <> 1"), docs)
+    model = quality_mil.train(docs, table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
+    return quality_mil.score(docs, model, whole=True).where("predicted = 1").select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies stays: the one with the least id, those without id
     last, and the first of repeated rows. Texts without words are copies of nothing but rows that repeat id and text."""
-    rows = _keyed(docs)
-    verdicts = neardup.near_duplicates(rows, key=ROW)
-    blank = F.when(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col("text"))
-    known = verdicts.join(rows.select(ROW, "doc_id", blank.alias("blank")), ROW)
-    wordless, order = F.col("n_shingles") == 0, F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", ROW)
-    first = known.groupBy(
-        F.when(~wordless | F.col("doc_id").isNull(), F.col("component_id")).alias("component"),
-        F.when(wordless, F.col("doc_id")).alias("its_id"), F.when(wordless, F.col("blank")).alias("its_text")).agg(F.min(order).alias("first"))
-    return rows.join(first.select(F.col("first")[ROW].alias(ROW)), ROW, "left_semi").select(docs.columns)
+    rows, row = _numbered(docs)
+    first = fresh_path(spark, "first")
+    with scratch(spark):
+        verdicts = neardup.near_duplicates(rows.select(F.col(row).alias("row"), "text"), key="row")
+        blank = F.when(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col("text"))
+        known = verdicts.join(rows.select(F.col(row).alias("row"), "doc_id", blank.alias("blank")), "row")
+        wordless, order = F.col("n_shingles") == 0, F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+        known.groupBy(
+            F.when(~wordless | F.col("doc_id").isNull(), F.col("component_id")).alias("component"),
+            F.when(wordless, F.col("doc_id")).alias("its_id"), F.when(wordless, F.col("blank")).alias("its_text")).agg(F.min(order).alias("first")).select(
+            F.col("first.row").alias(row)).write.parquet(first)
+    return rows.join(spark.read.parquet(first), row, "left_semi").select(docs.columns)
+
+
+def _text_key() -> Column:
+    return F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated by the benchmark go."""
-    rows = _keyed(docs)
-    return _without(rows, decontam.contamination(rows, table(spark, sf_dir, "benchmark"), key=ROW).where("contaminated"), docs)
+    mark, bad = _free("mark", docs), fresh_path(spark, "contaminated")
+    with scratch(spark):
+        judged = decontam.contamination(docs.select(_text_key().alias("key"), "text"), table(spark, sf_dir, "benchmark"), key="key")
+        judged.where("contaminated").select(F.col("key").alias(mark)).distinct().write.parquet(bad)
+    return docs.withColumn(mark, _text_key()).join(spark.read.parquet(bad), mark, "left_anti").select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,9 +102,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _keyed(table(spark, sf_dir, "documents"))
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = fresh_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            fs, old = file_system(before)
+            fs.delete_dir(old)
+        before = path
     return docs
