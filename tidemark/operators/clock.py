@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.times import floor_div, ns_to_iso
-from .folds import map_groups, number_blocks, spread
+from .folds import map_groups, number_blocks
 from .intervals import as_of
 from .sliced import Carry, drop_slice, scan, with_slice
 
@@ -35,62 +36,26 @@ def block_timeline(blocks: DataFrame, rate: int = 16_000, late_ns: int = 200_000
     and the anchor (anchor_n, anchor_mono_ns) set after the block, if any.
 
     Sample positions are a sliced sum. An overflow opens an epoch whatever came before, so a run is
-    cut there into independent stretches; inside one the rule depends on the running anchor and
-    rows stream through sorted, in bounded memory. Epoch numbers and steps across stretches come
-    from one row per stretch.
+    cut there into independent stretches; a stretch is one group, walked from event to event (a
+    loss, a new reference, a step) and not block by block. Epoch numbers and steps across stretches
+    come from one row per stretch.
     """
     sliced = with_slice(blocks, "seq", BLOCK_SLICE)
     counted = drop_slice(scan(sliced, ["run_id"], ["seq"], [
         Carry("n_end", "sum", F.col("n_frames").cast("bigint")),
         Carry("_part", "sum", F.col("overflow").cast("bigint"))])).withColumn("n_start", F.col("n_end") - F.col("n_frames"))
     cols = ["run_id", "seq", "_part", "n_start", "n_end", "mono_ns", "real_ns", "adc_latency_ns"]
-    ordered = spread(counted.select(*cols), ["run_id", "_part"]).sortWithinPartitions("run_id", "_part", "seq")
     schema = ("run_id string, seq bigint, _part bigint, n_start bigint, n_end bigint, _epoch bigint, new_epoch boolean, "
               "epoch_start_n bigint, lateness_ns bigint, step_ns bigint, offset_ns bigint, anchor_n bigint, "
               "anchor_mono_ns bigint")
 
-    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = None
-        epoch = anchor_n = anchor_t = offset = late = since = 0
-        first_late = best = None
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                n, t, off = r.n_start, r.mono_ns - r.adc_latency_ns, r.real_ns - r.mono_ns
-                opened, lateness, step, at, moved = False, 0, 0, (n, t), None
-                if (r.run_id, r[2]) != key:
-                    # The head of a stretch is measured against the previous one's anchor below.
-                    key, opened, epoch, lateness = (r.run_id, r[2]), True, -1, t
-                else:
-                    lateness = t - (anchor_t + round((n - anchor_n) * NS / rate))
-                    if lateness > late_ns:
-                        late += 1
-                        first_late = first_late or (n, t)
-                        if late >= late_blocks:
-                            opened, at = True, first_late
-                    else:
-                        late, first_late = 0, None
-                    if abs(off - offset) > step_ns:
-                        step = off - offset
-                        offset = off
-                if opened:
-                    epoch, offset, late, first_late, best = epoch + 1, off, 0, None, None
-                    anchor_n, anchor_t, since = at[0], at[1], at[1]
-                    moved = at
-                else:
-                    if best is None or lateness < best[0]:
-                        best = (lateness, n, t)
-                    if t - since >= reref_ns:
-                        if best[1] > anchor_n:
-                            anchor_n, anchor_t = best[1], best[2]
-                            moved = (anchor_n, anchor_t)
-                        since, best = t, None
-                out.append((r.run_id, r.seq, r[2], n, r.n_end, epoch, opened, at[0], lateness, step, offset,
-                            *(moved or (None, None))))
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-            yield frame.astype({"anchor_n": "Int64", "anchor_mono_ns": "Int64"})
-
-    local = ordered.mapInPandas(follow, schema)
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = _stretch(*(pdf[c].to_numpy(np.int64) for c in ("n_start", "mono_ns", "real_ns", "adc_latency_ns")), rate, late_ns, late_blocks, step_ns, reref_ns)
+        for c in ("run_id", "seq", "_part", "n_start", "n_end"):
+            got[c] = pdf[c].to_numpy()
+        return got[[c.split()[0] for c in schema.split(", ")]].astype({"anchor_n": "Int64", "anchor_mono_ns": "Int64"})
+
+    local = map_groups(counted.select(*cols), ["run_id", "_part"], "seq", follow, schema)
     # One row per stretch: how many epochs it holds, the offset and the anchor it ends with.
     parts = local.groupBy("run_id", "_part").agg(
         (F.max("_epoch") + 1).alias("_n"), F.max_by("offset_ns", "seq").alias("_last"),
@@ -113,6 +78,72 @@ def block_timeline(blocks: DataFrame, rate: int = 16_000, late_ns: int = 200_000
         "offset_ns", "anchor_n", "anchor_mono_ns")
 
 
+def _first(found: Callable[[int, int], np.ndarray], lo: int, hi: int, size: int = 4096) -> int:
+    """The first place in [lo, hi) where `found(a, b)` holds, `hi` without one."""
+    while lo < hi:
+        at = np.flatnonzero(found(lo, min(lo + size, hi)))
+        if len(at):
+            return lo + int(at[0])
+        lo += size
+    return hi
+
+
+def _stretch(n: np.ndarray, mono: np.ndarray, real: np.ndarray, latency: np.ndarray, rate: int, late_ns: int, late_blocks: int, step_ns: int,
+             reref_ns: int) -> pd.DataFrame:
+    """The columns of one stretch. Between two events the reference stands still, so a block's lateness is one subtraction."""
+    size, t, offset = len(n), mono - latency, real - mono
+    reach = np.maximum.accumulate(t)  # when a time is first passed
+    opens, moves = {0: 0}, {0: 0}  # at a block: the block its epoch starts with, the block referred to from now on
+    lateness = np.zeros(size, np.int64)
+    lateness[0] = t[0]
+    done, ref, since, late = 1, 0, int(t[0]), 0
+    while done < size:
+        due = int(np.searchsorted(reach, since + reref_ns, "left"))
+        end = min(max(due, done) + 1, size)
+        part = t[done:end] - (t[ref] + np.rint((n[done:end] - n[ref]) * NS / rate).astype(np.int64))
+        place = np.arange(1, len(part) + 1)
+        length = place - np.maximum.accumulate(np.where(part > late_ns, -late, place))  # late blocks in a row, up to here
+        lost = np.flatnonzero(length >= late_blocks)
+        if len(lost):
+            end = done + int(lost[0]) + 1
+            ref = end - late_blocks
+            opens[end - 1] = moves[end - 1] = ref
+            since, late = int(t[ref]), 0
+        else:
+            late = int(length[-1])
+            if end - 1 == max(due, done):
+                best = done + int(np.argmin(part))
+                if n[best] > n[ref]:
+                    ref = moves[end - 1] = best
+                since = int(t[end - 1])
+        lateness[done:end] = part[:end - done]
+        done = end
+    opened = np.zeros(size, bool)
+    opened[list(opens)] = True
+    start = n.copy()
+    start[list(opens)] = n[list(opens.values())]
+    step, level = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    heads = [*opens, size]
+    for a, b in zip(heads, heads[1:]):  # a step changes the level until the next; an epoch begins at its own
+        now, at = int(offset[a]), a + 1
+        level[a] = now
+        stop = min(b + 1, size)  # the block that opens the next epoch is still measured against this one
+        while at < stop:
+            k = _first(lambda i, j: np.abs(offset[i:j] - now) > step_ns, at, stop)
+            level[at:k] = now
+            if k < stop:
+                step[k], now = offset[k] - now, int(offset[k])
+                level[k] = now
+            at = k + 1
+        if b < size:
+            level[b] = offset[b]
+    anchor = pd.array([None] * size, "Int64"), pd.array([None] * size, "Int64")
+    for column, values in zip(anchor, (n, t)):
+        column[list(moves)] = values[list(moves.values())]
+    return pd.DataFrame({"_epoch": np.cumsum(opened) - 1, "new_epoch": opened, "epoch_start_n": start, "lateness_ns": lateness, "step_ns": step,
+                         "offset_ns": level, "anchor_n": anchor[0], "anchor_mono_ns": anchor[1]})
+
+
 def epoch_offsets(timeline: DataFrame) -> DataFrame:
     """(run_id, epoch, offset_ns): an epoch's own offset plus every later clock step of its run."""
     own = timeline.where("new_epoch").select("run_id", "epoch", "seq", F.col("offset_ns").alias("_own"))

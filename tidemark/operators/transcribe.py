@@ -68,26 +68,3 @@ def _dump(reply: dict | None) -> str | None:
 
 def _has_words(reply: dict) -> bool:
     return bool(reply.get("words")) or any(s.get("words") for s in reply.get("segments") or [])
-
-
-def energy_recogniser(min_gap_s: float = 0.2, eps: float = 1e-4, words: bool = True) -> Callable:
-    """A deterministic stand-in for a model: one segment per region of sound, a word every half second."""
-    min_gap = int(min_gap_s * RATE)
-
-    def answer(samples: np.ndarray, language: str | None) -> dict:
-        active = np.flatnonzero(np.abs(samples) > eps)
-        split = np.flatnonzero(np.diff(active) > min_gap) + 1
-        segments = []
-        for i, run in enumerate(np.split(active, split) if len(active) else []):
-            a, b = run[0] / RATE, (run[-1] + 1) / RATE
-            seg = {"start": a, "end": b, "text": f" region{i}", "avg_logprob": -0.3, "compression_ratio": 1.2,
-                   "no_speech_prob": 0.05}
-            if words:
-                cuts = [*np.arange(a, b, 0.5), b]
-                seg["words"] = [{"word": f" w{i}_{k}", "start": s, "end": e, "probability": 0.9}
-                                for k, (s, e) in enumerate(zip(cuts, cuts[1:])) if e > s]
-                seg["text"] = "".join(w["word"] for w in seg["words"])
-            segments.append(seg)
-        return {"segments": segments, "language": language or "und", "duration": len(samples) / RATE}
-
-    return answer

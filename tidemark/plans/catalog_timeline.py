@@ -449,30 +449,32 @@ def status_metrics(spark, d):
 
 
 @query("health_eval", """
-WITH h AS (SELECT device_id, max(start_utc_ms) FILTER (event_type = 'view') AS cap, bool_or(event_type = 'signup' AND value > 100) AS stopped,
+WITH h AS (SELECT device_id, max(start_utc_ms) FILTER (event_type = 'view' AND user_id % 4 <> 1) AS cap, count(*) FILTER (event_type = 'view' AND user_id % 4 <> 2) > 0 AS present, bool_or(event_type = 'signup' AND value > 100) AS stopped,
     max(value) AS frame_age, count(*) % 7 <> 0 AS disk_ok, min(start_utc_ms) FILTER (event_type = 'error') AS oldest,
     max(start_utc_ms) FILTER (event_type = 'purchase') AS ok, max(start_utc_ms) FILTER (event_type = 'click') AS up,
     CASE WHEN count(*) % 5 = 0 THEN '401 denied' WHEN count(*) % 5 = 1 THEN '500 oops' END AS err FROM v_events GROUP BY device_id),
-a AS (SELECT *, (1706600000000 - cap) / 1000.0 AS cap_age, (1706600000000 - oldest) / 1000.0 AS pend_age, (1706600000000 - ok) / 1000.0 AS ok_age,
+a AS (SELECT *, (1706600000000 - CASE WHEN present THEN cap END) / 1000.0 AS cap_age, (1706600000000 - oldest) / 1000.0 AS pend_age, (1706600000000 - ok) / 1000.0 AS ok_age,
     (1706600000000 - up) / 1000.0 AS up_age FROM h)
 SELECT device_id, array_to_string(list_filter([
-  CASE WHEN cap IS NULL THEN 'capture status missing' WHEN stopped THEN 'capture stopped' WHEN greatest(cap_age, 0) > 120 THEN 'capture status stale (' || CAST(round_even(greatest(cap_age, 0), 0) AS BIGINT) || ' s)' END,
-  CASE WHEN frame_age + greatest(cap_age, 0) > 60 THEN 'last frame ' || CAST(round_even(frame_age + greatest(cap_age, 0), 0) AS BIGINT) || ' s ago' END,
-  CASE WHEN NOT disk_ok THEN 'spool above high-water mark or disk low' END,
-  CASE WHEN greatest(pend_age, 0) > 3600 AND (ok IS NULL OR greatest(ok_age, 0) > 3600) THEN 'pending files for ' || CAST(round_even(greatest(pend_age, 0), 0) AS BIGINT) || ' s without a successful upload' END,
-  CASE WHEN up IS NULL OR greatest(up_age, 0) > 960 THEN 'uploader status missing or stale' END,
-  CASE WHEN err LIKE '401%' OR err LIKE '403%' THEN 'upload auth failure: ' || err END], lambda x: x IS NOT NULL), '|') AS reasons FROM a""")
+  CASE WHEN NOT present THEN 'no capture status' WHEN stopped THEN 'capture has stopped' WHEN cap IS NULL THEN 'capture status without a time' WHEN greatest(cap_age, 0) > 120 THEN 'capture status is old: ' || CAST(round_even(greatest(cap_age, 0), 0) AS BIGINT) || ' s' END,
+  CASE WHEN frame_age + greatest(cap_age, 0) > 60 THEN 'no frame for ' || CAST(round_even(frame_age + greatest(cap_age, 0), 0) AS BIGINT) || ' s' END,
+  CASE WHEN NOT disk_ok THEN 'no room for audio' END,
+  CASE WHEN greatest(pend_age, 0) > 3600 AND (ok IS NULL OR greatest(ok_age, 0) > 3600) THEN 'nothing uploaded, files wait for ' || CAST(round_even(greatest(pend_age, 0), 0) AS BIGINT) || ' s' END,
+  CASE WHEN up IS NULL OR greatest(up_age, 0) > 960 THEN 'uploader silent' END,
+  CASE WHEN err LIKE '401%' OR err LIKE '403%' THEN 'upload refused: ' || err END], lambda x: x IS NOT NULL), '|') AS reasons FROM a""")
 def health_eval(spark, d):
     def stamp(kind, fn):
         return fn(F.when(F.col("event_type") == kind, F.col("start_utc_ms"))) * 1_000_000
     e = V._events(spark, d)
     n = F.count("*")
     state = e.groupBy("device_id").agg(
-        stamp("view", F.max).alias("capture_written_ns"),
+        F.max(F.when((F.col("event_type") == "view") & (F.col("user_id") % 4 != 1), F.col("start_utc_ms"))).alias("_cap"),
+        (F.count(F.when((F.col("event_type") == "view") & (F.col("user_id") % 4 != 2), 1)) > 0).alias("capture_present"),
         F.bool_or((F.col("event_type") == "signup") & (F.col("value") > 100)).alias("capture_stopped"),
         F.max("value").alias("last_frame_age_s"), (n % 7 != 0).alias("disk_ok"), stamp("error", F.min).alias("oldest_pending_ns"),
         stamp("purchase", F.max).alias("last_success_ns"), stamp("click", F.max).alias("uploader_written_ns"),
         F.when(n % 5 == 0, "401 denied").when(n % 5 == 1, "500 oops").alias("last_error"))
+    state = state.withColumn("capture_written_ns", F.when(F.col("capture_present"), F.col("_cap") * 1_000_000))
     out = R.health(state, 1_706_600_000_000_000_000)
     return out.select("device_id", F.array_join("reasons", "|").alias("reasons"))
 

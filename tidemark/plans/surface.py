@@ -14,7 +14,7 @@ from ..functions.text import transcript_line
 from ..functions.times import ms_to_iso
 from ..operators import search as Q
 from ..operators.intervals import overlaps_window, starts_in, touches_range
-from ..operators.paging import ROW_KEY, clamp, keyset_page, middle_truncate
+from ..operators.paging import ROW_KEY, clamp, head_and_tail, keyset_page
 from ..operators.sessions import session_openings
 from ..operators.tags import span_tag_map, span_tag_scope, tag_lists, with_channel
 from ..operators.timeline import source_extents, timeline
@@ -72,16 +72,13 @@ def session_rows(rows: DataFrame, chunk_sessions: DataFrame, tags: DataFrame, se
 
 
 def get_session(session: DataFrame, rows: DataFrame, max_chars: int = 0) -> DataFrame:
-    """One row per session of `session` with `n_rows` and its transcript as one, middle-truncated, text.
+    """One row per session of `session` with `n_rows` and its transcript as one text, head and tail where it is too long.
 
-    `rows` come from `session_rows`; a session's lines end up in one value by definition.
+    `rows` come from `session_rows`.
     """
-    line = transcript_line("start_utc_ms", "channel", "lang", "text")
-    text = rows.groupBy("session_id").agg(F.count("*").alias("n_rows"), F.array_join(F.transform(
-        F.sort_array(F.collect_list(F.struct("start_utc_ms", "chunk_id", "idx", line.alias("line")))),
-        lambda r: r["line"]), "\n").alias("text"))
-    out = session.join(text, "session_id", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
-    return out.withColumn("text", middle_truncate(F.coalesce("text", F.lit("")), max_chars))
+    lines = rows.select("session_id", "start_utc_ms", "chunk_id", "idx", transcript_line("start_utc_ms", "channel", "lang", "text").alias("line"))
+    text = head_and_tail(lines, "session_id", ["start_utc_ms", "chunk_id", "idx"], "line", max_chars)
+    return session.join(text, "session_id", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0))).withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def segment_context(rows: DataFrame, tags: DataFrame, segment_id: int, window_s: float = 60.0,
