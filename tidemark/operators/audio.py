@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql.types import BinaryType
 
 from ..functions.speech import HOLD, SILENT, SPEECH, Rules
 from ..functions.times import floor_div, samples_to_ms
+from .folds import spread
 from .intervals import as_of, first_overlap, interval_join, subtract
 from .sliced import SLICE, Carry, scan, with_slice
 
@@ -154,6 +156,49 @@ def raw_coverage(derived: DataFrame, raw: DataFrame) -> DataFrame:
     return derived.select("id").join(found, "id", "left").select("id", F.coalesce("_ok", F.lit(False)).alias("is_covered"))
 
 
+def slice_hashes(derived: DataFrame, raw: DataFrame) -> DataFrame:
+    """(id, pcm_sha256, pieces): hashes of the PCM under derived chunks, made from the raw audio.
+
+    `raw` has EPOCH, n_start, n_samples and pcm (int16 bytes). A chunk's pieces are cut out where the raw rows lie, meet
+    sorted by position, and pass through the hash one by one, so that no slice is ever whole in memory. A raw row that
+    overlaps the last used one is dropped, as in `covering_raw`. The hash is NULL where a piece is missing or a raw row's
+    bytes are not those of its samples (damaged).
+    """
+    left = derived.select("id", *EPOCH, F.col("n_start").alias("_cs"), (F.col("n_start") + F.col("n_samples")).alias("_ce"))
+    whole = F.coalesce(F.octet_length("pcm") == 2 * F.col("n_samples"), F.lit(False))
+    right = raw.select(*EPOCH, F.col("n_start").alias("_rs"), (F.col("n_start") + F.col("n_samples")).alias("_re"), F.when(whole, F.col("pcm")).alias("pcm"))
+    pairs = interval_join(left, right, EPOCH, ("_cs", "_ce"), ("_rs", "_re"), SAMPLE_SLICE).where("_rs < _ce and _re > _cs")
+    lo, hi = F.greatest("_rs", "_cs"), F.least("_re", "_ce")
+    piece = F.substring(F.col("pcm"), (2 * (lo - F.col("_rs")) + 1).cast("int"), (2 * (hi - lo)).cast("int"))
+    pieces = pairs.select("id", F.col("_cs").alias("first"), F.col("_ce").alias("last"), "_rs", lo.alias("lo"), hi.alias("hi"), piece.alias("piece"))
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, digest, at, last, count, good = None, None, 0, 0, 0, True
+
+        def row() -> tuple:
+            return now, digest.hexdigest() if good and at == last else None, count
+
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if r.id != now:
+                    if now is not None:
+                        out.append(row())
+                    now, digest, at, last, count, good = r.id, hashlib.sha256(), r.first, r.last, 0, True
+                if r.lo < at or (r.lo == r.first and count):
+                    continue
+                good = good and r.lo == at and r.piece is not None
+                if good:
+                    digest.update(r.piece)
+                at, count = r.hi, count + 1
+            yield pd.DataFrame(out, columns=["id", "pcm_sha256", "pieces"])
+        if now is not None:
+            yield pd.DataFrame([row()], columns=["id", "pcm_sha256", "pieces"])
+
+    found = spread(pieces, ["id"]).sortWithinPartitions("id", "_rs", "hi").mapInPandas(hashed, "id bigint, pcm_sha256 string, pieces bigint")
+    return derived.select("id").join(found, "id", "left").select("id", "pcm_sha256", F.coalesce("pieces", F.lit(0)).alias("pieces"))
+
+
 def free_stretches(raw: DataFrame, derived: DataFrame) -> DataFrame:
     """Sample ranges of raw audio that no derived chunk takes."""
     def span(df: DataFrame) -> DataFrame:

@@ -203,13 +203,62 @@ def unreferenced_files(spark, d):
     files = c.select("path", F.col("received_utc_ms").alias("modified_ms"))
     return R.unreferenced_files(files, c.where("id % 3 <> 0"), AS_OF).select("path")
 
-@query("backfill_candidates")
+@query("derived_problems", f"""
+WITH c AS (SELECT id, sha256, CASE WHEN id % 9 = 4 THEN NULL WHEN id % 9 = 5 THEN 'derived/' || id || '_00000000.opus' ELSE 'derived/' || id || '_' || substr(sha256, 1, 8) || '.opus' END AS path
+  FROM v_chunks WHERE kind = 'derived'),
+f AS (SELECT path, id % 14 = 3 AS side FROM c WHERE path IS NOT NULL AND id % 7 <> 1 UNION ALL SELECT 'derived/lost_' || id || '.opus', FALSE FROM c WHERE id % 11 = 0
+  UNION ALL SELECT '2024/' || id || '.opus.tmp', FALSE FROM c WHERE id % 13 = 0)
+SELECT 'chunk ' || id AS subject, 'without audio' AS problem FROM c WHERE path IS NULL
+UNION ALL SELECT 'chunk ' || id, 'path is not its file' FROM c WHERE id % 9 = 5
+UNION ALL SELECT 'chunk ' || id, 'raw audio missing' FROM c JOIN v_coverage USING (id) WHERE NOT is_covered
+UNION ALL SELECT path, 'leftover temp file' FROM f WHERE path LIKE '%.tmp'
+UNION ALL SELECT path, 'sidecar under derived audio' FROM f WHERE side
+UNION ALL SELECT path, 'no chunk refers to it' FROM f WHERE path LIKE 'derived/lost%'
+UNION ALL SELECT path, 'chunk without file' FROM c WHERE path IS NOT NULL AND id % 9 <> 5 AND id % 7 = 1""")
+def derived_problems(spark, d):
+    ident, raw = F.col("id"), V.raw_segments(spark, d)
+    named = F.concat(F.lit("derived/"), ident.cast("string"), F.lit("_"), F.when(ident % 9 == 5, "00000000").otherwise(F.substring("sha256", 1, 8)), F.lit(".opus"))
+    c = V.chunks(spark, d).where("kind = 'derived'").withColumn("path", F.when(ident % 9 != 4, named))
+    none = F.lit(False).alias("has_sidecar")
+    files = (c.where("path is not null and id % 7 <> 1").select("path", (ident % 14 == 3).alias("has_sidecar"))
+             .unionByName(c.where("id % 11 = 0").select(F.concat(F.lit("derived/lost_"), ident.cast("string"), F.lit(".opus")).alias("path"), none))
+             .unionByName(c.where("id % 13 = 0").select(F.concat(F.lit("2024/"), ident.cast("string"), F.lit(".opus.tmp")).alias("path"), none)))
+    return R.derived_problems(files, c, A.raw_coverage(c, raw))
+
+_SLICES = """
+docs AS (SELECT doc_id, doc_id % 20 AS stream, octet_length(encode(text)) // 2 AS n, substr(hex(encode(text)), 1, 4 * (octet_length(encode(text)) // 2)) AS h FROM documents),
+placed AS (SELECT *, CAST(sum(n) OVER (PARTITION BY stream ORDER BY doc_id) AS BIGINT) - n AS a FROM docs WHERE n > 0),
+ends AS (SELECT stream, CAST(sum(n) AS BIGINT) AS n, string_agg(h, '' ORDER BY doc_id) AS h FROM placed GROUP BY stream),
+slices AS (SELECT stream, k, stream * 1000000 + k AS id, 700 + 5000 * k AS a, 700 + 5000 * k + 4000 AS b, h, n FROM (SELECT stream, h, n, unnest(range(0, n // 5000 + 1)) AS k FROM ends))"""
+
+def _slices(spark, d):
+    """Raw rows of document bytes with their PCM, and slices of 4000 samples, one in 5000, the last ones beyond the end."""
+    raw = _pcm(spark, d).select(F.col("stream").cast("string").alias("device_id"), F.lit("r").alias("run_id"), F.lit(0).cast("bigint").alias("epoch"),
+                                "doc_id", "n_start", F.col("n").alias("n_samples"), "pcm")
+    ends = raw.groupBy(*A.EPOCH).agg(F.max(F.col("n_start") + F.col("n_samples")).alias("n"))
+    k = ends.select(*A.EPOCH, F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("n div 5000"))).alias("k"))
+    derived = k.select((F.col("device_id").cast("bigint") * 1_000_000 + F.col("k")).alias("id"), *A.EPOCH, (700 + 5000 * F.col("k")).alias("n_start"), F.lit(4000).cast("bigint").alias("n_samples"))
+    return derived, raw
+
+@query("slice_hashes", f"""
+WITH {_SLICES} SELECT s.id, CASE WHEN s.b <= any_value(s.n) THEN sha256(unhex(substr(any_value(s.h), 4 * s.a + 1, 16000))) END AS pcm_sha256, count(p.doc_id) AS pieces
+FROM slices s LEFT JOIN placed p ON p.stream = s.stream AND p.a < s.b AND p.a + p.n > s.a GROUP BY s.id, s.a, s.b""")
+def slice_hashes(spark, d):
+    return A.slice_hashes(*_slices(spark, d))
+
+@query("backfill_candidates", f"""
+WITH {_SLICES}, met AS (SELECT s.id, s.b <= s.n AS whole, coalesce(bool_or(doc_id % 41 = 7), FALSE) AS lost, coalesce(bool_or(doc_id % 41 = 9), FALSE) AS short, coalesce(bool_or(doc_id % 41 = 11), FALSE) AS other
+  FROM slices s LEFT JOIN placed p ON p.stream = s.stream AND p.a < s.b AND p.a + p.n > s.a GROUP BY s.id, s.b, s.n)
+SELECT id, CASE WHEN id % 3 = 0 THEN 'present' WHEN lost OR NOT whole THEN 'raw_missing' WHEN short THEN 'unverified' WHEN other THEN 'mismatched' ELSE 'writable' END AS outcome FROM met""")
 def backfill_candidates(spark, d):
-    # Every third chunk has its file, every fifth slice was read with another hash, every seventh not at all.
-    derived = V.chunks(spark, d).where("kind = 'derived'")
-    files = derived.where("id % 3 = 0 and path is not null").select("path")
-    hashes = derived.where("id % 7 <> 0").select("id", F.when(F.col("id") % 5 == 0, F.sha2("sha256", 256)).otherwise(F.col("sha256")).alias("pcm_sha256"))
-    return R.backfill_candidates(derived, files, A.raw_coverage(derived, V.raw_segments(spark, d)), hashes)
+    # Chunks know the hash of what was recorded; since then raw rows were lost, cut short or overwritten.
+    derived, raw = _slices(spark, d)
+    known = materialise(derived.join(A.slice_hashes(derived, raw).select("id", F.col("pcm_sha256").alias("sha256")), "id").withColumn("path", F.col("id").cast("string")))
+    turn = F.col("doc_id") % 41
+    pcm = F.when(turn == 9, F.expr("substring(pcm, 1, octet_length(pcm) - 1)")).when(turn == 11, F.encode(F.repeat(F.lit("~"), (2 * F.col("n_samples")).cast("int")), "utf-8")).otherwise(F.col("pcm"))
+    left = raw.where(turn != 7).withColumn("pcm", pcm).withColumn("id", F.col("doc_id")).withColumn("status", F.lit("segmented"))
+    files = known.where("id % 3 = 0").select("path")
+    return R.backfill_candidates(known, files, A.raw_coverage(known, left), A.slice_hashes(known, left))
 
 # ------------------------------------------------------------- audio
 

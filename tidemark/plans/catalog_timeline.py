@@ -181,7 +181,7 @@ def covering_raw(spark, d):
     return found.select("id", F.explode("covering.raw_id").alias("raw_id"))
 
 
-@query("raw_coverage")
+@query("raw_coverage", "SELECT id, is_covered FROM v_coverage")
 def raw_coverage(spark, d):
     return A.raw_coverage(V.chunks(spark, d).where("kind = 'derived'"), V.raw_segments(spark, d))
 

@@ -33,6 +33,16 @@ SELECT event_id AS id, sha256('w' || event_id) AS sha256, device_id, run_id, epo
   duration_ms * 16 AS n_samples, start_utc_ms, end_utc_ms + 1000 AS received_utc_ms,
   CASE event_type WHEN 'view' THEN 'segmented' ELSE 'pending' END AS status
 FROM v_events WHERE event_type IN ('view', 'error')""",
+    "v_coverage": """
+WITH RECURSIVE c AS (SELECT id, device_id, run_id, epoch, n_start, n_start + n_samples AS n_end FROM v_chunks WHERE kind = 'derived'),
+p AS (SELECT c.id, c.n_start, c.n_end, r.n_start AS a, r.n_start + r.n_samples AS b, row_number() OVER (PARTITION BY c.id ORDER BY r.n_start, r.id) AS rn
+  FROM c JOIN v_raw r ON r.device_id = c.device_id AND r.run_id = c.run_id AND r.epoch = c.epoch
+    AND r.n_start < c.n_end AND r.n_start + r.n_samples > c.n_start AND r.status <> 'failed'),
+w AS (SELECT id, rn, b AS reach, CASE WHEN a <= n_start THEN b ELSE n_start END AS pos FROM p WHERE rn = 1
+  UNION ALL SELECT p.id, p.rn, CASE WHEN p.a < w.reach THEN w.reach ELSE p.b END, CASE WHEN p.a >= w.reach AND p.a <= w.pos AND p.b > w.pos THEN p.b ELSE w.pos END
+  FROM w JOIN p ON p.id = w.id AND p.rn = w.rn + 1),
+covered AS (SELECT c.id, coalesce(max(w.pos), c.n_start) >= c.n_end AND count(w.id) > 0 AS is_covered FROM c LEFT JOIN w ON w.id = c.id GROUP BY c.id, c.n_start, c.n_end)
+SELECT * FROM covered""",
     "v_spans": """
 SELECT event_id AS id, device_id, start_utc_ms, end_utc_ms, 'span ' || event_id AS text,
   CASE WHEN event_id % 3 = 0 THEN 'no' ELSE 'en' END AS lang, 'engine-a' AS engine,
