@@ -42,18 +42,17 @@ def cancelled_tags(rows: DataFrame, spans: DataFrame, tag_pairs: DataFrame, tags
     """(segment_id, key, value): tags of cancelled spans for the rows they overlap.
 
     A key a row already has is left alone; of several cancelled spans the first, by (start, id),
-    that offers a key gives it. The pair join is bucketed by time and is the size of the overlaps.
+    that offers a key gives it. A row is probed once for each key that its device's spans offer (the known target
+    fields, a handful), by a carried scan that emits no pairs.
     """
     gone = spans.where("cancelled").select(F.col("id").alias("_span"), "device_id",
                                            F.col("start_utc_ms").alias("_ss"), F.col("end_utc_ms").alias("_se"))
-    left = rows.select(F.col("id").alias("segment_id"), "device_id", F.col("start_utc_ms").alias("_rs"),
-                       F.col("end_utc_ms").alias("_re"))
-    pairs = (interval_join(left, gone, ["device_id"], ("_rs", "_re"), ("_ss", "_se"))
-             .where("_rs < _se and _re > _ss"))
-    offered = pairs.join(tag_pairs.select(F.col("id").alias("_span"), "key", "value"), "_span")
-    first = offered.groupBy("segment_id", "key").agg(
-        F.min_by("value", F.struct("_ss", "_span")).alias("value"))
-    return first.join(tags.select("segment_id", "key"), ["segment_id", "key"], "left_anti")
+    offered = gone.join(tag_pairs.select(F.col("id").alias("_span"), "key", "value"), "_span")
+    keys = offered.groupBy("device_id").agg(F.collect_set("key").alias("_keys"))
+    probes = rows.join(keys, "device_id").select(F.col("id").alias("segment_id"), "device_id", F.col("start_utc_ms").alias("_rs"),
+                                                 F.col("end_utc_ms").alias("_re"), F.explode("_keys").alias("key"))
+    first = first_overlap(probes, offered, ["device_id", "key"], ("_rs", "_re"), ("_ss", "_se"), "_span", ["value"]).where("hit is not null")
+    return first.select("segment_id", "key", "hit.value").join(tags.select("segment_id", "key"), ["segment_id", "key"], "left_anti")
 
 
 def masked_ranges(chunks: DataFrame, spans: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import ends_sentence
 from ..functions.times import floor_div
@@ -21,20 +21,43 @@ def sentence_numbers(units: DataFrame) -> DataFrame:
     return units.withColumn("sentence", F.coalesce(F.sum(ends_sentence("text").cast("bigint")).over(w), F.lit(0)))
 
 
+PRECISIONS = ("word", "sentence", "segment", "hour", "session")
+
+
 def bounds(units: DataFrame, precision: str) -> DataFrame:
-    """(device_id, group_key, from_ms, to_ms, n_units) per segment, hour, session or sentence."""
-    key = {"segment": F.col("segment_id").cast("string") if "segment_id" in units.columns else F.col("id").cast("string"),
-           "hour": floor_div("start_utc_ms", HOUR_MS).cast("string")}
-    if precision == "session":
-        group = F.col("session_id")
-    elif precision == "sentence":
-        group = F.concat_ws("/", F.col("segment_id").cast("string"), F.col("sentence").cast("string"))
-    else:
-        group = key[precision]
+    """(device_id, group_key, from_ms, to_ms, n_units): what a selection snaps to, one of PRECISIONS.
+
+    `units` has device_id, start_utc_ms, end_utc_ms and segment_id (or id); for words i, for sentences `sentence` of
+    `sentence_numbers`, for sessions session_id. A unit without a session goes with its segment.
+    """
+    segment = (F.col("segment_id") if "segment_id" in units.columns else F.col("id")).cast("string")
+
+    def within(c: str) -> Column:
+        return F.concat_ws("/", segment, F.col(c).cast("string"))
+
+    group = {"word": lambda: within("i"), "sentence": lambda: within("sentence"), "segment": lambda: segment,
+             "hour": lambda: floor_div("start_utc_ms", HOUR_MS).cast("string"), "session": lambda: F.coalesce("session_id", segment)}[precision]()
     return units.groupBy("device_id", group.alias("group_key")).agg(
         F.min("start_utc_ms").alias("from_ms"), F.max("end_utc_ms").alias("to_ms"), F.count("*").alias("n_units"))
 
 
+def unit_clips(selected: DataFrame, rows: DataFrame) -> DataFrame:
+    """One clip per selection of units (selection_id, device_id, segment_id, i, text, start_utc_ms, end_utc_ms).
+
+    `rows` has segment_id, text, n_units and start_utc_ms. A row that is selected whole is quoted as it is, a part of
+    one by its units in order, without blanks at both ends.
+    """
+    part = selected.groupBy("selection_id", "segment_id").agg(
+        F.min("device_id").alias("device_id"), F.max("device_id").alias("_other"), F.min("start_utc_ms").alias("_from"), F.max("end_utc_ms").alias("end_utc_ms"),
+        F.count("*").alias("_n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "text"))), lambda u: u["text"]), "").alias("_part"))
+    quoted = part.join(rows.select("segment_id", "n_units", F.col("text").alias("_whole"), "start_utc_ms"), "segment_id").withColumn(
+        "text", F.when(F.col("_n") == F.col("n_units"), F.col("_whole")).otherwise(F.trim("_part")))
+    ends = quoted.groupBy("selection_id").agg(F.min("_from").alias("_first"), F.max("_other").alias("_other"))
+    out = clips(quoted.withColumn("device_id", F.when(F.col("device_id") == F.col("_other"), F.col("device_id")).otherwise(
+        F.raise_error(F.lit("a selection must stay on one device"))))).join(ends, "selection_id")
+    return out.select("selection_id", "device_id", F.col("_first").alias("from_ms"), "to_ms", "quoted_text")
+
+
 def clips(selected: DataFrame) -> DataFrame:
     """One clip per selection of rows: extent and the quoted text in time order.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -633,6 +635,45 @@ def selection_bounds(spark, d):
         "device_id", F.col("group_key").cast("bigint").alias("hour"), "from_ms", "to_ms", "n_units")
 
 
+_WORDS = """
+w AS (SELECT s.id, s.device_id, s.chunk_id, s.conv_id, s.text AS whole, s.start_utc_ms AS a, unnest(list_filter(string_split_regex(s.text, '\\s+'), lambda x: x <> '')) AS word,
+    unnest(range(0, len(list_filter(string_split_regex(s.text, '\\s+'), lambda x: x <> '')))) AS i FROM v_segments s),
+u AS (SELECT *, a + 100 * i AS start_utc_ms, a + 100 * i + 100 AS end_utc_ms,
+    CAST(coalesce(sum(CASE WHEN regexp_matches(word, '[.!?…]["''»”)]?\\s*$') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS sentence FROM w)"""
+
+def _word_units(spark, d):
+    """The words of transcript rows, a tenth of a second each."""
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    start = F.col("start_utc_ms") + 100 * F.col("i")
+    units = V.segments(spark, d).select(F.col("id").alias("segment_id"), "device_id", "chunk_id", "conv_id", "start_utc_ms", F.posexplode(words).alias("i", "text"))
+    return units.withColumn("end_utc_ms", start + 100).withColumn("start_utc_ms", start)
+
+@query("selection_precisions", f"""
+WITH {_WORDS}, k AS (SELECT u.*, ss.session_id FROM u LEFT JOIN v_seg_sessions ss ON ss.id = u.chunk_id AND u.chunk_id % 5 <> 0)
+SELECT p AS "precision", device_id, CASE p WHEN 'word' THEN id || '/' || i WHEN 'sentence' THEN id || '/' || sentence WHEN 'segment' THEN id::VARCHAR WHEN 'hour' THEN (start_utc_ms // 3600000)::VARCHAR
+  ELSE coalesce(session_id, id::VARCHAR) END AS group_key, min(start_utc_ms) AS from_ms, max(end_utc_ms) AS to_ms, count(*) AS n_units
+FROM k, (VALUES ('word'), ('sentence'), ('segment'), ('hour'), ('session')) AS v(p) GROUP BY ALL""")
+def selection_precisions(spark, d):
+    from ..operators.selection import PRECISIONS, bounds, sentence_numbers
+    _, c, _ = _seg(spark, d)
+    sessions = S.assign_sessions(c, 300.0).where("id % 5 <> 0").select(F.col("id").alias("chunk_id"), "session_id")
+    units = sentence_numbers(_word_units(spark, d)).join(sessions, "chunk_id", "left")
+    out = [bounds(units, p).withColumn("precision", F.lit(p)) for p in PRECISIONS]
+    return reduce(lambda x, y: x.unionByName(y), out)
+
+@query("unit_clip", f"""
+WITH {_WORDS}, p AS (SELECT conv_id, device_id, id, a, min(start_utc_ms) AS b, max(end_utc_ms) AS e, CASE WHEN id % 3 = 0 AND max(i) >= 0 AND min(i) > 0 THEN string_agg(word, ' ' ORDER BY i) ELSE any_value(whole) END AS t
+  FROM u WHERE id % 3 <> 0 OR i >= 2 GROUP BY conv_id, device_id, id, a)
+SELECT conv_id, device_id, min(b) AS from_ms, max(e) AS to_ms, string_agg(t, chr(10) ORDER BY a, id) AS quoted_text FROM p GROUP BY ALL""")
+def unit_clip(spark, d):
+    from ..operators.selection import unit_clips
+    units = _word_units(spark, d)
+    rows = units.groupBy("segment_id").agg(F.count("*").alias("n_units")).join(
+        V.segments(spark, d).select(F.col("id").alias("segment_id"), "text", "start_utc_ms"), "segment_id")
+    chosen = units.where("segment_id % 3 <> 0 or i >= 2").withColumn("text", F.concat("text", F.lit(" "))).withColumnRenamed("conv_id", "selection_id")
+    return unit_clips(chosen, rows).withColumnRenamed("selection_id", "conv_id")
+
+
 # ------------------------------------------------------------- as-of
 
 
