@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe_chunks, decontam, neardup, quality_mil, toxicity_crf
@@ -23,6 +23,9 @@ from tidemark.llm.sampling import fold
 from tidemark.llm.storage import file_system, fresh_path, scratch, stored
 
 
+MOST_FILES = 100_000
+
+
 def _free(name: str, docs: DataFrame) -> str:
     """A column name that `docs` does not have."""
     taken = {c.lower() for c in docs.columns}
@@ -36,12 +39,11 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     same however often it is read; only rows from elsewhere are written once to be numbered."""
     row, file, place = (_free(c, docs) for c in ("row", "file", "place"))
     try:
-        files = [] if "_metadata" in docs.columns else docs.inputFiles()
-        known = docs.sparkSession.createDataFrame([(f, k) for k, f in enumerate(sorted(files))], f"{file} string, {row} long")
-        placed = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place)).join(known, file)
-        rows = placed.withColumn(row, F.shiftleft(row, 40) + F.col(place)).select(*docs.columns, row)
-        if files and rows.count() == docs.count():
-            return rows, row
+        placed = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place))
+        # One row a file; more than MOST_FILES are not broadcast, and their rows are written to be numbered.
+        known = placed.select(file).distinct().withColumn(row, F.row_number().over(Window.orderBy(file)).cast("long"))
+        if "_metadata" not in docs.columns and known.count() <= MOST_FILES:
+            return placed.join(F.broadcast(known), file).withColumn(row, F.shiftleft(row, 40) + F.col(place)).select(*docs.columns, row), row
     except AnalysisException:  # not rows of a file
         pass
     return stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row

@@ -389,7 +389,10 @@ SELECT vec_id, round(CASE WHEN m > 0 THEN 20 * log10(sqrt(m)) ELSE -120 END, 5)
 def rms_level(spark, d):
     return V.table(spark, d, "embeddings").select("vec_id", F.round(A.rms_dbfs(F.col("embedding")), 5).alias("dbfs"))
 
-@query("pcm_hash")
+@query("pcm_hash", """
+SELECT vec_id, sha256(unhex(array_to_string(list_transform(embedding, lambda x: format('{:02x}{:02x}',
+    CAST(greatest(-32768, least(32767, round_even(CAST(x AS DOUBLE) * 32768, 0))) AS INTEGER) & 255, (CAST(greatest(-32768, least(32767, round_even(CAST(x AS DOUBLE) * 32768, 0))) AS INTEGER) >> 8) & 255)), ''))) AS sha256
+FROM embeddings""")
 def pcm_hash(spark, d):
     return V.table(spark, d, "embeddings").select("vec_id", A.pcm_sha256(F.col("embedding")).alias("sha256"))
 
@@ -403,7 +406,9 @@ def silence_regions(spark, d):
     x = x.select("vec_id", F.col("n").cast("bigint").alias("n"), F.col("x").cast("double").alias("x"))
     return A.silence_regions(x, ["vec_id"], 2, 0.05)
 
-@query("mask_samples")
+@query("mask_samples", """
+SELECT doc_id, n AS n_samples, sha256(unhex(repeat('0000', n // 2) || substr(h, 4 * (n // 2) + 1))) AS sha256
+FROM (SELECT doc_id, octet_length(encode(text)) // 2 AS n, substr(hex(encode(text)), 1, 4 * (octet_length(encode(text)) // 2)) AS h FROM documents) WHERE n > 0""")
 def mask_samples(spark, d):
     p = _pcm(spark, d)
     half = F.call_function("div", F.col("n"), F.lit(2).cast("bigint"))

@@ -327,6 +327,13 @@ def search_short(spark, d):
     return Q.fuzzy_matches(V.search_corpus(spark, d), "É").where("superseded_by is null").select("id", "start_utc_ms")
 
 
+@query("search_newest", """
+SELECT id, start_utc_ms FROM v_corpus WHERE contains(lower(text), 'é') AND superseded_by IS NULL ORDER BY start_utc_ms DESC, device_id, id LIMIT 25""")
+def search_newest(spark, d):
+    found = Q.fuzzy_matches(V.search_corpus(spark, d), "É").where("superseded_by is null")
+    return found.orderBy(*Q.ranked(found, Q.is_scored("É", fuzzy=True))).limit(25).select("id", "start_utc_ms")
+
+
 @query("search_page", f"""
 SELECT id, round(score, 6) AS score, greatest(end_utc_ms, start_utc_ms + 1) AS address_to_ms FROM (SELECT x.*, v.end_utc_ms FROM ({_FUZZY}) x JOIN v_corpus v ON v.id = x.id
   LEFT JOIN v_channel ch ON ch.segment_id = x.id WHERE v.superseded_by IS NULL AND coalesce(ch.value, 'ambient') <> 'dictation')
