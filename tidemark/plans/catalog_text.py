@@ -299,6 +299,15 @@ def search_topk(spark, d):
     return U.search(corpus, V.tags(spark, d), "only anti", limit=20).select("id", F.round("score", 6).alias("score"))
 
 
+@query("search_between", f"""
+SELECT id, round(score, 6) AS score FROM ({_LITERAL}) x LEFT JOIN v_channel ch ON ch.segment_id = x.id
+WHERE superseded_by IS NULL AND coalesce(ch.value, 'ambient') <> 'dictation' AND start_utc_ms >= {BASE + 100 * HOUR} AND start_utc_ms < {BASE + 600 * HOUR}
+ORDER BY round(score, 9), start_utc_ms, id LIMIT 20 OFFSET 3""")
+def search_between(spark, d):
+    found = U.search(V.search_corpus(spark, d), V.tags(spark, d), "only anti", BASE + 100 * HOUR, BASE + 600 * HOUR, limit=20, offset=3)
+    return found.select("id", F.round("score", 6).alias("score"))
+
+
 @query("search_phrase", f"""
 WITH t AS (SELECT id, {_TOKENS} AS tok FROM v_corpus),
 c AS (SELECT id, len(tok) AS dl, CAST(len(list_filter(range(1, greatest(len(tok), 1)), lambda i: tok[i] = 'of' AND tok[i + 1] = 'the')) AS DOUBLE) AS f0 FROM t),
