@@ -301,10 +301,10 @@ def search_topk(spark, d):
 
 @query("search_between", f"""
 SELECT id, round(score, 6) AS score FROM ({_LITERAL}) x LEFT JOIN v_channel ch ON ch.segment_id = x.id
-WHERE superseded_by IS NULL AND coalesce(ch.value, 'ambient') <> 'dictation' AND start_utc_ms >= {BASE + 100 * HOUR} AND start_utc_ms < {BASE + 600 * HOUR}
+WHERE superseded_by IS NULL AND coalesce(ch.value, 'ambient') <> 'dictation' AND start_utc_ms >= {BASE + 370_000} AND start_utc_ms < {BASE + 822_000}
 ORDER BY round(score, 9), start_utc_ms, id LIMIT 20 OFFSET 3""")
 def search_between(spark, d):
-    found = U.search(V.search_corpus(spark, d), V.tags(spark, d), "only anti", BASE + 100 * HOUR, BASE + 600 * HOUR, limit=20, offset=3)
+    found = U.search(V.search_corpus(spark, d), V.tags(spark, d), "only anti", BASE + 370_000, BASE + 822_000, limit=20, offset=3)
     return found.select("id", F.round("score", 6).alias("score"))
 
 
