@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.times import floor_div, ns_to_iso
-from .folds import map_groups, number_blocks
+from ..session import materialise
+from .folds import map_groups, number_blocks, spread, whole_groups
 from .intervals import as_of
 from .sliced import Carry, drop_slice, scan, with_slice
 
@@ -37,45 +38,65 @@ def block_timeline(blocks: DataFrame, rate: int = 16_000, late_ns: int = 200_000
 
     Sample positions are a sliced sum. An overflow opens an epoch whatever came before, so a run is
     cut there into independent stretches; a stretch is one group, walked from event to event (a
-    loss, a new reference, a step) and not block by block. Epoch numbers and steps across stretches
-    come from one row per stretch.
+    loss, a new reference, a step) and not block by block, and a batch of rows holds many. A first
+    walk leaves one row per stretch; epoch numbers, steps and anchors across stretches come from these
+    rows and enter the second walk with the blocks.
     """
     sliced = with_slice(blocks, "seq", BLOCK_SLICE)
     counted = drop_slice(scan(sliced, ["run_id"], ["seq"], [
         Carry("n_end", "sum", F.col("n_frames").cast("bigint")),
         Carry("_part", "sum", F.col("overflow").cast("bigint"))])).withColumn("n_start", F.col("n_end") - F.col("n_frames"))
-    cols = ["run_id", "seq", "_part", "n_start", "n_end", "mono_ns", "real_ns", "adc_latency_ns"]
-    schema = ("run_id string, seq bigint, _part bigint, n_start bigint, n_end bigint, _epoch bigint, new_epoch boolean, "
-              "epoch_start_n bigint, lateness_ns bigint, step_ns bigint, offset_ns bigint, anchor_n bigint, "
-              "anchor_mono_ns bigint")
-
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = _stretch(*(pdf[c].to_numpy(np.int64) for c in ("n_start", "mono_ns", "real_ns", "adc_latency_ns")), rate, late_ns, late_blocks, step_ns, reref_ns)
-        for c in ("run_id", "seq", "_part", "n_start", "n_end"):
-            got[c] = pdf[c].to_numpy()
-        return got[[c.split()[0] for c in schema.split(", ")]].astype({"anchor_n": "Int64", "anchor_mono_ns": "Int64"})
-
-    local = map_groups(counted.select(*cols), ["run_id", "_part"], "seq", follow, schema)
-    # One row per stretch: how many epochs it holds, the offset and the anchor it ends with.
-    parts = local.groupBy("run_id", "_part").agg(
-        (F.max("_epoch") + 1).alias("_n"), F.max_by("offset_ns", "seq").alias("_last"),
-        F.max_by("anchor_n", F.when(F.col("anchor_n").isNotNull(), F.col("seq"))).alias("_an"),
-        F.max_by("anchor_mono_ns", F.when(F.col("anchor_n").isNotNull(), F.col("seq"))).alias("_at"))
+    stretch = ["run_id", "_part"]
+    rows = spread(counted.select(*stretch, "seq", "n_start", "n_end", "mono_ns", "real_ns", "adc_latency_ns"), stretch)
+    limits = (rate, late_ns, late_blocks, step_ns, reref_ns)
+
+    def walked(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, dict[str, np.ndarray]]]:
+        for pdf, starts in whole_groups(batches, stretch):
+            yield pdf, starts, _stretches(*(pdf[c].to_numpy(np.int64) for c in ("n_start", "mono_ns", "real_ns", "adc_latency_ns")), starts, *limits)
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """How many epochs each stretch holds, the offset and the anchor it ends with."""
+        for pdf, starts, got in walked(batches):
+            anchors = np.flatnonzero(got["anchored"])
+            last = np.append(starts[1:], len(pdf)) - 1
+            at = anchors[np.searchsorted(anchors, last, "right") - 1]  # a stretch begins with one
+            yield pd.DataFrame({"run_id": pdf["run_id"].to_numpy()[starts], "_part": pdf["_part"].to_numpy()[starts], "_n": got["epoch"][last] + 1,
+                                "_last": got["offset_ns"][last], "_an": got["anchor_n"][at], "_at": got["anchor_mono_ns"][at]})
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, starts, got in walked(batches):
+            first = pdf.iloc[starts]
+            led, before, n, at = (first[c].to_numpy() for c in ("_led", "_before", "_pn", "_pt"))
+            jump = got["offset_ns"][starts] - before
+            got["lateness_ns"][starts] = np.where(led, got["lateness_ns"][starts] - at - _ns(first["n_start"].to_numpy() - n, rate), 0)
+            got["step_ns"][starts] = np.where(led & (np.abs(jump) > step_ns), jump, 0)
+            out = pdf[["run_id", "seq", "n_start", "n_end"]].assign(epoch=pdf["_base"].to_numpy() + got["epoch"])
+            for c in ("new_epoch", "epoch_start_n", "lateness_ns", "step_ns", "offset_ns"):
+                out[c] = got[c]
+            for c in ("anchor_n", "anchor_mono_ns"):
+                out[c] = pd.arrays.IntegerArray(got[c], ~got["anchored"])
+            yield out
+
+    parts = materialise(rows.sortWithinPartitions(*stretch, "seq").mapInPandas(
+        ends, "run_id string, _part bigint, _n bigint, _last bigint, _an bigint, _at bigint"))
     carried = drop_slice(scan(with_slice(parts, "_part", BLOCK_SLICE), ["run_id"], ["_part"],
                               [Carry("_upto", "sum", F.col("_n")), Carry("_before", "lag", F.col("_last")),
                                Carry("_pn", "lag", F.col("_an")), Carry("_pt", "lag", F.col("_at"))]))
-    carried = carried.select("run_id", "_part", (F.col("_upto") - F.col("_n")).alias("_base"), "_before", "_pn", "_pt")
-    joined = local.join(carried, ["run_id", "_part"])
-    jump = F.col("offset_ns") - F.col("_before")
-    opens_part = F.col("new_epoch") & (F.col("_epoch") == 0)
-    head = opens_part & F.col("_before").isNotNull()
-    since = F.col("lateness_ns") - (F.col("_pt") + samples_to_ns(F.col("n_start") - F.col("_pn"), rate))
-    return joined.select(
-        "run_id", "seq", "n_start", "n_end", (F.col("_base") + F.col("_epoch")).alias("epoch"), "new_epoch",
-        "epoch_start_n",
-        F.when(opens_part, F.coalesce(since, F.lit(0))).otherwise(F.col("lateness_ns")).alias("lateness_ns"),
-        F.when(head, F.when(F.abs(jump) > step_ns, jump).otherwise(0)).otherwise(F.col("step_ns")).alias("step_ns"),
-        "offset_ns", "anchor_n", "anchor_mono_ns")
+    # No nulls: pandas would turn the column into doubles.
+    carried = carried.select(*stretch, (F.col("_upto") - F.col("_n")).alias("_base"), F.col("_before").isNotNull().alias("_led"),
+                             *[F.coalesce(c, F.lit(0)).alias(c) for c in ("_before", "_pn", "_pt")])
+    return rows.join(spread(carried, stretch), stretch).sortWithinPartitions(*stretch, "seq").mapInPandas(
+        told, "run_id string, seq bigint, n_start bigint, n_end bigint, epoch bigint, new_epoch boolean, epoch_start_n bigint, lateness_ns bigint, "
+              "step_ns bigint, offset_ns bigint, anchor_n bigint, anchor_mono_ns bigint")
+
+
+def _ns(n: np.ndarray, rate: int) -> np.ndarray:
+    """`samples_to_ns` of an array."""
+    if NS % rate == 0:
+        return n * (NS // rate)
+    whole, rest = np.divmod(n, rate)
+    q, r = np.divmod(rest * NS, rate)
+    return whole * NS + q + ((2 * r > rate) | ((2 * r == rate) & (q % 2 == 1)))
 
 
 def _first(found: Callable[[int, int], np.ndarray], lo: int, hi: int, size: int = 4096) -> int:
@@ -88,41 +109,56 @@ def _first(found: Callable[[int, int], np.ndarray], lo: int, hi: int, size: int
     return hi
 
 
-def _stretch(n: np.ndarray, mono: np.ndarray, real: np.ndarray, latency: np.ndarray, rate: int, late_ns: int, late_blocks: int, step_ns: int,
-             reref_ns: int) -> pd.DataFrame:
-    """The columns of one stretch. Between two events the reference stands still, so a block's lateness is one subtraction."""
-    size, t, offset = len(n), mono - latency, real - mono
+def _stretches(n: np.ndarray, mono: np.ndarray, real: np.ndarray, latency: np.ndarray, starts: np.ndarray, *limits: int) -> dict[str, np.ndarray]:
+    """The columns of the stretches that begin at `starts`; what follows from the stretch before is left out."""
+    t, offset = mono - latency, real - mono
+    got = {c: np.zeros(len(n), np.int64) for c in ("epoch", "lateness_ns", "step_ns", "anchor_n", "anchor_mono_ns")}
+    got |= {"epoch_start_n": n.copy(), "offset_ns": offset.copy(), "new_epoch": np.zeros(len(n), bool), "anchored": np.zeros(len(n), bool)}
+    for a, b in zip(starts, [*starts[1:], len(n)]):
+        _stretch(n[a:b], t[a:b], offset[a:b], {c: v[a:b] for c, v in got.items()}, *limits)
+    return got
+
+
+def _stretch(n: np.ndarray, t: np.ndarray, offset: np.ndarray, got: dict[str, np.ndarray], rate: int, late_ns: int, late_blocks: int, step_ns: int,
+             reref_ns: int) -> None:
+    """Fill the columns of one stretch. Between two events the reference stands still, so a block's lateness is one subtraction."""
+    size = len(n)
     reach = np.maximum.accumulate(t)  # when a time is first passed
     opens, moves = {0: 0}, {0: 0}  # at a block: the block its epoch starts with, the block referred to from now on
-    lateness = np.zeros(size, np.int64)
+    lateness = got["lateness_ns"]
     lateness[0] = t[0]
     done, ref, since, late = 1, 0, int(t[0]), 0
     while done < size:
-        due = int(np.searchsorted(reach, since + reref_ns, "left"))
+        due = int(reach.searchsorted(since + reref_ns, "left"))
         end = min(max(due, done) + 1, size)
-        part = t[done:end] - (t[ref] + np.rint((n[done:end] - n[ref]) * NS / rate).astype(np.int64))
-        place = np.arange(1, len(part) + 1)
-        length = place - np.maximum.accumulate(np.where(part > late_ns, -late, place))  # late blocks in a row, up to here
-        lost = np.flatnonzero(length >= late_blocks)
+        part = t[done:end] - (t[ref] + _ns(n[done:end] - n[ref], rate))
+        over, lost = part > late_ns, ()
+        if over.any():
+            place = np.arange(1, len(part) + 1)
+            length = place - np.maximum.accumulate(np.where(over, -late, place))  # late blocks in a row, up to here
+            lost = np.flatnonzero(length >= late_blocks)
+            run = int(length[-1])
+        else:
+            run = 0
         if len(lost):
             end = done + int(lost[0]) + 1
             ref = end - late_blocks
             opens[end - 1] = moves[end - 1] = ref
             since, late = int(t[ref]), 0
         else:
-            late = int(length[-1])
+            late = run
             if end - 1 == max(due, done):
-                best = done + int(np.argmin(part))
+                best = done + int(part.argmin())
                 if n[best] > n[ref]:
                     ref = moves[end - 1] = best
                 since = int(t[end - 1])
         lateness[done:end] = part[:end - done]
         done = end
-    opened = np.zeros(size, bool)
+    opened, step, level = got["new_epoch"], got["step_ns"], got["offset_ns"]
     opened[list(opens)] = True
-    start = n.copy()
-    start[list(opens)] = n[list(opens.values())]
-    step, level = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    np.cumsum(opened, out=got["epoch"])
+    got["epoch"] -= 1
+    got["epoch_start_n"][list(opens)] = n[list(opens.values())]
     heads = [*opens, size]
     for a, b in zip(heads, heads[1:]):  # a step changes the level until the next; an epoch begins at its own
         now, at = int(offset[a]), a + 1
@@ -137,11 +173,9 @@ def _stretch(n: np.ndarray, mono: np.ndarray, real: np.ndarray, latency: np.ndar
             at = k + 1
         if b < size:
             level[b] = offset[b]
-    anchor = pd.array([None] * size, "Int64"), pd.array([None] * size, "Int64")
-    for column, values in zip(anchor, (n, t)):
-        column[list(moves)] = values[list(moves.values())]
-    return pd.DataFrame({"_epoch": np.cumsum(opened) - 1, "new_epoch": opened, "epoch_start_n": start, "lateness_ns": lateness, "step_ns": step,
-                         "offset_ns": level, "anchor_n": anchor[0], "anchor_mono_ns": anchor[1]})
+    got["anchored"][list(moves)] = True
+    for column, values in (("anchor_n", n), ("anchor_mono_ns", t)):
+        got[column][list(moves)] = values[list(moves.values())]
 
 
 def epoch_offsets(timeline: DataFrame) -> DataFrame:

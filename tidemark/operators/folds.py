@@ -42,44 +42,45 @@ def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def whole_groups(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Sorted batches, cut anew where a group of `keys` ends: (rows, where each of their groups starts)."""
+    def changes(pdf: pd.DataFrame) -> np.ndarray:
+        change = np.zeros(len(pdf), bool)
+        for k in keys:
+            v = pdf[k].to_numpy()
+            change[1:] |= v[1:] != v[:-1]
+        return change
+
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        change = changes(pdf)
+        change[0] = bool(held) and any(held[-1][k].iat[-1] != pdf[k].iat[0] for k in keys)
+        at = np.flatnonzero(change)
+        if not len(at):
+            held.append(pdf)
+            continue
+        ready = pd.concat([*held, pdf.iloc[:at[-1]]], ignore_index=True)
+        held = [pdf.iloc[at[-1]:]]
+        yield ready, np.flatnonzero(np.append(True, changes(ready)[1:]))
+    if held:
+        ready = pd.concat(held, ignore_index=True)
+        yield ready, np.flatnonzero(np.append(True, changes(ready)[1:]))
+
+
 def map_groups(df: DataFrame, keys: Sequence[str], order: str, fn: Callable[[pd.DataFrame], pd.DataFrame],
                schema: str) -> DataFrame:
     """Run `fn` on each group of `keys`, rows sorted by `order`.
 
-    Rows stream through sorted partitions and a task holds one group at a time; against one pandas
+    Rows stream through sorted partitions and a task holds one batch and one group at a time; against one pandas
     call per shuffle group this keeps many small groups cheap.
     """
     keys = list(keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        last = None
-
-        def done() -> pd.DataFrame:
-            group = held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
-            held.clear()
-            return fn(group)
-
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            change = np.zeros(len(pdf), bool)
-            for k in keys:
-                v = pdf[k].to_numpy()
-                change[1:] |= v[1:] != v[:-1]
-            cuts = [0, *np.flatnonzero(change), len(pdf)]
-            out = []
-            for a, b in zip(cuts, cuts[1:]):
-                part = pdf.iloc[a:b]
-                ident = tuple(part[k].iat[0] for k in keys)
-                if held and ident != last:
-                    out.append(done())
-                held.append(part.reset_index(drop=True))
-                last = ident
-            if out:
-                yield pd.concat(out, ignore_index=True)
-        if held:
-            yield done()
+        for rows, starts in whole_groups(batches, keys):
+            yield pd.concat([fn(rows.iloc[a:b].reset_index(drop=True)) for a, b in zip(starts, [*starts[1:], len(rows)])], ignore_index=True)
 
     return spread(df, keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
 
