@@ -193,6 +193,11 @@ def epoch_offsets(timeline: DataFrame) -> DataFrame:
             .select("run_id", "epoch", (F.col("_own") + F.col("_later") - F.coalesce("_same", F.lit(0))).alias("offset_ns")))
 
 
+def marks_of(timeline: DataFrame) -> DataFrame:
+    """The blocks that `anchors_of`, `epoch_offsets` and a count of steps read: far fewer than all."""
+    return timeline.where("anchor_n is not null or new_epoch or step_ns <> 0")
+
+
 def anchors_of(timeline: DataFrame) -> DataFrame:
     return timeline.where("anchor_n is not null").select(
         "run_id", "epoch", F.col("anchor_n").alias("n_ref"), F.col("anchor_mono_ns").alias("mono_ref_ns"))
