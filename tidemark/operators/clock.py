@@ -213,7 +213,7 @@ def sample_times(samples: DataFrame, anchors: DataFrame, offsets: DataFrame, rat
     got = as_of(samples, anchors, ["run_id", "epoch"], "n", "n_ref", ["n_ref", "mono_ref_ns"], width=rate * 3600)
     ref = F.coalesce("hit", "_first")
     mono = ref["mono_ref_ns"] + samples_to_ns(F.col("n") - ref["n_ref"], rate)
-    out = got.join(first, ["run_id", "epoch"]).join(offsets, ["run_id", "epoch"]).withColumn("mono_ns", mono)
+    out = got.join(first.join(offsets, ["run_id", "epoch"]), ["run_id", "epoch"]).withColumn("mono_ns", mono)
     return (out.withColumn("utc_ns", F.col("mono_ns") + F.col("offset_ns"))
             .withColumn("start_utc", ns_to_iso("utc_ns")).drop("hit", "_first", "offset_ns"))
 
