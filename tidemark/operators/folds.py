@@ -160,15 +160,25 @@ def chain(df: DataFrame, keys: Sequence[str], links: Callable[[pd.DataFrame], Li
 # ------------------------------------------------------------- overlap removal
 
 
+def first_of_starts(rows: DataFrame, keys: Sequence[str], start: str, length: str) -> DataFrame:
+    """(keys, id, start, length): of rows with one start, in order of id, those that can be kept when overlapping ones go:
+    the empty ones before the first that has a length, and that one."""
+    full = rows.where(F.col(length) > 0).groupBy(*keys, start).agg(F.min(F.struct("id", length)).alias("_one")).select(
+        *keys, "_one.id", start, f"_one.{length}")
+    ahead = full.select(*keys, start, F.col("id").alias("_first"))
+    empty = rows.where(F.col(length) <= 0).join(ahead, [*keys, start], "left").where("_first is null or id < _first")
+    return full.unionByName(empty.select(full.columns))
+
+
 def drop_overlaps(rows: DataFrame, keys: Sequence[str], start: str = "n_start", length: str = "n_samples",
-                  width: int = 16_000 * 3600, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                  width: int = 16_000 * 3600, block_rows: int = BLOCK_ROWS, distinct: bool = False) -> DataFrame:
     """(keys, id, start, length) of rows kept when every row overlapping the last kept one is dropped.
 
-    Rows go by (start, id). Of rows with one start only the first can be kept, so those collapse
-    before the shuffle.
+    Rows go by (start, id). Of rows with one start only the first with a length can be kept, and empty ones
+    before it, so the others go before the scan; `distinct` says that no two rows have one start.
     """
-    first = rows.groupBy(*keys, start).agg(F.min("id").alias("id"), F.min_by(length, "id").alias(length))
-    blocks = number_blocks(first, keys, [start], start, width, block_rows=block_rows)
+    first = rows.select(*keys, "id", start, length) if distinct else first_of_starts(rows, keys, start, length)
+    blocks = number_blocks(first, keys, [start, "id"], start, width, block_rows=block_rows)
 
     def links(pdf: pd.DataFrame) -> Links:
         s = pdf[start].to_numpy()

@@ -25,7 +25,7 @@ def chained(segments: DataFrame) -> DataFrame:
     """
     one = segments.select(*EPOCH, "first_idx", F.size("probs").cast("bigint").alias("n"), F.struct("probs", "ends", "n_end").alias("body")).where("n > 0")
     best = one.groupBy(*EPOCH, "first_idx").agg(F.max_by("body", "n").alias("body"), F.max("n").alias("n"))
-    kept = drop_overlaps(best.select(*EPOCH, "first_idx", "n", (-F.col("n")).alias("id")), EPOCH, "first_idx", "n", WINDOW_SLICE).select(*EPOCH, "first_idx")
+    kept = drop_overlaps(best.select(*EPOCH, "first_idx", "n", (-F.col("n")).alias("id")), EPOCH, "first_idx", "n", WINDOW_SLICE, distinct=True).select(*EPOCH, "first_idx")
     rows = with_slice(best.join(kept, [*EPOCH, "first_idx"]).withColumn("_to", F.col("first_idx") + F.col("n")), "first_idx", WINDOW_SLICE)
     prev = scan(rows, EPOCH, ["first_idx"], [Carry("_prev", "lag", F.col("_to"))])
     opened = prev.withColumn("_open", F.when(F.col("_prev").isNull() | (F.col("_prev") != F.col("first_idx")), F.col("first_idx")))
