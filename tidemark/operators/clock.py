@@ -276,6 +276,6 @@ def probe_offsets(probes: DataFrame, max_rtt_ns: int = 5 * NS, valid_ns: int = 6
     block = ["device_id", "_block"]
     bounds = map_groups(rows, block, "_rn", compose, "device_id string, _block bigint, _blo bigint, _bhi bigint")
     entry = map_groups(bounds, ["device_id"], "_block", enter, "device_id string, _block bigint, _x bigint")
-    done = map_groups(rows.join(entry, block), block, "_rn", replay,
+    done = map_groups(spread(rows, block).join(entry, block), block, "_rn", replay,
                       "device_id string, seq bigint, t_send bigint, t_recv bigint, server_ns bigint, offset_ns bigint")
     return done.withColumn("rtt_ns", rtt).withColumn("synced_until_ns", F.col("t_recv") + valid_ns)

@@ -37,9 +37,10 @@ class Links:
 
 
 def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Hash partitions in the configured number: Python work is far heavier than its bytes suggest,
-    so adaptive merging of small partitions would leave it to one task."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    """Hash partitions in the configured number and one: Python work is far heavier than its bytes suggest,
+    so adaptive merging of small partitions would leave it to one task. Of equal number, the shuffle would be left out
+    behind a join on the same keys, and what is then a join's own shuffle may be read in pieces that part groups."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1, *keys)
 
 
 def whole_groups(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
@@ -154,7 +155,8 @@ def chain(df: DataFrame, keys: Sequence[str], links: Callable[[pd.DataFrame], Li
                        f"{key_schema}, _block bigint, _hi bigint, _out bigint, _last bigint, _pass boolean")
     entries = map_groups(table, keys, "_block", resolve, f"{key_schema}, _block bigint, _x bigint, _in_owner bigint")
     cols = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
-    return map_groups(df.join(entries, [*keys, "_block"]), [*keys, "_block"], "_rn", replay, f"{cols}, _owner bigint")
+    block = [*keys, "_block"]
+    return map_groups(spread(df, block).join(entries, block), block, "_rn", replay, f"{cols}, _owner bigint")
 
 
 # ------------------------------------------------------------- overlap removal
