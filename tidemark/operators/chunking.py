@@ -10,7 +10,7 @@ on the true path give their chunks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -19,7 +19,7 @@ from ..functions.speech import FAR, SILENT, Chunk, Open, Rules, Tape, chunks_of
 from ..functions.times import floor_div
 from ..session import materialise
 from .audio import activity_runs
-from .folds import map_groups
+from .folds import map_groups, spread, whole_groups
 from .sliced import SLICE, Carry, scan
 
 #: Windows of a burst that one group takes; longer ones go by blocks of BLOCK_WINDOWS.
@@ -48,8 +48,12 @@ def bursts_of(windows: DataFrame, keys: Sequence[str], rules: Rules, tails: Data
 
     `tails` (keys, final, n_stop) says why and where a key's audio ends. The table is stored, as it is read several times.
     """
+    return bursts_of_runs(activity_runs(windows, keys, rules), keys, rules, tails)
+
+
+def bursts_of_runs(runs: DataFrame, keys: Sequence[str], rules: Rules, tails: DataFrame | None = None) -> DataFrame:
+    """`bursts_of` for runs of `activity_runs` or `joined_runs`."""
     keys = list(keys)
-    runs = activity_runs(windows, keys, rules)
     hard = ((F.col("kind") == SILENT) & (F.col("n") * rules.window >= rules.reset_len)).cast("int")
     # Many run blocks per scan slice: runs are far fewer than windows.
     numbered = scan(runs.withColumn(SLICE, floor_div(SLICE, 64)).withColumn("_hard", hard), keys, ["first_idx"], [Carry("_burst", "sum", F.col("_hard"))])
@@ -68,16 +72,30 @@ def chunks_of_bursts(bursts: DataFrame, keys: Sequence[str], rules: Rules) -> Da
     ident, ddl = [*keys, "_burst"], ", ".join(f"{k} {bursts.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"{ddl}, n_start bigint, n_end bigint, cut_reason string"
 
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        tape = Tape(pdf["lo"], pdf["hi"], pdf["kind"], rules)
-        out, o, _, _ = chunks_of(tape, None, -FAR, _floor(pdf))
-        return _frame(pdf, keys, _closed(tape, out, o, pdf), OUT)
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Bursts are short and many, so they are slices of a batch's arrays and not frames of their own.
+        for rows, starts in whole_groups(batches, ident):
+            lo, hi, kind, burst, final, stop = (rows[c].to_numpy() for c in ("lo", "hi", "kind", "_burst", "final", "n_stop"))
+            at, made = [], []
+            for a, b in zip(starts, [*starts[1:], len(rows)]):
+                tape = Tape(lo[a:b], hi[a:b], kind[a:b], rules)
+                out, o, _, _ = chunks_of(tape, None, -FAR, int(lo[a]) if burst[a] == 0 else -FAR)
+                got = _closed(tape, out, o, final[a], stop[a])
+                made += got
+                at += [a] * len(got)
+            frame = pd.DataFrame(made, columns=OUT)
+            for k in keys:
+                frame[k] = rows[k].to_numpy()[at]
+            yield frame[[*keys, *OUT]]
+
+    def at_once(some: DataFrame) -> DataFrame:
+        return spread(some, ident).sortWithinPartitions(*ident, "lo").mapInPandas(whole, schema)
 
     length = (F.max("hi") - F.min("lo")) / rules.window
     long = bursts.groupBy(ident).agg(length.alias("_n")).where(F.col("_n") > LONG_WINDOWS).drop("_n")
     if long.isEmpty():
-        return map_groups(bursts, ident, "lo", whole, schema)
-    short = map_groups(bursts.join(long, ident, "left_anti"), ident, "lo", whole, schema)
+        return at_once(bursts)
+    short = at_once(bursts.join(long, ident, "left_anti"))
     return short.unionByName(_by_blocks(bursts.join(long, ident, "left_semi"), keys, ident, ddl, rules))
 
 
@@ -86,9 +104,8 @@ def _floor(pdf: pd.DataFrame) -> int:
     return int(pdf["lo"].iloc[0]) if pdf["_burst"].iloc[0] == 0 else -FAR
 
 
-def _closed(tape: Tape, out: list[Chunk], o: Open | None, pdf: pd.DataFrame) -> list[tuple]:
-    stop = pdf["n_stop"].iloc[0]
-    rest = tape.last(o, pdf["final"].iloc[0], None if pd.isna(stop) else int(stop)) if o is not None else None
+def _closed(tape: Tape, out: list[Chunk], o: Open | None, final: str, stop: float | None) -> list[tuple]:
+    rest = tape.last(o, final, None if pd.isna(stop) else int(stop)) if o is not None else None
     return [(c.n_start, c.n_end, c.cut_reason) for c in [*out, *([rest] if rest else [])]]
 
 
@@ -160,7 +177,7 @@ class _Block:
         while self._inside(o):
             chunk, then, ended = self._next(o)
             if ended:
-                return _closed(self.tape, out, o, self.runs)
+                return _closed(self.tape, out, o, self.runs["final"].iloc[0], self.runs["n_stop"].iloc[0])
             out += [chunk] if chunk else []
             o = then
         return [(c.n_start, c.n_end, c.cut_reason) for c in out]
