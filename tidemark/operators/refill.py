@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.speech import Rules
-from .audio import EPOCH, SAMPLE_SLICE, free_stretches, refill_chunks, reprocess_extent
-from .chunking import bursts_of, chunks_of_bursts
+from ..session import materialise
+from .audio import EPOCH, SAMPLE_SLICE, activity_class, free_stretches, joined_runs, refill_chunks, reprocess_extent
+from .chunking import bursts_of_runs, chunks_of_bursts
 from .folds import drop_overlaps
 from .generations import Generations
 from .intervals import first_overlap
@@ -18,32 +19,65 @@ CHAIN = [*EPOCH, "chain"]
 WINDOW_SLICE = 1 << 17
 
 
+def run_lengths(segments: DataFrame, rules: Rules) -> DataFrame:
+    """Segments (SEGMENTS) as (EPOCH, first_idx, n, body); `body` holds the runs (at, n, kind) of the windows, far fewer
+    than these, and how the segment ends."""
+    def stored(df: DataFrame) -> DataFrame:  # a lambda reads values and does not evaluate the step before for each element
+        return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+    n = F.size("probs")
+    kinds = stored(segments.where(n > 0).select(*EPOCH, "first_idx", n.alias("n"), F.transform("probs", lambda p: activity_class(p, rules)).alias("kinds"), "ends", "n_end"))
+    first = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (i == 0) | (F.get("kinds", i) != F.get("kinds", i - 1)))
+    runs = F.transform("first", lambda a, j: F.struct(
+        a.cast("bigint").alias("at"), (F.coalesce(F.get("first", j + 1), F.col("n")) - a).cast("bigint").alias("n"), F.get("kinds", a).alias("kind")))
+    return stored(kinds.withColumn("first", first)).select(*EPOCH, "first_idx", F.col("n").cast("bigint").alias("n"), F.struct(runs.alias("runs"), "ends", "n_end").alias("body"))
+
+
 def chained(segments: DataFrame) -> DataFrame:
-    """Segments (SEGMENTS) with `chain`, the first window of their contiguous run.
+    """Segments of `run_lengths` with `chain`, the first window of their contiguous run.
 
     Of segments with one start the longest stays; one that overlaps the last kept one is dropped.
     """
-    one = segments.select(*EPOCH, "first_idx", F.size("probs").cast("bigint").alias("n"), F.struct("probs", "ends", "n_end").alias("body")).where("n > 0")
-    best = one.groupBy(*EPOCH, "first_idx").agg(F.max_by("body", "n").alias("body"), F.max("n").alias("n"))
-    kept = drop_overlaps(best.select(*EPOCH, "first_idx", "n", (-F.col("n")).alias("id")), EPOCH, "first_idx", "n", WINDOW_SLICE, distinct=True).select(*EPOCH, "first_idx")
-    rows = with_slice(best.join(kept, [*EPOCH, "first_idx"]).withColumn("_to", F.col("first_idx") + F.col("n")), "first_idx", WINDOW_SLICE)
-    prev = scan(rows, EPOCH, ["first_idx"], [Carry("_prev", "lag", F.col("_to"))])
-    opened = prev.withColumn("_open", F.when(F.col("_prev").isNull() | (F.col("_prev") != F.col("first_idx")), F.col("first_idx")))
+    # Stored, as each scan reads its rows twice.
+    best = materialise(segments.groupBy(*EPOCH, "first_idx").agg(F.max_by("body", "n").alias("body"), F.max("n").alias("n")))
+
+    def behind(rows: DataFrame) -> DataFrame:
+        """Rows with `_prev`, the farthest end of those before."""
+        spans = with_slice(rows.select(*EPOCH, "first_idx", (F.col("first_idx") + F.col("n")).alias("_to")), "first_idx", WINDOW_SLICE)
+        return scan(spans, EPOCH, ["first_idx"], [Carry("_prev", "max_before", F.col("_to"))])
+
+    rows = materialise(behind(best))
+    if not rows.where("first_idx < _prev").isEmpty():
+        rows = materialise(behind(best.join(_kept(rows), [*EPOCH, "first_idx"], "left_semi")))
+    opened = rows.withColumn("_open", F.when(F.col("_prev").isNull() | (F.col("_prev") != F.col("first_idx")), F.col("first_idx")))
     out = drop_slice(scan(opened, EPOCH, ["first_idx"], [Carry("chain", "last", F.col("_open"))]))
-    return out.select(*CHAIN, "first_idx", "n", "body.probs", "body.ends", "body.n_end")
+    return best.join(out.select(*EPOCH, "first_idx", "chain"), [*EPOCH, "first_idx"]).select(*CHAIN, "first_idx", "n", "body.runs", "body.ends", "body.n_end")
+
+
+def _kept(rows: DataFrame) -> DataFrame:
+    """(EPOCH, first_idx) of rows that do not overlap the last kept one. A row that begins behind all before it is kept, so
+    only where others overlap it and follow it is there anything to fold."""
+    lone = F.col("_prev").isNull() | (F.col("_prev") <= F.col("first_idx"))
+    met = materialise(scan(rows.withColumn("_head", F.when(lone, F.col("first_idx"))), EPOCH, ["first_idx"], [Carry("_group", "last", F.col("_head"))]))
+    group = [*EPOCH, "_group"]
+    crossed = met.where("_head is null").select(group).distinct()
+    n = (F.col("_to") - F.col("first_idx")).alias("n")
+    folded = drop_overlaps(met.join(crossed, group, "left_semi").select(*EPOCH, "first_idx", n, F.lit(0).cast("bigint").alias("id")), EPOCH, "first_idx", "n", WINDOW_SLICE, distinct=True)
+    return met.join(crossed, group, "left_anti").select(*EPOCH, "first_idx").unionByName(folded.select(*EPOCH, "first_idx"))
 
 
 def _bursts(chain: DataFrame, rules: Rules) -> DataFrame:
-    windows = chain.select(*CHAIN, "first_idx", F.posexplode("probs").alias("k", "prob")).select(*CHAIN, (F.col("first_idx") + F.col("k")).alias("idx"), "prob")
+    chain = materialise(chain)
+    runs = chain.select(*CHAIN, "first_idx", F.explode("runs").alias("r")).select(*CHAIN, (F.col("first_idx") + F.col("r.at")).alias("first_idx"), "r.n", "r.kind")
     tails = chain.groupBy(CHAIN).agg(F.max_by(F.struct("ends", "n_end"), "first_idx").alias("t")).select(
         *CHAIN, F.coalesce("t.ends", F.lit("shutdown")).alias("final"), F.col("t.n_end").alias("n_stop"))
-    return bursts_of(windows, CHAIN, rules, tails)
+    return bursts_of_runs(joined_runs(runs, CHAIN), CHAIN, rules, tails)
 
 
 def segment_chunks(segments: DataFrame, rules: Rules | None = None) -> DataFrame:
     """CHUNKS of all segments in one pass; a gap ends a chain, as the end of the epoch does."""
     rules = rules or Rules()
-    return chunks_of_bursts(_bursts(chained(segments), rules), CHAIN, rules).drop("chain")
+    return chunks_of_bursts(_bursts(chained(run_lengths(segments, rules)), rules), CHAIN, rules).drop("chain")
 
 
 def refilled(segments: DataFrame, chunks: DataFrame, late: DataFrame, rules: Rules | None = None) -> tuple[DataFrame, DataFrame]:
@@ -56,11 +90,11 @@ def refilled(segments: DataFrame, chunks: DataFrame, late: DataFrame, rules: Rul
     rules = rules or Rules()
     late = late.select(*EPOCH, "lo", "hi").distinct()
     slices = late.select(*EPOCH).distinct()
-    bursts = _bursts(chained(segments.join(slices, EPOCH, "left_semi")), rules)
+    bursts = _bursts(chained(run_lengths(segments, rules).join(slices, EPOCH, "left_semi")), rules)
     ident = [*CHAIN, "_burst"]
     reach = bursts.groupBy(ident).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).withColumn("id", F.xxhash64(*ident))
-    near = first_overlap(reach.withColumn("_from", F.col("lo") - rules.pad - 1).withColumn("_to", F.col("hi") + 1), late.select(*EPOCH, F.col("lo").alias("_ls"), F.col("hi").alias("_le"), F.lit(0).alias("lid")),
-                         EPOCH, ("_from", "_to"), ("_ls", "_le"), "lid", ["lid"], SAMPLE_SLICE).where("hit is not null").select(*ident, "lo", "hi")
+    near = materialise(first_overlap(reach.withColumn("_from", F.col("lo") - rules.pad - 1).withColumn("_to", F.col("hi") + 1), late.select(*EPOCH, F.col("lo").alias("_ls"), F.col("hi").alias("_le"), F.lit(0).alias("lid")),
+                         EPOCH, ("_from", "_to"), ("_ls", "_le"), "lid", ["lid"], SAMPLE_SLICE).where("hit is not null").select(*ident, "lo", "hi"))
     again = chunks_of_bursts(bursts.join(near.select(ident), ident, "left_semi"), CHAIN, rules).drop("chain")
     # A chunk belongs to the burst that its end lies in.
     old = chunks.join(slices, EPOCH, "left_semi").withColumn("_e0", F.col("n_end") - 1)
