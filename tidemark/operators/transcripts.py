@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions.text import BLOCKLIST, is_boilerplate, join_tokens, strip
 from ..functions.times import col
@@ -152,8 +153,8 @@ def aligned_units(rows: DataFrame, text: str = "text", words: str = "words", sta
     placed = rows.withColumn("_cuts", _place_words(body, F.transform(words, lambda w: strip(w["text"]))))
 
     def unit(w: Column, i: Column) -> Column:
-        cut = F.get(F.col("_cuts"), i)
-        piece = F.call_function("substr", body, cut["lo"] + 1, cut["hi"] - cut["lo"])
+        lo = F.coalesce(F.get(F.col("_cuts"), i - 1), F.lit(0))
+        piece = F.call_function("substr", body, lo + 1, F.get(F.col("_cuts"), i) - lo)
         return F.struct(piece.alias("text"), w["start_utc_ms"].alias("start_utc_ms"), w["end_utc_ms"].alias("end_utc_ms"),
                         F.lit("word").alias("kind"))
 
@@ -163,25 +164,24 @@ def aligned_units(rows: DataFrame, text: str = "text", words: str = "words", sta
     return placed.withColumn("units", units).drop("_cuts")
 
 
-@F.pandas_udf(ArrayType(StructType([StructField("lo", IntegerType()), StructField("hi", IntegerType())])))
+@F.pandas_udf(ArrayType(IntegerType()))
 def _place_words(text: pd.Series, tokens: pd.Series) -> pd.Series:
-    """Character ranges of tokens that follow each other with nothing but white space between, the
-    last range running to the end of the text; NULL when they do not."""
+    """Where the piece of each token ends, of tokens that follow each other with nothing but white space between, the
+    last one at the end of the text; NULL when they do not. A piece begins where the one before ends."""
     def one(body, toks):
         if toks is None or len(toks) == 0:
             return None
-        out, at = [], 0
-        for tok in toks:
+        out, at = np.empty(len(toks), np.int32), 0
+        for k, tok in enumerate(toks):
             here = at
             while here < len(body) and body[here].isspace():
                 here += 1
             if not tok or not body.startswith(tok, here):
                 return None
-            out.append({"lo": at, "hi": here + len(tok)})
-            at = here + len(tok)
+            at = out[k] = here + len(tok)
         if body[at:].strip():
             return None
-        out[-1]["hi"] = len(body)
+        out[-1] = len(body)
         return out
 
-    return pd.Series([one(b, t) for b, t in zip(text, tokens)])
+    return pd.Series([one(b, t) for b, t in zip(text, tokens)], dtype=object)
