@@ -44,12 +44,12 @@ def checked(sidecars: DataFrame) -> DataFrame:
     One parse serves both, and valid and quarantined rows are two filters over the same result.
     """
     b = Body(SIDECAR_PATHS)
-    start = iso_to_ms(b.text("start_utc"))
+    start = F.col("_start")
     fields = [F.coalesce(b.text("kind"), F.lit("speech")), b.text("device_id"), b.text("sha256"), start,
               b.number("duration_s"), b.text("run_id"), b.long("epoch"), b.long("n_start"), b.long("n_samples"),
               b.flag("discontinuity"), b.flag("clock_synced"), b.text("cut_reason"), b.text("edge_version")]
-    return _settled(b.attach(sidecars), sidecars.columns,
-                    [sidecar_error(b).alias("error"), *[f.alias(n) for f, n in zip(fields, CORE)]])
+    return _settled(b.attach(sidecars).withColumn("_start", iso_to_ms(b.text("start_utc"))), sidecars.columns,
+                    [sidecar_error(b, start).alias("error"), *[f.alias(n) for f, n in zip(fields, CORE)]])
 
 
 def _settled(df: DataFrame, keep: list[str], computed: list[Column]) -> DataFrame:
