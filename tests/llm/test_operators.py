@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -318,6 +319,21 @@ def test_classifiers_learn_and_take_edges(spark, module, label):
     assert module.score(frame(spark, []), model).count() == 0
 
 
+def test_marginals_lay_out_a_part_of_the_runs_at_a_time():
+    rng = np.random.default_rng(5)
+    row = np.repeat(np.arange(3000), rng.integers(1, 280, 3000))
+    odds, move, runs = rng.normal(0, 3, len(row)), np.array([[0.5, -0.3], [-0.4, 0.2]]), toxicity_crf.chains(row)
+    tracemalloc.start()
+    p, expected = toxicity_crf.marginals(odds, *runs, move)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(runs[2]) > 2 * toxicity_crf.BLOCK and most < 40e6
+    assert abs(expected.sum() - (len(row) - 3000)) < 1e-6
+    for r in (0, 1500, 2999):
+        alone, of = odds[row == r], toxicity_crf.chains(np.zeros(int((row == r).sum()), np.int64))
+        assert np.allclose(p[row == r], toxicity_crf.marginals(alone, *of, move)[0])
+
+
 def test_marginals_of_long_texts_are_those_of_one_chain():
     r = np.random.default_rng(4)
     size = [1, 63, 64, 65, 128, 700, 3]

@@ -26,7 +26,8 @@ from .sampling import labelled
 from .storage import as_text, stored
 from .text import LOWER, mix, rows_of, span_hashes, word_spans
 
-CHAIN = 64
+#: Words a run, and runs that are laid out at a time.
+CHAIN, BLOCK = 64, 2048
 #: Emission weights: features are hashed to so many.
 TABLE = 1 << 18
 #: Labelled rows of either label that are learned from, and their words in all. Rows are taken in the order of a
@@ -75,16 +76,10 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / v.sum(axis=-1, keepdims=True)
 
 
-def _borders(psi: np.ndarray, live: np.ndarray, a: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The messages (runs x 2) that enter each run from before its first word and from behind its last one."""
-    n = len(rank)
-    enter, leave = np.ones((n, 2)), np.ones((n, 2))
-    if not rank.any():
-        return enter, leave
-    whole = psi[0][:, :, None] * np.eye(2)
-    for k in range(1, CHAIN):
-        step = (whole @ a) * psi[k][:, None, :]
-        whole = np.where(live[k][:, None, None], step / step.sum(axis=(1, 2), keepdims=True), whole)
+def _borders(whole: np.ndarray, a: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The messages (runs x 2) that enter each run from before its first word and from behind its last one, given each
+    run's 2 x 2 matrix."""
+    enter, leave = np.ones((len(rank), 2)), np.ones((len(rank), 2))
     order = np.argsort(rank, kind="stable")
     levels = np.split(order, np.cumsum(np.bincount(rank))[:-1])[1:]
     for c in levels:
@@ -94,35 +89,54 @@ def _borders(psi: np.ndarray, live: np.ndarray, a: np.ndarray, rank: np.ndarray)
     return enter, leave
 
 
+def _laid_out(odds: np.ndarray, chain: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Potentials (places x runs x 2) of the words of `n` runs, and which places are taken."""
+    u, live = np.zeros((CHAIN, n, 2)), np.zeros((CHAIN, n), bool)
+    u[place, chain, 1] = np.clip(odds, -30, 30)
+    live[place, chain] = True
+    u -= u.max(axis=2, keepdims=True)
+    return np.exp(u, out=u), live
+
+
 def marginals(odds: np.ndarray, chain: np.ndarray, place: np.ndarray, rank: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """P(toxic) of each word, and expected transition counts (2 x 2), by forward-backward in step.
 
     `odds` are emission log-odds of toxic; `move` are log transition scores from row to column; `chain`,
-    `place` and `rank` are those of `chains`."""
+    `place` and `rank` are those of `chains`. BLOCK runs are laid out at a time, however many there are."""
     n = len(rank)
-    if not n:
-        return np.zeros(0), np.zeros((2, 2))
-    u = np.zeros((CHAIN, n, 2))
-    live = np.zeros((CHAIN, n), bool)
-    u[place, chain, 1] = np.clip(odds, -30, 30)
-    live[place, chain] = True
-    u -= u.max(axis=2, keepdims=True)
-    psi, a = np.exp(u, out=u), np.exp(move)
-    enter, leave = _borders(psi, live, a, rank)
-    fwd, bwd = np.empty_like(psi), np.empty_like(psi)
-    fwd[0], bwd[-1] = _unit(enter * psi[0]), leave
-    for k in range(1, CHAIN):
-        fwd[k] = _unit((fwd[k - 1] @ a) * psi[k])
-    for k in range(CHAIN - 2, -1, -1):
-        bwd[k] = np.where(live[k + 1][:, None], _unit((psi[k + 1] * bwd[k + 1]) @ a.T), leave)
-    both = fwd * bwd
-    p = (both[..., 1] / both.sum(axis=2))[place, chain]
-    expected, psi = np.zeros((2, 2)), psi * bwd
-    later = np.flatnonzero(rank)
-    for k in range(CHAIN):  # of the transition into the word in place k
-        left, right = (fwd[-1, later - 1], psi[0, later]) if k == 0 else (fwd[k - 1, live[k]], psi[k, live[k]])
-        pair = left[:, :, None] * a * right[:, None, :]
-        expected += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+    p, expected, a = np.zeros(len(odds)), np.zeros((2, 2)), np.exp(move)
+    blocks = [(lo, min(lo + BLOCK, n)) for lo in range(0, n, BLOCK)]
+    words = [slice(*np.searchsorted(chain, b)) for b in blocks]
+    enter, leave = np.ones((n, 2)), np.ones((n, 2))
+    if rank.any():
+        whole = np.empty((n, 2, 2))
+        for (lo, hi), w in zip(blocks, words):
+            psi, live = _laid_out(odds[w], chain[w] - lo, place[w], hi - lo)
+            part = psi[0][:, :, None] * np.eye(2)
+            for k in range(1, CHAIN):
+                step = (part @ a) * psi[k][:, None, :]
+                part = np.where(live[k][:, None, None], step / step.sum(axis=(1, 2), keepdims=True), part)
+            whole[lo:hi] = part
+        enter, leave = _borders(whole, a, rank)
+    last = np.ones((1, 2))  # the message behind the run before the block
+    for (lo, hi), w in zip(blocks, words):
+        at, where = chain[w] - lo, place[w]
+        psi, live = _laid_out(odds[w], at, where, hi - lo)
+        fwd, bwd = np.empty_like(psi), np.empty_like(psi)
+        fwd[0], bwd[-1] = _unit(enter[lo:hi] * psi[0]), leave[lo:hi]
+        for k in range(1, CHAIN):
+            fwd[k] = _unit((fwd[k - 1] @ a) * psi[k])
+        for k in range(CHAIN - 2, -1, -1):
+            bwd[k] = np.where(live[k + 1][:, None], _unit((psi[k + 1] * bwd[k + 1]) @ a.T), leave[lo:hi])
+        both = fwd * bwd
+        p[w] = (both[..., 1] / both.sum(axis=2))[where, at]
+        psi *= bwd
+        later, before = np.flatnonzero(rank[lo:hi]), np.concatenate([last, fwd[-1]])
+        for k in range(CHAIN):  # of the transition into the word in place k
+            left, right = (before[later], psi[0, later]) if k == 0 else (fwd[k - 1, live[k]], psi[k, live[k]])
+            pair = left[:, :, None] * a * right[:, None, :]
+            expected += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        last = fwd[-1, -1:].copy()
     return p, expected
 
 
@@ -231,13 +245,21 @@ def train(docs: DataFrame, labels: DataFrame, rows: Column, label: str = "toxic"
     sizes = known.groupBy("id", "y").agg(F.sum("n").alias("n")).orderBy(F.xxhash64("id"), "id").toPandas()
     ids = sampled(sizes.y.to_numpy(), sizes.n.to_numpy(), TRAIN_WORDS)
     chosen = docs.sparkSession.createDataFrame([(int(i),) for i in sizes.id[ids]], "id long")
-    got = known.join(F.broadcast(chosen), "id", "left_semi").select("id", "y", "f").toPandas().sort_values("id", kind="stable")
-    y = got.y.to_numpy(np.float64)
+    f, n, y = _learned(known.join(F.broadcast(chosen), "id", "left_semi").select("id", "y", "n", "f"))
     if len(set(y)) < 2:
         share = (y.sum() + 1) / (len(y) + 2)
         return Model(np.zeros(TABLE, np.float32), -30.0, np.zeros((2, 2)), np.array([np.log(share / (1 - share)), 0, 0, 0]))
-    fs = [np.frombuffer(b, np.int32).reshape(-1, FEATURES) for b in got.f]
-    return fit(np.concatenate(fs), np.repeat(np.arange(len(fs)), [len(v) for v in fs]), y)
+    return fit(f, np.repeat(np.arange(len(n)), n), y)
+
+
+def _learned(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features of all words, words of each text, labels) in the order of ids; the rows themselves go when this ends."""
+    got = rows.toPandas().sort_values("id", kind="stable")
+    f, at = np.empty((int(got.n.sum()), FEATURES), np.int32), 0
+    for b, n in zip(got.f, got.n):
+        f[at: at + n] = np.frombuffer(b, np.int32).reshape(-1, FEATURES)
+        at += n
+    return f, got.n.to_numpy(), got.y.to_numpy(np.float64)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
