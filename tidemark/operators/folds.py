@@ -98,7 +98,8 @@ def number_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], posi
 def chain(df: DataFrame, keys: Sequence[str], links: Callable[[pd.DataFrame], Links], first: int) -> DataFrame:
     """Add `_owner`, the `_rn` of the pick a row belongs to (its own for a pick, -1 before any).
 
-    `df` comes from `number_blocks`; `first` is the state before the first row.
+    `df` comes from `number_blocks`; `first` is the state before the first row. Blocks are read three times by keys of
+    several blocks, once by others.
     """
     keys, columns = list(keys), list(df.columns)
     key_schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
@@ -140,23 +141,28 @@ def chain(df: DataFrame, keys: Sequence[str], links: Callable[[pd.DataFrame], Li
             out[k] = pdf[k].iloc[0]
         return out[[*keys, "_block", "_x", "_in_owner"]]
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        ln, rn = links(pdf), pdf["_rn"].to_numpy()
-        n = len(pdf)
-        picked = np.full(n, -1, np.int64)
-        i = int(np.searchsorted(ln.cuts, pdf["_x"].iloc[0], side="left"))
-        while i < n:
-            picked[i] = rn[i]
-            i = int(ln.nxt[i])
-        owner = np.maximum.accumulate(np.maximum(picked, pdf["_in_owner"].to_numpy()))
-        return pdf.assign(_owner=owner)[[*columns, "_owner"]]
-
-    table = map_groups(df, [*keys, "_block"], "_rn", steps,
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts in whole_groups(batches, block):
+            owner, entry, before = np.empty(len(rows), np.int64), rows["_x"].to_numpy(), rows["_in_owner"].to_numpy()
+            number = rows["_rn"].to_numpy()
+            for a, b in zip(starts, [*starts[1:], len(rows)]):
+                ln, picked = links(rows.iloc[a:b]), np.full(b - a, -1, np.int64)
+                i = int(np.searchsorted(ln.cuts, entry[a], side="left"))
+                while i < b - a:
+                    picked[i] = number[a + i]
+                    i = int(ln.nxt[i])
+                owner[a:b] = np.maximum.accumulate(np.maximum(picked, before[a]))
+            yield rows[columns].assign(_owner=owner)
+
+    # A key's first block is entered as `first` says; only keys of more blocks have steps to find the other entries by.
+    block = [*keys, "_block"]
+    many = df.where("_block > 0").select(keys).distinct()
+    table = map_groups(df.join(many, keys, "left_semi"), block, "_rn", steps,
                        f"{key_schema}, _block bigint, _hi bigint, _out bigint, _last bigint, _pass boolean")
     entries = map_groups(table, keys, "_block", resolve, f"{key_schema}, _block bigint, _x bigint, _in_owner bigint")
     cols = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
-    block = [*keys, "_block"]
-    return map_groups(spread(df, block).join(entries, block), block, "_rn", replay, f"{cols}, _owner bigint")
+    entered = df.join(entries.where("_block > 0"), block, "left").fillna({"_x": int(first), "_in_owner": -1})
+    return spread(entered, block).sortWithinPartitions(*block, "_rn").mapInPandas(replay, f"{cols}, _owner bigint")
 
 
 # ------------------------------------------------------------- overlap removal
