@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import bpe_chunks, decontam, neardup, quality_mil, toxicity_crf
 from tidemark.llm.queries import TOKENIZER, table
 from tidemark.llm.sampling import fold
-from tidemark.llm.storage import file_system, fresh_path, scratch, stored
+from tidemark.llm.storage import file_system, fresh_path, scratch, small_batches, stored
 
 
 MOST_FILES = 100_000
@@ -51,6 +51,7 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go; the field learns from the labelled rows of its own input."""
+    small_batches(spark)
     with scratch(spark):
         model = toxicity_crf.train(docs, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
     return toxicity_crf.score(docs, model, whole=True).where("predicted = 0").select("row.*")
@@ -58,6 +59,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents not predicted good go."""
+    small_batches(spark)
     model = quality_mil.train(docs, table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
     return quality_mil.score(docs, model, whole=True).where("predicted = 1").select("row.*")
 
@@ -65,6 +67,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies stays: the one with the least id, those without id
     last, and the first of repeated rows. Texts without words are copies of nothing but rows that repeat id and text."""
+    small_batches(spark)
     rows, row = _numbered(docs)
     first = fresh_path(spark, "first")
     with scratch(spark):
@@ -94,6 +97,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and decoded texts of what is left, as counts and digests."""
+    small_batches(spark)
     return bpe_chunks.encode_decode(docs, public_tokenizers.path(TOKENIZER))
 
 

@@ -78,3 +78,26 @@ def test_stages_take_empty_tables_and_clashing_names(spark, tmp_path):
         assert corpus_pipeline.tokens(spark, given, str(tmp_path)).count() == 4
     numbered, name = corpus_pipeline._numbered(read)
     assert name == "row_" and numbered.select(name).distinct().count() == 4
+
+
+def test_rows_go_to_python_once_in_small_batches(spark, tmp_path):
+    import numpy as np
+    from pyspark.sql import functions as F
+    from tidemark.llm import quality_mil, storage
+    rng, q = np.random.default_rng(1), quality_mil
+    shapes = ((q.WIDTH, q.HIDDEN), (q.HIDDEN,), (q.HIDDEN, q.GATE), (q.HIDDEN, q.GATE), (q.GATE,), (q.HIDDEN,), (1,))
+    model = q.Model(*(rng.normal(size=s) for s in shapes))
+    rows = [(k, " ".join(rng.choice(["some", "words", "of", "a", "text"], k)) if k % 7 else None, k) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, Text string, n int").repartition(3)
+    plain = {r["doc_id"]: round(r["score"], 9) for r in q.score(docs, model).collect()}
+    whole = q.score(docs, model, whole=True)
+    assert " AS text#" not in whole._jdf.queryExecution().analyzed().toString()
+    assert {(r["row"]["doc_id"], r["row"]["Text"], r["row"]["n"], round(r["score"], 9)) for r in whole.collect()} == {(*r, plain[r[0]]) for r in rows}
+    numbers = docs.select("doc_id", F.col("n").alias("text"))  # a text of another type is cast beside its row
+    assert {(r["row"]["text"], round(r["score"], 9)) for r in q.score(numbers, model, whole=True).collect()} == {
+        (r["doc_id"], round(r["score"], 9)) for r in q.score(numbers, model).collect()}
+    spark.conf.unset(storage.BATCH_CONF)
+    storage.small_batches(spark)
+    sizes = spark.range(2000).select(F.repeat(F.lit("x"), 10_000).alias("t")).coalesce(1).mapInArrow(
+        lambda it: (type(b).from_pydict({"n": [b.nbytes]}) for b in it), "n long").collect()
+    assert max(r["n"] for r in sizes) < 2 * storage.BATCH_BYTES and sum(r["n"] for r in sizes) >= 20_000_000

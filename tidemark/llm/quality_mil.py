@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .sampling import labelled
-from .storage import as_text
+from .storage import as_text, row_with_text, text_of_row
 from .text import LOWER, rows_of, span_hashes, word_spans
 
 PASSAGE_WORDS = 64
@@ -161,14 +161,15 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     Null and empty texts get the score of an empty bag; repeated rows get equal scores; other columns are
     ignored; no shuffle. With `whole`, `row` holds all columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent, place = row_with_text(docs, text) if whole else ([as_text(docs, text).alias("text")], None)
 
     def rate(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in rows_of(it, "text"):
+        for part, data, offsets in rows_of(text_of_row(it, place), "text"):
             s = shared.value.scores(*passages(data, offsets), part.num_rows)
             yield pa.record_batch([part.column("id"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32)), *([part.column("row")] if whole else [])],
                                   ["id", "score", "predicted", *(["row"] if whole else [])])
 
-    source = docs.select(F.col(key).cast("long").alias("id"), as_text(docs, text).alias("text"), *([F.struct(*docs.columns).alias("row")] if whole else []))
+    source = docs.select(F.col(key).cast("long").alias("id"), *sent)
     out = StructType.fromDDL("id long, score double, predicted int")
     if whole:
         out = out.add("row", source.schema["row"].dataType)

@@ -11,6 +11,7 @@ from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 _FOLDER: ContextVar[str | None] = ContextVar("scratch folder", default=None)
 
@@ -54,6 +55,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to and from Python in batches of at most BATCH_BYTES; a batch lies in memory several times, off the heap
+    and in Python, for each running task."""
+    if spark.conf.get(BATCH_CONF, None) != str(BATCH_BYTES):
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
 def file_system(uri: str):
     """(file system, path) of a URI for code inside tasks."""
     from pyarrow import fs
@@ -66,3 +74,21 @@ def as_text(df: DataFrame, column: str = "text"):
     """The column as a string, null as the empty text."""
     from pyspark.sql import functions as F
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def row_with_text(docs: DataFrame, text: str):
+    """(columns, place of the text in `row`): each row whole as `row`. A text that is a string is sent once, within its row;
+    any other is cast beside it, and its place is None."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import StringType
+    row = F.struct(*docs.columns).alias("row")
+    if isinstance(docs.select(text).schema[0].dataType, StringType):
+        return [row], [c.lower() for c in docs.columns].index(text.lower())
+    return [as_text(docs, text).alias("text"), row], None
+
+
+def text_of_row(batches: Iterator, place: int | None) -> Iterator:
+    """Batches with the text of their rows as a column `text`, without a copy."""
+    import pyarrow as pa
+    for b in batches:
+        yield b if place is None else pa.record_batch([*b.columns, b.column("row").field(place)], [*b.schema.names, "text"])

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .sampling import labelled
-from .storage import as_text, stored
+from .storage import as_text, row_with_text, stored, text_of_row
 from .text import LOWER, mix, rows_of, span_hashes, word_spans
 
 #: Words a run, and runs that are laid out at a time.
@@ -269,11 +269,12 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     SPAN_FROM or more. Null and empty texts have no span and the score of a text without toxic words;
     repeated rows get equal scores; other columns are ignored; no shuffle. With `whole`, `row` holds all columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent, place = row_with_text(docs, text) if whole else ([as_text(docs, text).alias("text")], None)
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
 
     def rate(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for part, data, offsets in rows_of(it, "text"):
+        for part, data, offsets in rows_of(text_of_row(it, place), "text"):
             row, start, end, f = features(data, offsets)
             p = m.words(f, *chains(row)) if len(row) else np.zeros(0)
             s = m.scores(p, row, part.num_rows)
@@ -289,7 +290,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             yield pa.record_batch([part.column("id"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32)), pa.array(spans, pa.list_(span)), *([part.column("row")] if whole else [])],
                                   ["id", "score", "predicted", "spans", *(["row"] if whole else [])])
 
-    source = docs.select(F.col(key).cast("long").alias("id"), as_text(docs, text).alias("text"), *([F.struct(*docs.columns).alias("row")] if whole else []))
+    source = docs.select(F.col(key).cast("long").alias("id"), *sent)
     out = StructType.fromDDL("id long, score double, predicted int, spans array<struct<start:int,end:int,score:double>>")
     if whole:
         out = out.add("row", source.schema["row"].dataType)
