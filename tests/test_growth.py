@@ -77,3 +77,14 @@ def test_json_objects_are_taken_apart_once(spark):
     assert not got[5]["epoch"] and tuple(got[7])[4:] == (None, None, None, False, False)
     plan = df._jdf.queryExecution().analyzed().toString()
     assert plan.count("parse_json") == 1 and not re.search(r"variant_get\(_v#\d+L?, ", plan)
+
+
+def test_sidecar_rules_stay_small_enough_to_be_compiled(spark):
+    """The JVM interprets methods above 8,000 bytes of code, however often they run."""
+    import re
+    from tidemark.plans.catalog_ingest import _sidecars
+    from tidemark.sources.sidecars import checked
+    rows = checked(_sidecars(spark, "/root/testdata/sf0.001"))
+    text = spark.sparkContext._jvm.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) < 8000

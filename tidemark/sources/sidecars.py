@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.checks import MAX_CANCELLED_MS, SIDECAR_PATHS, SPAN_PATHS, Body, facts_of, sidecar_error, span_error
+from ..functions.checks import MAX_CANCELLED_MS, SIDECAR_PATHS, SPAN_PATHS, Body, facts_of, first_failure, sidecar_rules, span_error
 from ..functions.text import strip
 from ..functions.times import archive_path, iso_to_ms
 
@@ -37,6 +37,9 @@ def hash_audio(spark: SparkSession, path: str) -> DataFrame:
 CORE = ("kind", "device_id", "sha256", "start_utc_ms", "duration_s", "run_id", "epoch", "n_start", "n_samples",
         "discontinuity", "clock_synced", "cut_reason", "edge_version")
 
+#: Rules that are compiled as one method: the JVM leaves methods above 8,000 bytes of code to its interpreter.
+RULES = 12
+
 
 def checked(sidecars: DataFrame) -> DataFrame:
     """Add `error` (NULL for valid rows) and the core fields; `raw` stays, unknown fields included.
@@ -48,8 +51,12 @@ def checked(sidecars: DataFrame) -> DataFrame:
     fields = [F.coalesce(b.text("kind"), F.lit("speech")), b.text("device_id"), b.text("sha256"), start,
               b.number("duration_s"), b.text("run_id"), b.long("epoch"), b.long("n_start"), b.long("n_samples"),
               b.flag("discontinuity"), b.flag("clock_synced"), b.text("cut_reason"), b.text("edge_version")]
-    return _settled(b.attach(sidecars).withColumn("_start", iso_to_ms(b.text("start_utc"))), sidecars.columns,
-                    [sidecar_error(b, start).alias("error"), *[f.alias(n) for f, n in zip(fields, CORE)]])
+    rows, rules = b.attach(sidecars).withColumn("_start", iso_to_ms(b.text("start_utc"))), sidecar_rules(b, start)
+    parts = [rules[i:i + RULES] for i in range(0, len(rules), RULES)]
+    for i, part in enumerate(parts):
+        rows = _settled(rows, rows.columns, [first_failure(part).alias(f"_e{i}")])
+    error = F.coalesce(*[f"_e{i}" for i in range(len(parts))])
+    return _settled(rows, sidecars.columns, [error.alias("error"), *[f.alias(n) for f, n in zip(fields, CORE)]])
 
 
 def _settled(df: DataFrame, keep: list[str], computed: list[Column]) -> DataFrame:
