@@ -143,6 +143,25 @@ def test_topk(spark):
     assert topk.top_k(df.where("false"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_topk_sends_no_copies_of_queries_through_the_driver(spark, monkeypatch):
+    """Queries are few, their copies for every shard are not: Spark's size check takes the former for the latter."""
+    r = np.random.default_rng(3)
+    rows = [(i, r.integers(-3, 4, 6).astype(float).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = {(q, n + 1, c, -s) for q in range(0, 400, 5) for n, (s, c) in enumerate(sorted(
+        (-sum(int(a * b) << 20 for a, b in zip(rows[q][1], v)), i) for i, v in rows if i != q)[:10])}
+    for limits in ((4096, 1 << 16, 1 << 24), (16, 1 << 16, 1 << 24), (16, 30, 1 << 24), (7, 1 << 16, 200)):
+        for name, n in zip(("SHARD_ROWS", "QUERY_ROWS", "QUERY_BYTES"), limits):
+            monkeypatch.setattr(topk, name, n)
+        got = topk.top_k(df, F.col("vec_id") % 5 == 0, shards=5)
+        assert {tuple(x) for x in got.collect()} == want
+        assert "BroadcastExchange" not in got._jdf.queryExecution().executedPlan().toString()
+    # scores beyond 52 bits, where products are of integers
+    far = spark.createDataFrame([(i, [float(i << 18), 1.0]) for i in range(12)], "vec_id long, embedding array<double>")
+    assert [tuple(x) for x in topk.top_k(far, F.col("vec_id") == 10, k=2).orderBy("rank").collect()] == [
+        (10, 1, 11, (110 << 56) + (1 << 20)), (10, 2, 9, (90 << 56) + (1 << 20))]
+
+
 def test_warc(spark):
     big = "<p>ü</p>" * 400
     rows = [(1, "http://a", big), (5, "http://b\r\nX: y", big), (3, None, big), (2, "u", "tiny"), (4, "u", "tiny"), (6, "u", None), (7, "u", ""), (None, "u", big), (8, "u", "x" * 3_000_000)]
