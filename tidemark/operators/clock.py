@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,7 @@ from .sliced import Carry, drop_slice, scan, with_slice
 
 NS = 1_000_000_000
 BLOCK_SLICE = 1 << 20
+Unpack = Callable[[DataFrame], DataFrame]
 
 
 def samples_to_ns(n: Column, rate: int) -> Column:
@@ -28,39 +29,53 @@ def samples_to_ns(n: Column, rate: int) -> Column:
 # ------------------------------------------------------------- block timeline
 
 
-def block_timeline(blocks: DataFrame, rate: int = 16_000, late_ns: int = 200_000_000, late_blocks: int = 3,
-                   step_ns: int = 50_000_000, reref_ns: int = 60 * NS) -> DataFrame:
-    """What each block says about its run: sample range, epoch, loss, clock step, new anchor.
+TIMELINE = ("run_id string, seq bigint, n_start bigint, n_end bigint, epoch bigint, new_epoch boolean, epoch_start_n bigint, lateness_ns bigint, "
+            "step_ns bigint, offset_ns bigint, anchor_n bigint, anchor_mono_ns bigint")
+
+
+def _walk(blocks: DataFrame, tell: Callable[[pd.DataFrame, np.ndarray, dict[str, np.ndarray]], pd.DataFrame], schema: str, unpack: Unpack | None,
+          rate: int = 16_000, late_ns: int = 200_000_000, late_blocks: int = 3, step_ns: int = 50_000_000, reref_ns: int = 60 * NS,
+          to_end: bool = False) -> DataFrame:
+    """What `tell` makes of the blocks of whole stretches: (rows, where their stretches start, columns).
 
-    `blocks`: run_id, seq (order within the run), n_frames, mono_ns, real_ns, adc_latency_ns,
-    overflow. Output adds n_start, epoch, new_epoch, epoch_start_n, lateness_ns, step_ns (0 = none)
-    and the anchor (anchor_n, anchor_mono_ns) set after the block, if any.
+    `blocks`: run_id, seq (order within the run), n_frames, mono_ns, real_ns, adc_latency_ns, overflow. With `unpack`
+    a row is a packet: seq is that of its first block, n_frames the sum, only its first block may have an overflow, and what `unpack` reads
+    stands in place of the times. It is given sorted packets where they are walked, so that only these are shuffled,
+    and returns a row for each block, in order, with seq, n_frames, n_before (frames of the packet before the block), the
+    three times and all other columns as they were.
 
     Sample positions are a sliced sum. An overflow opens an epoch whatever came before, so a run is
     cut there into independent stretches; a stretch is one group, walked from event to event (a
     loss, a new reference, a step) and not block by block, and a batch of rows holds many. A first
     walk leaves one row per stretch; epoch numbers, steps and anchors across stretches come from these
-    rows and enter the second walk with the blocks.
+    rows and enter the second walk with the packets. `to_end` adds `_later`, the steps of all later stretches.
     """
     sliced = with_slice(blocks, "seq", BLOCK_SLICE)
     counted = drop_slice(scan(sliced, ["run_id"], ["seq"], [
-        Carry("n_end", "sum", F.col("n_frames").cast("bigint")),
-        Carry("_part", "sum", F.col("overflow").cast("bigint"))])).withColumn("n_start", F.col("n_end") - F.col("n_frames"))
+        Carry("n_start", "sum", F.col("n_frames").cast("bigint")),
+        Carry("_part", "sum", F.col("overflow").cast("bigint"))])).withColumn("n_start", F.col("n_start") - F.col("n_frames"))
     stretch = ["run_id", "_part"]
-    rows = spread(counted.select(*stretch, "seq", "n_start", "n_end", "mono_ns", "real_ns", "adc_latency_ns"), stretch)
+    rows = spread(counted.drop("overflow"), stretch)
     limits = (rate, late_ns, late_blocks, step_ns, reref_ns)
 
+    def in_order(df: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+        df = df.sortWithinPartitions(*stretch, "seq")
+        df = unpack(df) if unpack else df.withColumn("n_before", F.lit(0))
+        return df.select(*stretch, *more, "seq", (F.col("n_start") + F.col("n_before")).alias("n_start"), F.col("n_frames").cast("bigint").alias("n_frames"),
+                         "mono_ns", "real_ns", "adc_latency_ns")
+
     def walked(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, dict[str, np.ndarray]]]:
         for pdf, starts in whole_groups(batches, stretch):
             yield pdf, starts, _stretches(*(pdf[c].to_numpy(np.int64) for c in ("n_start", "mono_ns", "real_ns", "adc_latency_ns")), starts, *limits)
 
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """How many epochs each stretch holds, the offset and the anchor it ends with."""
+        """How many epochs each stretch holds, its steps, the offset it begins with, the offset and the anchor it ends with."""
         for pdf, starts, got in walked(batches):
             anchors = np.flatnonzero(got["anchored"])
             last = np.append(starts[1:], len(pdf)) - 1
             at = anchors[np.searchsorted(anchors, last, "right") - 1]  # a stretch begins with one
             yield pd.DataFrame({"run_id": pdf["run_id"].to_numpy()[starts], "_part": pdf["_part"].to_numpy()[starts], "_n": got["epoch"][last] + 1,
+                                "_first": got["offset_ns"][starts], "_steps": np.add.reduceat(got["step_ns"], starts),
                                 "_last": got["offset_ns"][last], "_an": got["anchor_n"][at], "_at": got["anchor_mono_ns"][at]})
 
     def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -70,24 +85,40 @@ def block_timeline(blocks: DataFrame, rate: int = 16_000, late_ns: int = 200_000
             jump = got["offset_ns"][starts] - before
             got["lateness_ns"][starts] = np.where(led, got["lateness_ns"][starts] - at - _ns(first["n_start"].to_numpy() - n, rate), 0)
             got["step_ns"][starts] = np.where(led & (np.abs(jump) > step_ns), jump, 0)
-            out = pdf[["run_id", "seq", "n_start", "n_end"]].assign(epoch=pdf["_base"].to_numpy() + got["epoch"])
-            for c in ("new_epoch", "epoch_start_n", "lateness_ns", "step_ns", "offset_ns"):
-                out[c] = got[c]
-            for c in ("anchor_n", "anchor_mono_ns"):
-                out[c] = pd.arrays.IntegerArray(got[c], ~got["anchored"])
-            yield out
-
-    parts = materialise(rows.sortWithinPartitions(*stretch, "seq").mapInPandas(
-        ends, "run_id string, _part bigint, _n bigint, _last bigint, _an bigint, _at bigint"))
-    carried = drop_slice(scan(with_slice(parts, "_part", BLOCK_SLICE), ["run_id"], ["_part"],
-                              [Carry("_upto", "sum", F.col("_n")), Carry("_before", "lag", F.col("_last")),
-                               Carry("_pn", "lag", F.col("_an")), Carry("_pt", "lag", F.col("_at"))]))
+            yield tell(pdf, starts, got)
+
+    parts = materialise(in_order(rows).mapInPandas(
+        ends, "run_id string, _part bigint, _n bigint, _first bigint, _steps bigint, _last bigint, _an bigint, _at bigint"))
+    carried = scan(with_slice(parts, "_part", BLOCK_SLICE), ["run_id"], ["_part"],
+                   [Carry("_upto", "sum", F.col("_n")), Carry("_before", "lag", F.col("_last")),
+                    Carry("_pn", "lag", F.col("_an")), Carry("_pt", "lag", F.col("_at"))])
+    later = []
+    if to_end:
+        jump = F.col("_first") - F.col("_before")
+        here = F.col("_steps") + F.when(F.abs(jump) > step_ns, jump).otherwise(0)
+        carried = scan(carried.withColumn("_steps", here), ["run_id"], ["_part"], [Carry("_on", "sum", F.col("_steps"))], reverse=True)
+        later = [(F.col("_on") - F.col("_steps")).alias("_later")]
     # No nulls: pandas would turn the column into doubles.
-    carried = carried.select(*stretch, (F.col("_upto") - F.col("_n")).alias("_base"), F.col("_before").isNotNull().alias("_led"),
+    carried = carried.select(*stretch, (F.col("_upto") - F.col("_n")).alias("_base"), F.col("_before").isNotNull().alias("_led"), *later,
                              *[F.coalesce(c, F.lit(0)).alias(c) for c in ("_before", "_pn", "_pt")])
-    return rows.join(spread(carried, stretch), stretch).sortWithinPartitions(*stretch, "seq").mapInPandas(
-        told, "run_id string, seq bigint, n_start bigint, n_end bigint, epoch bigint, new_epoch boolean, epoch_start_n bigint, lateness_ns bigint, "
-              "step_ns bigint, offset_ns bigint, anchor_n bigint, anchor_mono_ns bigint")
+    return in_order(rows.join(spread(carried, stretch), stretch), [c for c in carried.columns if c not in stretch]).mapInPandas(told, schema)
+
+
+def block_timeline(blocks: DataFrame, unpack: Unpack | None = None, **limits: int) -> DataFrame:
+    """What each block says about its run: sample range, epoch, loss, clock step, new anchor.
+
+    `blocks`, `unpack` and `limits` are those of `_walk`. Output has run_id, seq, n_start, n_end, epoch, new_epoch, epoch_start_n,
+    lateness_ns, step_ns (0 = none), offset_ns and the anchor (anchor_n, anchor_mono_ns) set after the block, if any.
+    """
+    def tell(pdf: pd.DataFrame, starts: np.ndarray, got: dict[str, np.ndarray]) -> pd.DataFrame:
+        out = pdf[["run_id", "seq", "n_start"]].assign(n_end=pdf["n_start"] + pdf["n_frames"], epoch=pdf["_base"].to_numpy() + got["epoch"])
+        for c in ("new_epoch", "epoch_start_n", "lateness_ns", "step_ns", "offset_ns"):
+            out[c] = got[c]
+        for c in ("anchor_n", "anchor_mono_ns"):
+            out[c] = pd.arrays.IntegerArray(got[c], ~got["anchored"])
+        return out
+
+    return _walk(blocks, tell, TIMELINE, unpack, **limits)
 
 
 def _ns(n: np.ndarray, rate: int) -> np.ndarray:
@@ -112,10 +143,11 @@ def _first(found: Callable[[int, int], np.ndarray], lo: int, hi: int, size: int
 def _stretches(n: np.ndarray, mono: np.ndarray, real: np.ndarray, latency: np.ndarray, starts: np.ndarray, *limits: int) -> dict[str, np.ndarray]:
     """The columns of the stretches that begin at `starts`; what follows from the stretch before is left out."""
     t, offset = mono - latency, real - mono
-    got = {c: np.zeros(len(n), np.int64) for c in ("epoch", "lateness_ns", "step_ns", "anchor_n", "anchor_mono_ns")}
+    got = {c: np.zeros(len(n), np.int64) for c in ("epoch", "lateness_ns", "step_ns", "anchor_n", "anchor_mono_ns", "anchor_row")}
     got |= {"epoch_start_n": n.copy(), "offset_ns": offset.copy(), "new_epoch": np.zeros(len(n), bool), "anchored": np.zeros(len(n), bool)}
     for a, b in zip(starts, [*starts[1:], len(n)]):
         _stretch(n[a:b], t[a:b], offset[a:b], {c: v[a:b] for c, v in got.items()}, *limits)
+        got["anchor_row"][a:b] += a
     return got
 
 
@@ -174,7 +206,7 @@ def _stretch(n: np.ndarray, t: np.ndarray, offset: np.ndarray, got: dict[str, np
         if b < size:
             level[b] = offset[b]
     got["anchored"][list(moves)] = True
-    for column, values in (("anchor_n", n), ("anchor_mono_ns", t)):
+    for column, values in (("anchor_n", n), ("anchor_mono_ns", t), ("anchor_row", np.arange(size))):
         got[column][list(moves)] = values[list(moves.values())]
 
 
