@@ -121,6 +121,46 @@ def block_timeline(blocks: DataFrame, unpack: Unpack | None = None, **limits: in
     return _walk(blocks, tell, TIMELINE, unpack, **limits)
 
 
+def block_times(blocks: DataFrame, unpack: Unpack | None = None, **limits: int) -> DataFrame:
+    """`sample_times` of the first sample of each block (run_id, seq, epoch, n, mono_ns, utc_ns, start_utc).
+
+    An epoch lies within its stretch, so its anchors are at hand where its blocks are walked, and blocks are not shuffled for them.
+    """
+    rate = limits.get("rate", 16_000)
+
+    def tell(pdf: pd.DataFrame, starts: np.ndarray, got: dict[str, np.ndarray]) -> pd.DataFrame:
+        n = pdf["n_start"].to_numpy()
+        anchor = _anchor_rows(n, starts, got)
+        mono = got["anchor_mono_ns"][anchor] + _ns(n - got["anchor_n"][anchor], rate)
+        return pd.DataFrame({"run_id": pdf["run_id"], "seq": pdf["seq"], "epoch": pdf["_base"].to_numpy() + got["epoch"], "n": n,
+                             "mono_ns": mono, "utc_ns": mono + _later_offsets(pdf, starts, got)})
+
+    got = _walk(blocks, tell, "run_id string, seq bigint, epoch bigint, n bigint, mono_ns bigint, utc_ns bigint", unpack, to_end=True, **limits)
+    return got.withColumn("start_utc", ns_to_iso("utc_ns"))
+
+
+def _later_offsets(pdf: pd.DataFrame, starts: np.ndarray, got: dict[str, np.ndarray]) -> np.ndarray:
+    """Of each block's epoch: its own offset plus every later step of the run."""
+    opens = np.flatnonzero(got["new_epoch"])
+    mine = opens[np.cumsum(got["new_epoch"]) - 1]  # the block that opened it
+    upto = np.cumsum(got["step_ns"])
+    last = np.append(starts[1:], len(pdf)) - 1
+    to_end = np.repeat(upto[last], np.diff(np.append(starts, len(pdf))))
+    return got["offset_ns"][mine] + to_end - upto[mine] + pdf["_later"].to_numpy()
+
+
+def _anchor_rows(n: np.ndarray, starts: np.ndarray, got: dict[str, np.ndarray]) -> np.ndarray:
+    """The row that set each block's anchor: of its epoch, the last one at or before its sample, the first if there is none."""
+    change = np.append(True, n[1:] != n[:-1])
+    change[starts] = True
+    place, epoch = np.cumsum(change), np.cumsum(got["new_epoch"])
+    rows = np.flatnonzero(got["anchored"])
+    size = len(n) + 1
+    keys = epoch[rows] * size + place[got["anchor_row"][rows]]  # in order: references of an epoch only move on
+    at = np.searchsorted(keys, epoch * size + place, "right") - 1
+    return rows[np.maximum(at, np.searchsorted(epoch[rows], epoch, "left"))]
+
+
 def _ns(n: np.ndarray, rate: int) -> np.ndarray:
     """`samples_to_ns` of an array."""
     if NS % rate == 0:
