@@ -121,6 +121,21 @@ def block_timeline(blocks: DataFrame, unpack: Unpack | None = None, **limits: in
     return _walk(blocks, tell, TIMELINE, unpack, **limits)
 
 
+def block_anchors(blocks: DataFrame, unpack: Unpack | None = None, **limits: int) -> DataFrame:
+    """The anchors of a timeline (run_id, epoch, n_ref, mono_ref_ns) without its blocks; `new_epoch` marks the first of an epoch,
+    `offset_ns` is that of `epoch_offsets`, and the sum of `n_steps` over a run counts its steps."""
+    def tell(pdf: pd.DataFrame, starts: np.ndarray, got: dict[str, np.ndarray]) -> pd.DataFrame:
+        steps = np.zeros(len(pdf), np.int64)
+        steps[starts] = np.add.reduceat((got["step_ns"] != 0).astype(np.int64), starts)  # a stretch begins with an anchor
+        at = got["anchored"]
+        return pd.DataFrame({"run_id": pdf["run_id"].to_numpy()[at], "epoch": (pdf["_base"].to_numpy() + got["epoch"])[at], "n_ref": got["anchor_n"][at],
+                             "mono_ref_ns": got["anchor_mono_ns"][at], "new_epoch": got["new_epoch"][at], "offset_ns": _later_offsets(pdf, starts, got)[at],
+                             "n_steps": steps[at]})
+
+    return _walk(blocks, tell, "run_id string, epoch bigint, n_ref bigint, mono_ref_ns bigint, new_epoch boolean, offset_ns bigint, n_steps bigint", unpack,
+                 to_end=True, **limits)
+
+
 def block_times(blocks: DataFrame, unpack: Unpack | None = None, **limits: int) -> DataFrame:
     """`sample_times` of the first sample of each block (run_id, seq, epoch, n, mono_ns, utc_ns, start_utc).
 
@@ -280,28 +295,32 @@ def sample_times(samples: DataFrame, anchors: DataFrame, offsets: DataFrame, rat
 
     A sample maps through the last anchor at or before it, the first one if there is none.
     """
-    first = anchors.groupBy("run_id", "epoch").agg(
-        F.min(F.struct("n_ref", "mono_ref_ns")).alias("_first"))
+    return (_stamped(samples, anchors, _epochs(anchors, offsets), rate, "inner")
+            .withColumn("start_utc", ns_to_iso("utc_ns")).drop("hit", "_first", "offset_ns"))
+
+
+def _epochs(anchors: DataFrame, offsets: DataFrame) -> DataFrame:
+    first = anchors.groupBy("run_id", "epoch").agg(F.min(F.struct("n_ref", "mono_ref_ns")).alias("_first"))
+    return first.join(offsets, ["run_id", "epoch"])
+
+
+def _stamped(samples: DataFrame, anchors: DataFrame, epochs: DataFrame, rate: int, how: str) -> DataFrame:
     got = as_of(samples, anchors, ["run_id", "epoch"], "n", "n_ref", ["n_ref", "mono_ref_ns"], width=rate * 3600)
     ref = F.coalesce("hit", "_first")
     mono = ref["mono_ref_ns"] + samples_to_ns(F.col("n") - ref["n_ref"], rate)
-    out = got.join(first.join(offsets, ["run_id", "epoch"]), ["run_id", "epoch"]).withColumn("mono_ns", mono)
-    return (out.withColumn("utc_ns", F.col("mono_ns") + F.col("offset_ns"))
-            .withColumn("start_utc", ns_to_iso("utc_ns")).drop("hit", "_first", "offset_ns"))
+    return got.join(epochs, ["run_id", "epoch"], how).withColumn("mono_ns", mono).withColumn("utc_ns", F.col("mono_ns") + F.col("offset_ns"))
 
 
 def restamp_held(held: DataFrame, anchors: DataFrame, offsets: DataFrame, step_counts: DataFrame) -> DataFrame:
     """Held chunks (run_id, epoch, n, id, start_utc, held_steps) stamped again after a sync.
 
     Chunks of a known run and epoch get the corrected start, `clock_synced` and, when the run saw
-    steps since the hold, `clock_step`; others pass unchanged.
+    steps since the hold, `clock_step`; others pass unchanged. A chunk meets what its epoch needs in one join.
     """
-    known = sample_times(held.select("id", "run_id", "epoch", "n"), anchors, offsets).select(
-        "id", F.col("start_utc").alias("_new"))
-    out = held.join(known, "id", "left").join(step_counts.select("run_id", "step_count"), "run_id", "left")
-    mine = F.col("_new").isNotNull()
-    return out.select("id", "run_id", "epoch", "n", F.coalesce("_new", "start_utc").alias("start_utc"),
-                      mine.alias("clock_synced"),
+    epochs = _epochs(anchors, offsets).join(step_counts.select("run_id", "step_count"), "run_id", "left")
+    out = _stamped(held.select("id", "run_id", "epoch", "n", "start_utc", "held_steps"), anchors, epochs, 16_000, "left")
+    mine = F.col("utc_ns").isNotNull()
+    return out.select("id", "run_id", "epoch", "n", F.coalesce(ns_to_iso("utc_ns"), F.col("start_utc")).alias("start_utc"), mine.alias("clock_synced"),
                       (mine & (F.coalesce("step_count", F.lit(0)) > F.col("held_steps"))).alias("clock_step"))
 
 
